@@ -57,7 +57,7 @@ def _local_us(y: int, m: int, d: int, h: int, mi: int, s: int, frac: str | None)
 
 def parse_timestamp(value: str | None, date_order: str | None = None) -> tuple[int, int | None, str | None] | None:
     """(local microseconds, stated offset in microseconds or None, zone letters or None), or None if unreadable."""
-    v = re.sub(r"\s+", " ", (value or "").replace(" ", " ").replace(" ", " ")).strip()
+    v = " ".join((value or "").split())
     if not v:
         return None
     try:
@@ -167,7 +167,7 @@ def resolve(df: DataFrame, offsets: DataFrame, local_us: Column, tz: Column, let
     year = F.year(F.timestamp_micros(local_us)).cast("int")
     keyed = df.withColumn("_l", local_us).withColumn("_tz", tz).withColumn("_y", year)
     keyed = keyed.withColumn("_z", letters if letters is not None else F.lit(None).cast("string"))
-    # The key has few values (zones by years): the small side is salted-free and bounded, so AQE broadcasts it.
+    # Bounded by zones times years whatever the data, so it is broadcast.
     o = offsets.select(F.col("tz").alias("_tz"), F.col("tz_year").alias("_y"), "iv")
     j = keyed.join(F.broadcast(o), ["_tz", "_y"], "left")
     match = F.filter("iv", lambda x: (x["lo"] <= F.col("_l")) & (F.col("_l") < x["hi"]))
