@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mentionloom.llm import canonical, site_lines
+from mentionloom.llm import canonical, packing, site_lines, tokens
 from mentionloom.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p5_canonical")
 def p5_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_fields(read(spark, sf, "articles"))
+
+
+@query("p8_ids")
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode_corpus(read(spark, sf, "documents"))
+
+
+@query("p9_containers")
+def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf, "documents"), read(spark, sf, "pack_specs"))
