@@ -16,6 +16,7 @@ id and part; a document repeated in several rows is one document; empty tables g
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,10 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
+def _packer(stage: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: _pack(pdf, stage, last)
+
+
 def _pack(pdf: pd.DataFrame, stage: int, last: bool) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "doc_id", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     capacity, sizes = int(pdf["capacity"].iloc[0]), pdf["size"].to_numpy("i8")
@@ -104,11 +109,7 @@ def pack(sizes: DataFrame, items: int = ITEMS, fan_in: int = FAN_IN) -> DataFram
     done, stage = [full], 0
     while True:
         last = shards == 1
-
-        def run(pdf: pd.DataFrame, stage: int = stage, last: bool = last) -> pd.DataFrame:
-            return _pack(pdf, stage, last)
-
-        packed = now.select("spec_id", "doc_id", "part", "size", "capacity", "shard").groupBy("spec_id", "shard").applyInPandas(run, SCHEMA)
+        packed = now.select("spec_id", "doc_id", "part", "size", "capacity", "shard").groupBy("spec_id", "shard").applyInPandas(_packer(stage, last), SCHEMA)
         if not last:
             packed = cut(packed)
         done.append(packed.where("NOT open").select("spec_id", "container", "doc_id", "part", "size"))
