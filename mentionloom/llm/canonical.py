@@ -16,14 +16,18 @@ from __future__ import annotations
 
 import re
 import unicodedata as U
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mentionloom.llm.frames import frame
+from mentionloom.session import cut
+
 # Look-alike letters of Greek and Cyrillic and the Latin letters they are taken for.
 LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
@@ -39,13 +43,11 @@ _LATIN, _GREEK, _CYRILLIC = (re.compile(f"[{x}]") for x in ("A-Za-z\u00c0-\u00d6
 _BAD = re.compile(f"[{INVISIBLE}{ACCENTS}{STYLED}]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _SPACES = re.compile(f"[{SPACES}]")
-TOKEN = re.compile(rf"(?:[^\W_]|[{INVISIBLE}{ACCENTS}{STYLED}])+")
+TOKEN = re.compile(rf"[\w{INVISIBLE}{ACCENTS}{STYLED}]+")
 
-_J_SCRIPTS = (r"\p{IsLatin}", r"\p{IsGreek}", r"\p{IsCyrillic}")
-#: The same classes for the JVM: whether a field can hold a case at all.
-JVM_BAD = f"[{INVISIBLE}{ACCENTS}{STYLED}]"
-JVM_MIXED = "|".join(rf"{a}[\p{{Nd}}\p{{M}}]*{b}" for a in _J_SCRIPTS for b in _J_SCRIPTS if a != b)
-JVM_SPACES = f"[{SPACES}]"
+#: Letters of two scripts side by side: whether a text can hold a mixed word at all.
+_EASTERN = re.compile("[\u0370-\u03ff\u0400-\u052f\u1c80-\u1c8a\u1f00-\u1ffe\ua640-\ua69b]")
+_NEXT_TO = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]\\d*[\u0370-\u052f]|[\u0370-\u052f]\\d*[A-Za-z\u00c0-\u024f\u1e00-\u1eff]|[\u0370-\u03ff]\\d*[\u0400-\u052f]|[\u0400-\u052f]\\d*[\u0370-\u03ff]|[\u1c80-\u1c8a\u1f00-\u1ffe\ua640-\ua69b]")
 
 
 def scripts(token: str) -> int:
@@ -133,24 +135,33 @@ def _fields(articles: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame
         key, "x.*").where("value IS NOT NULL")
 
 
-def _suspect(value: Column) -> Column:
-    return value.rlike(r"[^\x00-\x7f]") & value.rlike(f"{JVM_BAD}|{JVM_MIXED}")
+def is_suspect(text: str) -> bool:
+    """Whether a text can hold a dirty token; cheap, and never false for one that does."""
+    return not text.isascii() and bool(_BAD.search(text) or (_EASTERN.search(text) and _NEXT_TO.search(text)))
 
 
-def _dirty_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass over the fields: dirty tokens and odd spaces by field, and the batch's clean words with their counts."""
     for pdf in batches:
-        rows = [(k, f, t) for k, f, v in zip(pdf.iloc[:, 0], pdf["field"], pdf["value"]) for t in {m[0] for m in TOKEN.finditer(v)} if is_dirty(t)]
-        out = pd.DataFrame(rows, columns=[pdf.columns[0], "field", "token"])
-        out["skeleton"] = out["token"].map(skeleton)
+        rows, words, name = [], Counter(), pdf.columns[0]
+        for k, f, v in zip(pdf.iloc[:, 0], pdf["field"], pdf["value"]):
+            tokens = TOKEN.findall(v)
+            if is_suspect(v):
+                dirty = {t for t in tokens if is_dirty(t)}
+                rows += [(k, f, t, skeleton(t), None) for t in dirty]
+                tokens = [t for t in tokens if t not in dirty]
+            if not v.isascii() and _SPACES.search(v):
+                rows.append((k, f, None, None, None))
+            words.update(tokens)
+        rows += [(None, None, w, skeleton(w), n) for w, n in words.items()]
+        out = frame(rows, [name, "field", "token", "skeleton", "n"], {"n"} | ({name} if pdf[name].dtype.kind == "i" else set()))
         yield out
 
 
-def vocabulary(articles: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(word, n, skeleton) of the clean tokens of all fields; counted before anything is shuffled."""
-    words = articles.select(F.explode(F.split(F.concat_ws(" ", *fields), r"[^\p{L}\p{Nd}\p{M}\p{Cf}]+")).alias("word"))
-    n = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    n = n.where(~F.col("word").rlike(f"{JVM_BAD}|{JVM_MIXED}"))
-    return n.withColumn("skeleton", F.translate("word", "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values())))
+def scan(articles: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(key, field, token, skeleton, n): dirty tokens and odd spaces (n null), and clean words (key null); written once."""
+    kind = articles.schema[key].dataType.simpleString()
+    return cut(_fields(articles, key, fields).mapInPandas(_scan, f"`{key}` {kind}, field string, token string, skeleton string, n long"))
 
 
 def _resolve(key: tuple, tokens: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
@@ -164,26 +175,24 @@ def _resolve(key: tuple, tokens: pd.DataFrame, words: pd.DataFrame) -> pd.DataFr
     return pd.DataFrame(rows, columns=["token", "canonical", "in_vocabulary"])
 
 
-def token_forms(articles: DataFrame, key: str = "article_id", fields: tuple[str, ...] = ("title", "text"), shards: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(key, field, token) of all dirty tokens, and (token, canonical, in_vocabulary) of each distinct one."""
-    kind = articles.schema[key].dataType.simpleString()
-    suspects = _fields(articles, key, fields).where(_suspect(F.col("value")))
-    at = suspects.mapInPandas(_dirty_tokens, f"`{key}` {kind}, field string, token string, skeleton string")
-    tokens = at.groupBy("token").agg(F.first("skeleton").alias("skeleton"))
-    n = shards or int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def token_forms(scanned: DataFrame, shards: int | None = None) -> DataFrame:
+    """(token, canonical, in_vocabulary) of each distinct dirty token."""
+    tokens = scanned.where("n IS NULL AND token IS NOT NULL").groupBy("token").agg(F.first("skeleton").alias("skeleton"))
+    n = shards or int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("skeleton"), F.lit(n)).alias("shard")
-    words = vocabulary(articles, fields).join(tokens.select("skeleton").distinct(), "skeleton", "left_semi").select("word", "n", shard)
-    forms = tokens.select("token", shard).groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(
+    words = scanned.where("n IS NOT NULL").join(tokens.select("skeleton").distinct(), "skeleton", "left_semi")
+    words = words.groupBy(F.col("token").alias("word"), "skeleton").agg(F.sum("n").alias("n")).select("word", "n", shard)
+    return tokens.select("token", shard).groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(
         _resolve, T.StructType([T.StructField("token", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("in_vocabulary", T.BooleanType())]))
-    return at.select(key, "field", "token"), forms
 
 
 def disguised_fields(articles: DataFrame, key: str = "article_id", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:
     """(key, field) of every field with a token whose canonical spelling differs from it, or a space other than U+0020."""
-    at, forms = token_forms(articles, key, fields)
-    by_token = at.join(forms.where("NOT (token <=> canonical)"), "token").select(key, "field")
-    by_space = _fields(articles, key, fields).where(F.col("value").rlike(JVM_SPACES)).select(key, "field")
-    return by_token.union(by_space).distinct()
+    scanned = scan(articles, key, fields)
+    changed = token_forms(scanned).where("NOT (token <=> canonical)")
+    at = scanned.where("n IS NULL")
+    by_token = at.where("token IS NOT NULL").join(changed, "token").select(key, "field")
+    return by_token.union(at.where("token IS NULL").select(key, "field")).distinct()
 
 
 def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +210,8 @@ def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def canonical_fields(articles: DataFrame, key: str = "article_id", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:
     """(key, field, value): the consistent form of every non-null field, each article once."""
     kind = articles.schema[key].dataType.simpleString()
-    at, forms = token_forms(articles, key, fields)
-    own = at.distinct().join(forms, "token").groupBy(key, "field").agg(F.collect_list(F.struct("token", "canonical")).alias("forms"))
+    scanned = scan(articles, key, fields)
+    at = scanned.where("n IS NULL AND token IS NOT NULL").select(key, "field", "token").distinct()
+    own = at.join(token_forms(scanned), "token").groupBy(key, "field").agg(F.collect_list(F.struct("token", "canonical")).alias("forms"))
     whole = _fields(articles, key, fields).groupBy(key, "field").agg(F.max("value").alias("value"))
     return whole.join(own, [key, "field"], "left").mapInPandas(_replace, f"`{key}` {kind}, field string, value string")
