@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mentionloom.llm import canonical, packing, site_lines, tokens
+from mentionloom.llm import canonical, packing, residue, site_lines, tokens
 from mentionloom.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,8 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query("p9_containers")
 def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf, "documents"), read(spark, sf, "pack_specs"))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(read(spark, sf, "articles"))
