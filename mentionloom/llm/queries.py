@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.llm import canonical, near_duplicates, packing, residue, site_lines, tokens
+from mentionloom.llm import canonical, near_duplicates, packing, residue, sentences, site_lines, tokens
 from mentionloom.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,19 +72,24 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(read(spark, sf, "articles"))
 
 
-def _stories(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles that are no residue and not of a site in Chinese."""
+def _stories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs and classes of the articles that are no residue and not of a site in Chinese."""
     articles = read(spark, sf, "articles")
     chinese = read(spark, sf, "sources").where("main_language = 'zh'").select("source_domain")
-    return articles.join(chinese, "source_domain", "left_anti").join(residue.residue(articles), "article_id", "left_anti")
+    return near_duplicates.near_duplicates(
+        articles.join(chinese, "source_domain", "left_anti"), least=0.5, width=3, exclude=residue.residue(articles))
 
 
 @query("p4_found")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs, members = near_duplicates.near_duplicates(_stories(spark, sf), least=0.5, width=3)
-    return near_duplicates.all_pairs(pairs, members).select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b")).distinct()
+    return near_duplicates.all_pairs(*_stories(spark, sf)).select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b")).distinct()
 
 
 @query("p4_groups")
 def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates.groups(*near_duplicates.near_duplicates(_stories(spark, sf), least=0.5, width=3))
+    return near_duplicates.groups(*_stories(spark, sf))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split_sentences(read(spark, sf, "documents"))
