@@ -79,11 +79,18 @@ def skeleton(token: str) -> str:
     return "".join(LOOK_ALIKES.get(c, c) for c in U.normalize("NFC", U.normalize("NFKC", _INVISIBLE.sub("", token))))
 
 
+def is_suspect(text: str) -> bool:
+    """Whether a text can hold a dirty token; cheap, and never false for one that does."""
+    return not text.isascii() and bool(_BAD.search(text) or (_EASTERN.search(text) and _NEXT_TO.search(text)))
+
+
 def normalize_text(text: str) -> str:
     """The consistent form of a text by table alone."""
     if text.isascii():
         return text
-    return TOKEN.sub(lambda m: by_table(m[0]) if is_dirty(m[0]) else m[0], _SPACES.sub(" ", text))
+    if _SPACES.search(text):
+        text = _SPACES.sub(" ", text)
+    return TOKEN.sub(lambda m: by_table(m[0]) if is_dirty(m[0]) else m[0], text) if is_suspect(text) else text
 
 
 class Trie:
@@ -135,11 +142,6 @@ def _fields(articles: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame
         key, "x.*").where("value IS NOT NULL")
 
 
-def is_suspect(text: str) -> bool:
-    """Whether a text can hold a dirty token; cheap, and never false for one that does."""
-    return not text.isascii() and bool(_BAD.search(text) or (_EASTERN.search(text) and _NEXT_TO.search(text)))
-
-
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One pass over the fields: dirty tokens and odd spaces by field, and the batch's clean words with their counts."""
     for pdf in batches:

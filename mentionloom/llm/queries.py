@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.llm import canonical, near_duplicates, packing, residue, sentences, site_lines, tokens
+from mentionloom.llm import canonical, near_duplicates, packing, residue, sentences, site_lines, tokens, truncation
 from mentionloom.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,13 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
 @query("p3_found")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(read(spark, sf, "documents"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(read(spark, sf, "articles")).where("cut").select("article_id", "field")
+
+
+@query("p2_by_source")
+def p2_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_by_source(read(spark, sf, "articles"))

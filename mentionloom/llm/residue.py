@@ -20,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import eq
 
 import pandas as pd
 import xxhash
@@ -62,7 +63,8 @@ PLACEHOLDER = re.compile(
     rf"\{{\{{[^{{}}\n]{{1,60}}\}}\}}|[$#]?\{{\s?{_NAME}\s?\}}|\[\[\s?{_NAME}\s?\]\]|<<\s?{_NAME}\s?>>|<%[^%\n]{{1,60}}%>|\{{%[^%\n]{{1,60}}%\}}"
     rf"|@@{_NAME}@@|\b__[A-Z][A-Z0-9_.]*__|(?<![\w%])%{_NAME}%(?!\w)|\${{0}}(?<!\w)\$[A-Z][A-Z0-9_.]*\$|\[[^\[\]\n]{{1,40}} to come\]|\[INSERT [^\]\n]{{1,40}}\]|\bTK \S+ TK\b|##{_NAME}##|\*\|{_NAME}\|\*")
 _HINT = re.compile(r"[{}\[\]<>%$@_*#]|TK")
-_WORD = re.compile(r"[^\W\d_]+|\d+")
+_WORD = re.compile(r"[^\W_]+")
+_DIGITS = re.compile(r"\d+")
 _CJK = re.compile("[㐀-鿿]+")
 _QUOTED = re.compile("[“«„\"][^”»“\"\n]{0,200}$")
 
@@ -73,7 +75,7 @@ LABEL_WORDS = 9
 
 def terms(text: str) -> list[str]:
     """Lower-cased words, numbers as 0, Han text as pairs of characters."""
-    out = ["0" if w[0].isdigit() else w for w in _WORD.findall(text.lower())]
+    out = _WORD.findall(_DIGITS.sub("0", text.lower()))
     if _CJK.search(text):
         out = [x for w in out for x in ([w[i : i + 2] for i in range(len(w) - 1)] if _CJK.match(w) else [w])]
     return out
@@ -110,7 +112,10 @@ def is_candidate(text: str, words: list[str]) -> bool:
         return True
     if len(own & FILLER_WORDS) >= 4 or len(own) * 4 <= len(words) + 3:
         return True
-    return any(repeats(terms(x)) for x in text.split("\n") if len(x) > 12) or has_placeholder(text)
+    # the same word again at once or after one other: only then can a line repeat itself
+    if sum(map(eq, words, words[1:])) + sum(map(eq, words, words[2:])) >= 2 and any(repeats(terms(x)) for x in text.split("\n") if len(x) > 12):
+        return True
+    return has_placeholder(text)
 
 
 def coverage(words: list[str], idf: dict[str, float], top: float) -> float:
