@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.llm import canonical, near_duplicates, packing, residue, sentences, site_lines, tokens, truncation
+from mentionloom.llm import canonical, near_duplicates, packing, reading_level, residue, sentences, site_lines, tokens, truncation
 from mentionloom.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p2_by_source")
 def p2_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_by_source(read(spark, sf, "articles"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_level.reading_levels(read(spark, sf, "documents"), read(spark, sf, "level_ratings")).select("doc_id", "level").distinct()
