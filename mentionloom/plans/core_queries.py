@@ -1,29 +1,15 @@
-"""Registered queries of the core library and, where SQL can express them, their oracle."""
+"""All queries of the core library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from mentionloom.operators import timestamps
+from mentionloom.plans import metric_queries  # noqa: F401
+from mentionloom.plans.registry import QUERIES, SQL, query
 from mentionloom.sources.tables import read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query with its oracle."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
 
 @query("p6_found")
