@@ -40,6 +40,8 @@ _BASE = 0x9E3779B97F4A7C15
 _MARKS = re.compile(
     r"(?P<hard>\s*(?:\[\s?(?:\.\.\.|…)\s?\]|\(\s?(?:\.\.\.|…)\s?\)|(?:…|\.\.\.)?\s*\[\+\d+ chars?\]|(?:…|\.\.\.)?\s*(?:Read on|Read more|Continue reading|Weiterlesen|Mehr lesen|Lire la suite|Leer más|Seguir leyendo|Читать далее|阅读全文)\s?(?:»|→|>+)?|�+|&#?\w{0,8}|<[^<>\n]{0,20}))\s*$"
     r"|(?P<attached>(?<=\S)(?:…|\.{3,}))\s*$|(?P<spaced>\s+(?:…|\.{3,}))\s*$")
+#: No mark with its debris is longer.
+_REACH = 80
 _ENDED = re.compile(r"[.!?…。！？．۔।][\"'”’»“)\]」』]*$")
 _ABBREVIATED = re.compile(r"(?:^|[\s(])[^\W\d_]{1,4}\.$|\.[^\W\d_]{1,3}\.$|(?:^|\s)\d{1,3}\.$")
 _INNER = re.compile(r"[.!?。！？][\"'”’»)\]」』]*(?:\s+[^\Wa-zß-öø-ÿа-яё]|\s+[\"“„«¿¡—(]|(?<=[。！？])\S)")
@@ -124,14 +126,13 @@ def ending(value: str) -> tuple[str, str] | None:
     v = value.rstrip()
     if not v:
         return None
-    m = _MARKS.search(value)
-    if m:
+    if m := _MARKS.search(v[-_REACH:]):
         kind = "hard" if m["hard"] else "attached" if m["attached"] else "spaced"
-        rest = value[: m.start()].rstrip()
+        rest = v[: max(0, len(v) - _REACH) + m.start()].rstrip()
         if not rest:
             return None
-        return ("ended" if kind == "hard" and _ENDED.search(rest) else kind), rest
-    if _ENDED.search(v):
+        return ("ended" if kind == "hard" and _ENDED.search(rest[-16:]) else kind), rest
+    if _ENDED.search(v[-16:]):
         return ("ended", v) if _ABBREVIATED.search(v[-8:]) else None
     tail = v.rsplit("\n", 1)[-1].strip()
     if _SIGNED.match(tail) or _is_residue(tail):
@@ -152,22 +153,25 @@ def _is_residue(line: str) -> bool:
     return repeats(words) or coverage(words, {}, 1.0) >= COVERED
 
 
-def context_hashes(text: str) -> dict[int, int]:
-    """The hashes of the final contexts of a text."""
-    tail = _codes("\0" * ORDERS[-1] + text[-2 * ORDERS[-1] :])
-    return {o: int(h[-1]) for o, h in rolling(tail).items()}
+def context_hashes(texts: list[str]) -> np.ndarray:
+    """The hashes of the final contexts of each text, one column per order."""
+    n = ORDERS[-1]
+    h = rolling(_codes("".join(("\0" * n + x[-n:])[-n:] for x in texts)))
+    return np.stack([h[o][n - 1 :: n] for o in ORDERS], 1).view(np.int64)
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
+        rows, rests = [], []
         for k, s, g, d, t in pdf.itertuples(index=False):
             for field, value in (("description", d), ("text", t)):
                 if value and (e := ending(value)):
-                    h = context_hashes(e[1])
                     kind = "open, several" if e[0] == "open, one" and field == "description" and value[-1].isspace() else e[0]
-                    rows.append((k, field, s, g, kind, len(value), [h[o] - (1 << 64) if h[o] >> 63 else h[o] for o in ORDERS]))
-        yield pd.DataFrame(rows, columns=["id", "field", "source", "language", "kind", "length", "contexts"])
+                    rows.append((k, field, s, g, kind, len(value)))
+                    rests.append(e[1])
+        out = pd.DataFrame(rows, columns=["id", "field", "source", "language", "kind", "length"])
+        out["contexts"] = list(context_hashes(rests)) if rests else []
+        yield out
 
 
 def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
