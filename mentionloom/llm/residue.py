@@ -73,14 +73,24 @@ CONTAINED, COVERED, WHOLE = 0.8, 0.6, 0.85
 LABEL_WORDS = 9
 
 
-def terms(text: str) -> list[str]:
-    """Lower-cased words, numbers as 0, Han text as pairs of characters."""
-    out = _WORD.findall(_DIGITS.sub("0", text.lower()))
-    if _CJK.search(text):
+def folded(text: str) -> str:
+    """Lower case, figures as 0."""
+    return _DIGITS.sub("0", text.lower())
+
+
+def terms_of(folded_text: str) -> list[str]:
+    """Words of a folded text, Han text as pairs of characters."""
+    out = _WORD.findall(folded_text)
+    if not folded_text.isascii() and _CJK.search(folded_text):
         out = [x for w in out for x in ([w[i : i + 2] for i in range(len(w) - 1)] if _CJK.match(w) else [w])]
     return out
 
 
+def terms(text: str) -> list[str]:
+    """Lower-cased words, numbers as 0, Han text as pairs of characters."""
+    return terms_of(folded(text))
+
+
 @lru_cache(1)
 def index() -> tuple[list[tuple[str, bool, frozenset[str]]], dict[str, list[int]]]:
     """The exemplars (kind, weak, terms) and the inverted index from term to exemplar."""
@@ -103,17 +113,39 @@ def repeats(words: list[str]) -> bool:
     return len(words) >= 4 and len(set(words)) <= max(1, len(words) // 4)
 
 
+def _touched(line: str) -> bool:
+    """Whether a line has most terms of an exemplar, and these are a fair part of the line."""
+    own = set(terms(line))
+    rows, at = index()
+    hits = Counter(e for t in own & at.keys() for e in at[t])
+    full = [rows[e][2] for e, n in hits.items() if n >= 0.6 * len(rows[e][2])]
+    return bool(full) and 4 * len(own & frozenset().union(*full)) >= len(own)
+
+
+@lru_cache(1)
+def anchors() -> tuple[dict[str, list[int]], list[int]]:
+    """The inverted index without terms of many exemplars, and how many of an exemplar's terms in it retrieve it."""
+    rows, at = index()
+    rare = {t: e for t, e in at.items() if len(e) <= 12}
+    of = [len(r[2] & rare.keys()) for r in rows]
+    lone = {e for e, n in enumerate(of) if not n}
+    rare |= {t: [e for e in es if e in lone] for t, es in at.items() if t not in rare and lone.intersection(es)}
+    need = [math.ceil(0.6 * (n or len(r[2]))) for r, n in zip(rows, of)]
+    return {t: [e for e in es if not rows[e][1]] for t, es in rare.items() if any(not rows[e][1] for e in es)}, need
+
+
 def is_candidate(text: str, words: list[str]) -> bool:
     """Whether the text contains most of an exemplar or much filler: never false for a case."""
-    rows, at = index()
+    at, need = anchors()
     own = set(words)
-    hits = Counter(e for t in own & at.keys() for e in at[t])
-    if any(not rows[e][1] and n >= 0.6 * len(rows[e][2]) for e, n in hits.items()):
+    hits = Counter([e for t in at.keys() & own for e in at[t]])
+    if any(n >= need[e] for e, n in hits.items()) and any(_touched(x) for x in text.split("\n")):
         return True
     if len(own & FILLER_WORDS) >= 4 or len(own) * 4 <= len(words) + 3:
         return True
-    # the same word again at once or after one other: only then can a line repeat itself
-    if sum(map(eq, words, words[1:])) + sum(map(eq, words, words[2:])) >= 2 and any(repeats(terms(x)) for x in text.split("\n") if len(x) > 12):
+    # the same word again at once, or two words in turn: only then can a line repeat itself
+    again = b"\1\1" in bytes(map(eq, words, words[1:])) or b"\1\1\1" in bytes(map(eq, words, words[2:]))
+    if again and any(repeats(terms(x)) for x in text.split("\n") if len(x) > 12):
         return True
     return has_placeholder(text)
 
@@ -165,8 +197,8 @@ def is_residue(text: str, page: set[int], idf: dict[str, float], top: float) ->
     return False
 
 
-def _line_key(line: str) -> int:
-    return xxhash.xxh64_intdigest(re.sub(r"\d+", "0", " ".join(line.lower().split()))) - (1 << 63)
+def _line_key(folded_line: str) -> int:
+    return xxhash.xxh64_intdigest(" ".join(folded_line.split())) - (1 << 63)
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,9 +210,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n += 1
             if not t:
                 continue
-            words = terms(t)
+            low = folded(t)
+            words = terms_of(low)
             df.update(at.keys() & set(words))
-            lines.update((s, x) for x in {_line_key(x) for x in t.split("\n") if x.strip()})
+            lines.update([(s, x) for x in {_line_key(x) for x in low.split("\n") if x and not x.isspace()}])
             if is_candidate(t, words):
                 rows.append(("text", k, s, t, None, None))
         rows += [("line", None, s, None, x, c) for (s, x), c in lines.items()]
@@ -193,7 +226,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(k, s, i, _line_key(x)) for k, s, t in zip(pdf["id"], pdf["source"], pdf["text"]) for i, x in enumerate(t.split("\n")) if x.strip()]
+        rows = [(k, s, i, _line_key(x)) for k, s, t in zip(pdf["id"], pdf["source"], pdf["text"]) for i, x in enumerate(folded(t).split("\n")) if x and not x.isspace()]
         yield pd.DataFrame(rows, columns=["id", "source", "line_no", "line"])
 
 
