@@ -85,21 +85,19 @@ def span_overlap(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, on: list[str], side: str) -> DataFrame:
     """(left id, right id, gap): the nearest right span before ("left") or after ("right") each left span in its
     sentence; touching spans do not count. One pass over the merged timeline: no join between the sides."""
-    first = F.col("first_tok")
-    if side == "left":
-        marks = right.select(*on, F.col("last_tok").alias("at"), F.col("mention_id").alias("rid"), F.lit(0).alias("is_left"), F.lit(None).cast("string").alias("lid"))
-        asks = left.select(*on, (first - 1).alias("at"), F.lit(None).cast("string").alias("rid"), F.lit(1).alias("is_left"), F.col("mention_id").alias("lid"))
-        w = Window.partitionBy(*on).orderBy("at", F.col("is_left").desc(), "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        near = F.last(F.when(F.col("rid").isNotNull(), F.struct("at", "rid")), ignorenulls=True).over(w)
-        gap = F.col("at") + 1 - F.col("near.at")
+    before = side == "left"
+    marks = right.select(*on, F.col("last_tok" if before else "first_tok").alias("at"), F.col("mention_id").alias("rid"), F.lit(0).alias("asks"), F.lit(None).cast("string").alias("lid"))
+    at = F.col("first_tok") - 2 if before else F.col("last_tok") + 2
+    asks = left.select(*on, at.alias("at"), F.lit(None).cast("string").alias("rid"), F.lit(1).alias("asks"), F.col("mention_id").alias("lid"))
+    order = Window.partitionBy(*on).orderBy("at", F.asc("asks") if before else F.desc("asks"), "rid")
+    mark = F.when(F.col("rid").isNotNull(), F.struct("at", "rid"))
+    if before:
+        near = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     else:
-        marks = right.select(*on, first.alias("at"), F.col("mention_id").alias("rid"), F.lit(0).alias("is_left"), F.lit(None).cast("string").alias("lid"))
-        asks = left.select(*on, (F.col("last_tok") + 1).alias("at"), F.lit(None).cast("string").alias("rid"), F.lit(1).alias("is_left"), F.col("mention_id").alias("lid"))
-        w = Window.partitionBy(*on).orderBy("at", "is_left", F.col("rid").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        near = F.first(F.when(F.col("rid").isNotNull(), F.struct("at", "rid")), ignorenulls=True).over(w)
-        gap = F.col("near.at") - (F.col("at") - 1)
-    t = marks.unionByName(asks).withColumn("near", near)
-    return t.where("is_left = 1 AND near IS NOT NULL").select(*on, F.col("lid").alias("left_id"), F.col("near.rid").alias("right_id"), gap.alias("gap"))
+        near = F.first(mark, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    t = marks.unionByName(asks).withColumn("near", near).where("asks = 1 AND near IS NOT NULL")
+    gap = F.col("at") + 2 - F.col("near.at") if before else F.col("near.at") - F.col("at") + 2
+    return t.select(*on, F.col("lid").alias("left_id"), F.col("near.rid").alias("right_id"), gap.alias("gap"))
 
 
 def word_type_votes(mentions: DataFrame) -> DataFrame:
