@@ -43,6 +43,7 @@ _LATIN, _GREEK, _CYRILLIC = (re.compile(f"[{x}]") for x in ("A-Za-z\u00c0-\u00d6
 _BAD = re.compile(f"[{INVISIBLE}{ACCENTS}{STYLED}]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _SPACES = re.compile(f"[{SPACES}]")
+_ODD = re.compile(f"[{SPACES}{INVISIBLE}{ACCENTS}{STYLED}]")
 TOKEN = re.compile(rf"[\w{INVISIBLE}{ACCENTS}{STYLED}]+")
 
 #: Letters of two scripts side by side: whether a text can hold a mixed word at all.
@@ -86,10 +87,9 @@ def is_suspect(text: str) -> bool:
 
 def normalize_text(text: str) -> str:
     """The consistent form of a text by table alone."""
-    if text.isascii():
+    if text.isascii() or not (_ODD.search(text) or (_EASTERN.search(text) and _NEXT_TO.search(text))):
         return text
-    if _SPACES.search(text):
-        text = _SPACES.sub(" ", text)
+    text = _SPACES.sub(" ", text)
     return TOKEN.sub(lambda m: by_table(m[0]) if is_dirty(m[0]) else m[0], text) if is_suspect(text) else text
 
 
