@@ -185,7 +185,7 @@ def _gate(spark: SparkSession, sf: str, edges: DataFrame, step: str, allowed: st
 
 _WORDS = "SELECT DISTINCT topic_id, chain AS entity, unnest(words) AS item FROM m"
 _SHARE = "SELECT x.topic_id, x.entity AS a, y.entity AS b, {sim} AS sim FROM ({items}) x JOIN ({items}) y ON x.topic_id = y.topic_id AND x.item = y.item AND x.entity < y.entity GROUP BY 1, 2, 3"
-_TITLES = "SELECT DISTINCT topic_id, entity, split_part(entity, '_', 1) AS item FROM ent WHERE kind IN ('HUM', 'GRP', 'LOC')"
+_TITLES = "SELECT DISTINCT topic_id, entity, head AS item FROM ent WHERE head IS NOT NULL AND kind IN ('HUM', 'GRP', 'LOC')"
 
 
 def _shared(items: str, sim: str = "1.0") -> str:
@@ -195,7 +195,7 @@ def _shared(items: str, sim: str = "1.0") -> str:
 @query("x0_title_match", _gated(_shared(_TITLES), "step0", "r.value > 0"))
 def x0(spark: SparkSession, sf: str) -> DataFrame:
     ents = sieves.entities(mentions(spark, sf))
-    titles = ents.select("topic_id", "entity", F.when(F.col("kind").isin("HUM", "GRP", "LOC"), F.split_part("entity", F.lit("_"), F.lit(1))).alias("title"))
+    titles = ents.select("topic_id", "entity", F.when(F.col("kind").isin("HUM", "GRP", "LOC"), F.col("head")).alias("title"))
     return _gate(spark, sf, sieves.title_edges(ents, titles), "step0", "rule > 0")
 
 
@@ -213,9 +213,9 @@ def x1(spark: SparkSession, sf: str) -> DataFrame:
 _SUBSET = "SELECT p.topic_id, p.a, p.b, p.c / least(x.n, y.n)::DOUBLE AS sim FROM (" + _shared(_WORDS, "count(*)").replace("AS sim", "AS c") + ") p JOIN (SELECT topic_id, entity, count(*) AS n FROM (" + _WORDS + ") GROUP BY ALL) x ON x.topic_id = p.topic_id AND x.entity = p.a JOIN (SELECT topic_id, entity, count(*) AS n FROM (" + _WORDS + ") GROUP BY ALL) y ON y.topic_id = p.topic_id AND y.entity = p.b"
 
 
-@query("x2_phrase_match", _gated(_SUBSET, "step2", "r.value > 0 AND o.sim >= 0.6"))
+@query("x2_phrase_match", _gated(_SUBSET, "step2", "r.value > 0 AND o.sim >= r.value", "older"))
 def x2(spark: SparkSession, sf: str) -> DataFrame:
-    return _gate(spark, sf, sieves.phrase_edges(mentions(spark, sf)), "step2", "rule > 0 AND sim >= 0.6")
+    return _gate(spark, sf, sieves.phrase_edges(mentions(spark, sf)), "step2", "rule > 0 AND sim >= rule", "older")
 
 
 @query("x3b_prefix_chains", _gated(_shared("SELECT topic_id, entity, substr(head, 1, 8) AS item FROM ent WHERE length(head) >= 8"), "step3", "r.value >= 0"))
@@ -254,9 +254,9 @@ def x3h(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(F.col("p").alias("vec_id"), F.col("x.cluster").alias("cluster"), F.col("x.n").alias("n"))
 
 
-@query("x3i_non_core_components", _EDGE.replace(">= 0.4", ">= 0.5") + "SELECT id, min(w) AS component FROM r GROUP BY 1")
+@query("x3i_non_core_components", _EDGE.replace(">= 0.4", ">= 0.42") + "SELECT id, min(w) AS component FROM r GROUP BY 1")
 def x3i(spark: SparkSession, sf: str) -> DataFrame:
-    return graphs.label_components(sieves.vector_edges(_blocks(spark, sf), "block", "vec_id", "embedding", 0.5).select("a", "b"))
+    return graphs.label_components(sieves.vector_edges(_blocks(spark, sf), "block", "vec_id", "embedding", 0.42).select("a", "b"))
 
 
 @query("x3l_group_country_heads", _gated(_shared("SELECT topic_id, entity, head AS item FROM ent WHERE kind IN ('GRP', 'LOC') AND head IS NOT NULL"), "step3", "r.value >= 0"))
@@ -309,9 +309,9 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
     return sieves.grid_edges(mentions(spark, sf).where(F.size("words") > 0), 0.5).select("topic_id", "a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query("t5_phrase_distance", _E + "SELECT x.topic_id, x.entity AS a, y.entity AS b FROM ent x JOIN ent y ON x.topic_id = y.topic_id AND x.etype = y.etype AND substr(x.entity, 1, 1) = substr(y.entity, 1, 1) AND x.entity < y.entity WHERE (CASE WHEN replace(x.entity, '.', '') = replace(y.entity, '.', '') THEN 0 ELSE levenshtein(x.entity, y.entity) END) / greatest(length(x.entity), length(y.entity))::DOUBLE <= 0.25 AND regexp_full_match(x.entity || y.entity, '[\\x00-\\x7f]*')")
+@query("t5_phrase_distance", _E + "SELECT x.topic_id, x.entity AS a, y.entity AS b FROM ent x JOIN ent y ON x.topic_id = y.topic_id AND x.etype = y.etype AND substr(x.entity, 1, 1) = substr(y.entity, 1, 1) AND x.entity < y.entity WHERE (CASE WHEN replace(x.entity, '.', '') = replace(y.entity, '.', '') THEN 0 ELSE levenshtein(x.entity, y.entity) END) / greatest(length(x.entity), length(y.entity))::DOUBLE <= 0.6 AND regexp_full_match(x.entity || y.entity, '[\\x00-\\x7f]*')")
 def t5(spark: SparkSession, sf: str) -> DataFrame:
-    e = sieves.phrase_distance_edges(sieves.entities(mentions(spark, sf)))
+    e = sieves.phrase_distance_edges(sieves.entities(mentions(spark, sf)), 0.6)
     return e.where(F.concat("a", "b").rlike(r"^[\x00-\x7f]*$")).select("topic_id", "a", "b")
 
 
@@ -326,7 +326,7 @@ def sieve_chain(spark: SparkSession, sf: str) -> DataFrame:
 @query("sieve_greedy_merge")
 def sieve_greedy(spark: SparkSession, sf: str) -> DataFrame:
     ents = sieves.entities(mentions(spark, sf))
-    g = sieves.gate(sieves.phrase_edges(mentions(spark, sf)), ents, read(spark, sf, "rules"), "newer", "step2", F.expr("rule > 0 AND sim >= 0.6"))
+    g = sieves.gate(sieves.phrase_edges(mentions(spark, sf)), ents, read(spark, sf, "rules"), "older", "step2", F.expr("rule > 0 AND sim >= rule"))
     return graphs.merge_greedy(g.withColumnRenamed("topic_id", "group"))
 
 
