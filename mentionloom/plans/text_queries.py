@@ -58,7 +58,7 @@ def str6(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("mention_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda s: s["word"]), " ").alias("phrase"))
 
 
-@query("str7_clean_codes", "SELECT Code, count(*) AS n, trim(regexp_replace(translate(Code, '´`’', ''''''''), '''+$|^''+', '', 'g')) AS code_clean FROM codings GROUP BY 1")
+@query("str7_clean_codes", "SELECT Code, count(*) AS n, trim(regexp_replace(translate(Code, '´`’', ''''''''), '[''\\s]+$|^[''\\s]+', '', 'g')) AS code_clean FROM codings GROUP BY 1")
 def str7(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "codings").groupBy("Code").agg(F.count("*").alias("n")).select("Code", "n", readers.clean_code(F.col("Code")).alias("code_clean"))
 
@@ -231,7 +231,7 @@ def src18(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("doc_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("joined"))
 
 
-@query("src19_codings", "SELECT Document_name AS document, trim(regexp_replace(translate(Code, '´`’', ''''''''), '''+$|^''+', '', 'g')) AS code, Segment AS segment, coalesce(trim(Comment), '') AS comment, Beginning - 1 AS first_paragraph, \"End\" - 1 AS last_paragraph FROM codings")
+@query("src19_codings", "SELECT Document_name AS document, trim(regexp_replace(translate(Code, '´`’', ''''''''), '[''\\s]+$|^[''\\s]+', '', 'g')) AS code, Segment AS segment, coalesce(trim(Comment), '') AS comment, Beginning - 1 AS first_paragraph, \"End\" - 1 AS last_paragraph FROM codings")
 def src19(spark: SparkSession, sf: str) -> DataFrame:
     return readers.coding_columns(read(spark, sf, "codings"))
 

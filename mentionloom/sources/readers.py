@@ -60,7 +60,7 @@ def coding_columns(df: DataFrame) -> DataFrame:
 
 def clean_code(code: Column) -> Column:
     """A code without stray marks and surrounding space (STR7)."""
-    return F.trim(F.regexp_replace(F.translate(code, "´`’", "'''"), r"'+$|^'+", ""))
+    return F.trim(F.regexp_replace(F.translate(code, "´`’", "'''"), r"['\s]+$|^['\s]+", ""))
 
 
 def outline(lines: DataFrame, doc: str, no: str, line: str) -> DataFrame:
