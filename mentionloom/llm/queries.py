@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.llm import canonical, near_duplicates, packing, reading_level, residue, sentences, site_lines, tokens, truncation
+from mentionloom.llm import canonical, near_duplicates, packing, reading_level, residue, sentences, site_lines, stories, tokens, truncation
+from mentionloom.session import cut
 from mentionloom.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,9 +76,10 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 def _stories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Pairs and classes of the articles that are no residue and not of a site in Chinese."""
     articles = read(spark, sf, "articles")
-    chinese = read(spark, sf, "sources").where("main_language = 'zh'").select("source_domain")
-    return near_duplicates.near_duplicates(
-        articles.join(chinese, "source_domain", "left_anti"), least=0.5, width=3, exclude=residue.residue(articles))
+    chinese = read(spark, sf, "sources").where("main_language = 'zh'").select(F.col("source_domain").alias("source"))
+    scanned = cut(stories.scan(articles, width=3))
+    rows = scanned.where("kind = 'sign'").join(chinese, "source", "left_anti").select("id", "d1", "d2", "shards", "print")
+    return near_duplicates.near_duplicates(articles, least=0.5, width=3, exclude=residue.decide(scanned, "article_id"), rows=rows)
 
 
 @query("p4_found")

@@ -64,7 +64,7 @@ PLACEHOLDER = re.compile(
     rf"|@@{_NAME}@@|\b__[A-Z][A-Z0-9_.]*__|(?<![\w%])%{_NAME}%(?!\w)|\${{0}}(?<!\w)\$[A-Z][A-Z0-9_.]*\$|\[[^\[\]\n]{{1,40}} to come\]|\[INSERT [^\]\n]{{1,40}}\]|\bTK \S+ TK\b|##{_NAME}##|\*\|{_NAME}\|\*")
 _HINTS = ("{", "[", "<", "%", "$", "@@", "__", "##", "*|", "TK ")
 _WORD = re.compile(r"[^\W_]+")
-_DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"\d+")
 _CJK = re.compile("[㐀-鿿]+")
 _QUOTED = re.compile("[“«„\"][^”»“\"\n]{0,200}$")
 
@@ -75,7 +75,11 @@ LABEL_WORDS = 9
 
 def folded(text: str) -> str:
     """Lower case, figures as 0."""
-    return _DIGITS.sub("0", text.lower())
+    return DIGITS.sub("0", text.lower())
+
+
+def has_han(text: str) -> bool:
+    return bool(_CJK.search(text))
 
 
 def terms_of(folded_text: str) -> list[str]:
@@ -201,27 +205,39 @@ def _line_key(folded_line: str) -> int:
     return xxhash.xxh64_intdigest(" ".join(folded_line.split())) - (1 << 63)
 
 
+class Scan:
+    """What one pass over texts finds: candidates with their text, and of a batch its line counts by source, document
+    frequencies of the exemplars' terms, and documents by source."""
+
+    def __init__(self) -> None:
+        self.lines, self.terms, self.docs, self.found = Counter(), Counter(), Counter(), []
+
+    def add(self, key: object, source: str, text: str | None, low: str | None = None, words: list[str] | None = None) -> None:
+        """``low`` and ``words`` are the folded text and its terms, where a caller has them."""
+        self.docs[source] += 1
+        if not text:
+            return
+        low = folded(text) if low is None else low
+        words = terms_of(low) if words is None else words
+        self.terms.update(index()[1].keys() & set(words))
+        self.lines.update([(source, x) for x in {_line_key(x) for x in low.split("\n") if x and not x.isspace()}])
+        if is_candidate(text, words):
+            self.found.append((key, source, text))
+
+    def rows(self) -> Iterator[tuple]:
+        """(kind, id, source, text, line, n)."""
+        yield from (("text", k, s, t, None, None) for k, s, t in self.found)
+        yield from (("line", None, s, None, x, c) for (s, x), c in self.lines.items())
+        yield from (("term", None, None, t, None, c) for t, c in self.terms.items())
+        yield from (("docs", None, s, None, None, c) for s, c in self.docs.items())
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates (with their text), and of the batch: line counts by source, document frequencies, documents."""
-    _, at = index()
     for pdf in batches:
-        lines, df, rows, n = Counter(), Counter(), [], 0
-        for k, s, t in zip(pdf.iloc[:, 0], pdf["source"], pdf["text"]):
-            n += 1
-            if not t:
-                continue
-            low = folded(t)
-            words = terms_of(low)
-            df.update(at.keys() & set(words))
-            lines.update([(s, x) for x in {_line_key(x) for x in low.split("\n") if x and not x.isspace()}])
-            if is_candidate(t, words):
-                rows.append(("text", k, s, t, None, None))
-        rows += [("line", None, s, None, x, c) for (s, x), c in lines.items()]
-        rows += [("term", None, None, t, None, c) for t, c in df.items()]
-        sizes = Counter(pdf["source"])
-        rows += [("docs", None, s, None, None, c) for s, c in sizes.items()]
-        out = frame(rows, ["kind", "id", "source", "text", "line", "n"], {"line", "n"} | ({"id"} if pdf.iloc[:, 0].dtype.kind == "i" else set()))
-        yield out
+        s = Scan()
+        for row in zip(pdf.iloc[:, 0], pdf["source"], pdf["text"]):
+            s.add(*row)
+        yield frame(list(s.rows()), ["kind", "id", "source", "text", "line", "n"], {"line", "n"} | ({"id"} if pdf.iloc[:, 0].dtype.kind == "i" else set()))
 
 
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,12 +246,17 @@ def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "source", "line_no", "line"])
 
 
-def residue(articles: DataFrame, key: str = "article_id", source: str = "source_domain", text: str = "text",
-            min_articles: int = 4, min_share: float = 0.02) -> DataFrame:
+def residue(articles: DataFrame, key: str = "article_id", source: str = "source_domain", text: str = "text") -> DataFrame:
     """(key): the documents to exclude, distinct."""
     kind = articles.schema[key].dataType.simpleString()
-    scanned = cut(articles.select(F.col(key).alias("id"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text")).mapInPandas(
-        _scan, f"kind string, id {kind}, source string, text string, line long, n long"))
+    scanned = articles.select(F.col(key).alias("id"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text")).mapInPandas(
+        _scan, f"kind string, id {kind}, source string, text string, line long, n long")
+    return decide(cut(scanned), key)
+
+
+def decide(scanned: DataFrame, key: str, min_articles: int = 4, min_share: float = 0.02) -> DataFrame:
+    """The documents to exclude, from the rows of a scan."""
+    kind = scanned.schema["id"].dataType.simpleString()
     texts = scanned.where("kind = 'text'").groupBy("id").agg(F.first("source").alias("source"), F.first("text").alias("text"))
     # document frequencies of the exemplars' own terms: bounded by the exemplars
     freq = {r["text"]: r["n"] for r in scanned.where("kind = 'term'").groupBy("text").agg(F.sum("n").alias("n")).collect()}
@@ -249,9 +270,9 @@ def residue(articles: DataFrame, key: str = "article_id", source: str = "source_
     pages = counts.join(docs, "source").where((F.col("n") >= min_articles) & (F.col("n") >= F.col("docs") * min_share)).select("source", "line")
     paged = own.join(pages, ["source", "line"]).groupBy("id").agg(F.collect_set("line_no").alias("page"))
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [is_residue(t, set() if p is None else set(p), idf, top) for t, p in zip(pdf["text"], pdf["page"])]
             yield pdf.loc[keep, ["id"]].rename(columns={"id": key})
 
-    return texts.join(paged, "id", "left").select("id", "text", "page").mapInPandas(decide, f"`{key}` {kind}")
+    return texts.join(paged, "id", "left").select("id", "text", "page").mapInPandas(chosen, f"`{key}` {kind}")
