@@ -62,7 +62,8 @@ _NAME = r"[A-Za-z_][\w.\-]*(?:\[\d+\])?(?:\.[\w\[\]]+)*"
 PLACEHOLDER = re.compile(
     rf"\{{\{{[^{{}}\n]{{1,60}}\}}\}}|[$#]?\{{\s?{_NAME}\s?\}}|\[\[\s?{_NAME}\s?\]\]|<<\s?{_NAME}\s?>>|<%[^%\n]{{1,60}}%>|\{{%[^%\n]{{1,60}}%\}}"
     rf"|@@{_NAME}@@|\b__[A-Z][A-Z0-9_.]*__|(?<![\w%])%{_NAME}%(?!\w)|\${{0}}(?<!\w)\$[A-Z][A-Z0-9_.]*\$|\[[^\[\]\n]{{1,40}} to come\]|\[INSERT [^\]\n]{{1,40}}\]|\bTK \S+ TK\b|##{_NAME}##|\*\|{_NAME}\|\*")
-_HINTS = ("{", "[", "<", "%", "$", "@@", "__", "##", "*|", "TK ")
+_HINTS = ("{", "[[", "[INSERT ", " to come]", "<<", "<%", "@@", "__", "##", "*|", "TK ")
+_SIGN = re.compile(r"[$%][A-Za-z_]")
 _WORD = re.compile(r"[^\W_]+")
 DIGITS = re.compile(r"\d+")
 _CJK = re.compile("[㐀-鿿]+")
@@ -109,7 +110,8 @@ def index() -> tuple[list[tuple[str, bool, frozenset[str]]], dict[str, list[int]
 
 def has_placeholder(text: str) -> bool:
     """An unfilled placeholder that is not inside a quotation."""
-    return any(h in text for h in _HINTS) and any(not _QUOTED.search(text[max(0, m.start() - 200) : m.start()].rsplit("\n", 1)[-1]) for m in PLACEHOLDER.finditer(text))
+    hinted = any(h in text for h in _HINTS) or (("$" in text or "%" in text) and _SIGN.search(text))
+    return bool(hinted) and any(not _QUOTED.search(text[max(0, m.start() - 200) : m.start()].rsplit("\n", 1)[-1]) for m in PLACEHOLDER.finditer(text))
 
 
 def repeats(words: list[str]) -> bool:

@@ -26,9 +26,10 @@ def scan(articles: DataFrame, width: int) -> DataFrame:
             s, docs, keys, sources = residue.Scan(), [], pdf["id"].tolist(), pdf["source"].tolist()
             for k, source, title, text in zip(keys, sources, pdf["title"], pdf["text"]):
                 text = text or ""
-                words = near_duplicates.words_of(text)
+                plain = normalize_text(text)
+                words = near_duplicates.WORD.findall(plain.lower())
                 # the terms of a residue scan are the same words with figures as 0, where nothing sets them apart
-                same = text and "_" not in text and (text.isascii() or (normalize_text(text) is text and not residue.has_han(text)))
+                same = plain is text and "_" not in text and (text.isascii() or not residue.has_han(text))
                 terms = [w if w.isalpha() else residue.DIGITS.sub("0", w) for w in words] if same else None
                 s.add(k, source, text, None, terms)
                 docs.append(near_duplicates.words_of(title) + words if title else words)
