@@ -78,7 +78,7 @@ def _rule(is_break: bool, before: str, after: str) -> tuple[bool, re.Pattern, re
 #: Rules of every script: quotations, dashes and whatever goes on in lower case belong to the same statement.
 COMMON = [
     _rule(False, r"", rf"{SPACE}*[,;:]"),
-    _rule(False, rf"[{_CLOSE}]", rf"{SPACE}*[—–]{SPACE}*{_LOW}"),
+    _rule(False, rf"[{_CLOSE}]", rf"{SPACE}*[—–]{SPACE}*(?!{_UP})"),
     _rule(False, r"[!?…]", rf"{SPACE}*[—–]{SPACE}*{_LOW}"),
     _rule(False, r"", rf"{SPACE}+[{_OPEN}]*{_LOW}"),
     _rule(True, r"", r""),
