@@ -224,21 +224,20 @@ def conll(labels: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     return out.select(*by, F.round((F.col("f0") + F.col("f1") + F.col("f2")) / 3, 6).alias("conll_f1"))
 
 
-def extended_b_cubed(pairs: DataFrame) -> DataFrame:
-    """B-cubed for items in several chains: (item, labels key array, labels response array) to recall and precision, by
-    the multiplicity of shared labels. Pairs are formed only between items that share a label on that side."""
-    a = pairs.select("item", F.col("key").alias("k"), F.col("response").alias("r"))
-
-    def side(own: str, other: str) -> DataFrame:
-        e = a.select("item", F.explode(own).alias("l"), own, other)
-        x = e.select("l", F.col("item").alias("i"), F.col(own).alias("oi"), F.col(other).alias("ti"))
-        y = e.select("l", F.col("item").alias("j"), F.col(own).alias("oj"), F.col(other).alias("tj"))
-        p = x.join(y, "l").select("i", "j", "oi", "oj", "ti", "tj").distinct()
+def extended_b_cubed(items: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """B-cubed for items in several chains: (by, item, key array, response array) to recall and precision, by the
+    multiplicity of shared labels. Pairs are formed only between items that share a label on that side."""
+    a = items.select(*by, "item", F.col("key").alias("k"), F.col("response").alias("r"))
+
+    def side(own: str, other: str, name: str) -> DataFrame:
+        e = a.select(*by, "item", F.explode(own).alias("l"), own, other)
+        x = e.select(*by, "l", F.col("item").alias("i"), F.col(own).alias("oi"), F.col(other).alias("ti"))
+        y = e.select(*by, "l", F.col("item").alias("j"), F.col(own).alias("oj"), F.col(other).alias("tj"))
+        p = x.join(y, [*by, "l"]).select(*by, "i", "j", "oi", "oj", "ti", "tj").distinct()
         so, st = F.size(F.array_intersect("oi", "oj")), F.size(F.array_intersect("ti", "tj"))
-        return p.groupBy("i").agg(F.avg(F.least(so, st) / so).alias("x")).agg(F.avg("x").alias("x"))
+        return p.groupBy(*by, "i").agg(F.avg(F.least(so, st) / so).alias("x")).groupBy(*by).agg(F.avg("x").alias(name))
 
-    j = side("k", "r").select(F.col("x").alias("rec")).crossJoin(side("r", "k").select(F.col("x").alias("pre")))
-    return _scored(j, [], F.col("rec"), F.col("pre"))
+    return _scored(_joined(side("k", "r", "rec"), side("r", "k", "pre"), by), by, F.col("rec"), F.col("pre"))
 
 
 def phrasing_complexity(mentions: DataFrame, entity: str, head: str, wordset: str, by: list[str] = []) -> DataFrame:  # noqa: B006

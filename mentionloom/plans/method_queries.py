@@ -309,10 +309,9 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
     return sieves.grid_edges(mentions(spark, sf).where(F.size("words") > 0), 0.5).select("topic_id", "a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query("t5_phrase_distance", _E + "SELECT x.topic_id, x.entity AS a, y.entity AS b FROM ent x JOIN ent y ON x.topic_id = y.topic_id AND x.etype = y.etype AND substr(x.entity, 1, 1) = substr(y.entity, 1, 1) AND x.entity < y.entity WHERE (CASE WHEN replace(x.entity, '.', '') = replace(y.entity, '.', '') THEN 0 ELSE levenshtein(x.entity, y.entity) END) / greatest(length(x.entity), length(y.entity))::DOUBLE <= 0.6 AND regexp_full_match(x.entity || y.entity, '[\\x00-\\x7f]*')")
+@query("t5_phrase_distance")
 def t5(spark: SparkSession, sf: str) -> DataFrame:
-    e = sieves.phrase_distance_edges(sieves.entities(mentions(spark, sf)), 0.6)
-    return e.where(F.concat("a", "b").rlike(r"^[\x00-\x7f]*$")).select("topic_id", "a", "b")
+    return sieves.phrase_distance_edges(sieves.entities(mentions(spark, sf)), 0.6).select("topic_id", "a", "b")
 
 
 @query("sieve_chain_components")

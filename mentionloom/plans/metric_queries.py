@@ -36,10 +36,8 @@ def met2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("met3_extended_b_cubed")
 def met3(spark: SparkSession, sf: str) -> DataFrame:
-    m = mentions(spark, sf).where("topic_id IS NOT NULL")
-    topic = m.agg(F.min("topic_id").alias("topic_id"))
-    one = m.join(F.broadcast(topic), "topic_id")  # multiplicity is defined over pairs; one topic is one evaluation
-    return metrics.extended_b_cubed(one.select(F.col("mention_id").alias("item"), F.split("labels", r"\+").alias("key"), F.array("head").alias("response")))
+    m = mentions(spark, sf).where("head IS NOT NULL")
+    return metrics.extended_b_cubed(m.select("topic_id", F.col("mention_id").alias("item"), F.split("labels", r"\+").alias("key"), F.array("head").alias("response")), BY)
 
 
 @query("met4_met5_ceaf")

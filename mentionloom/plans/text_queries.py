@@ -14,17 +14,13 @@ from mentionloom.sources.tables import read
 
 # -- scalars ---------------------------------------------------------------------------------------------------------
 
-_TXT = M + ", p AS (SELECT DISTINCT topic_id, chain, text FROM m), q AS (SELECT topic_id, chain, min(text) AS a, max(text) AS b FROM p GROUP BY ALL)"
-
-
 def _two_texts(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).groupBy("topic_id", "chain").agg(F.min("text").alias("a"), F.max("text").alias("b"))
 
 
-@query("str1_edit_distance", _TXT + " SELECT chain, topic_id, CASE WHEN replace(a, '.', '') = replace(b, '.', '') THEN 0 ELSE levenshtein(a, b) END::BIGINT AS distance FROM q WHERE regexp_full_match(a || b, '[\\x00-\\x7f]*')")
+@query("str1_edit_distance")
 def str1(spark: SparkSession, sf: str) -> DataFrame:
-    """Plain letters only: the oracle counts bytes where this counts characters."""
-    t = _two_texts(spark, sf).where(F.concat("a", "b").rlike(r"^[\x00-\x7f]*$"))
+    t = _two_texts(spark, sf)
     return t.select("chain", "topic_id", scalars.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
 
 

@@ -83,3 +83,31 @@ def test_significance(spark):
     up = df.selectExpr("k", "a + 1 AS a", "b")
     assert significance.permutation(up, "k", "a", "b", 99).first().p == 0.01
     assert significance.bootstrap(up, "k", "a", "b", 20).first().share == 0.0
+
+
+def test_edit_distance(spark):
+    rng = random.Random(8)
+    pairs = [("".join(rng.choices("abcé.Ж", k=rng.randrange(8))), "".join(rng.choices("abcé.Ж", k=rng.randrange(8)))) for _ in range(60)] + [("U.S.", "US"), ("", "")]
+
+    def distance(a, b):
+        if a.replace(".", "") == b.replace(".", ""):
+            return 0
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r.d for r in df.select(scalars.edit_distance(df["a"], df["b"]).alias("d")).collect()] == [distance(*p) for p in pairs]
+
+
+def test_extended_b_cubed_is_b_cubed_for_single_labels(spark):
+    from mentionloom.operators import metrics
+
+    rng = random.Random(9)
+    rows = [(str(i % 2), i, rng.choice("abc"), rng.choice("xyz")) for i in range(40)]
+    one = spark.createDataFrame([(t, i, [k], [r]) for t, i, k, r in rows], "t string, item int, key array<string>, response array<string>")
+    two = spark.createDataFrame(rows, "t string, mention_id int, key string, response string")
+    assert {tuple(r) for r in metrics.extended_b_cubed(one, ["t"]).collect()} == {tuple(r) for r in metrics.b_cubed(two, ["t"]).collect()}
