@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionloom.llm import near_duplicates, residue
 from mentionloom.llm.canonical import normalize_text
-from mentionloom.llm.frames import frame
 
-_COLUMNS = ["kind", "id", "source", "text", "line", "n", "d1", "d2", "shards", "print"]
-_WHOLE = {"id", "line", "n", "d1", "d2"}
+_LONG, _LONGS = pa.int64(), pa.list_(pa.int64())
+_TYPES = {"kind": pa.string(), "id": _LONG, "source": pa.string(), "text": pa.string(), "line": _LONG, "n": _LONG, "d1": _LONG, "d2": _LONG, "shards": _LONGS, "print": _LONGS}
 _SCHEMA = "kind string, id long, source string, text string, line long, n long, d1 long, d2 long, shards array<long>, print array<long>"
 
 
+def _batch(kind: str, **columns: list) -> pa.RecordBatch:
+    """Rows of one kind; columns not given are null."""
+    n = len(next(iter(columns.values())))
+    columns["kind"] = [kind] * n
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _TYPES.items()], list(_TYPES))
+
+
 def scan(articles: DataFrame, width: int) -> DataFrame:
     """The rows of a residue scan, and (kind "sign") the signature of every article's title and text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = near_duplicates.Hasher()
-        for pdf in batches:
-            s, docs, keys, sources = residue.Scan(), [], pdf["id"].tolist(), pdf["source"].tolist()
-            for k, source, title, text in zip(keys, sources, pdf["title"], pdf["text"]):
+        for b in batches:
+            s, docs, (keys, sources, titles, texts) = residue.Scan(), [], (c.to_pylist() for c in b.columns)
+            for k, source, title, text in zip(keys, sources, titles, texts):
                 text = text or ""
                 plain = normalize_text(text)
                 words = near_duplicates.WORD.findall(plain.lower())
@@ -33,10 +39,12 @@ def scan(articles: DataFrame, width: int) -> DataFrame:
                 terms = [w if w.isalpha() else residue.DIGITS.sub("0", w) for w in words] if same else None
                 s.add(k, source, text, None, terms)
                 docs.append(near_duplicates.words_of(title) + words if title else words)
-            rows = list(s.rows())
-            out = [(*r, None, None, None, None) for r in rows]
             where = dict(zip(keys, sources))
-            out += [("sign", k, where[k], None, None, None, d1, d2, sh, p) for k, d1, d2, sh, p in near_duplicates.signed(hasher, keys, docs, width)]
-            yield frame(out, _COLUMNS, _WHOLE)
-
-    return articles.select(F.col("article_id").cast("long").alias("id"), F.coalesce("source_domain", F.lit("")).alias("source"), "title", "text").mapInPandas(run, _SCHEMA)
+            k, d1, d2, shards, prints = zip(*near_duplicates.signed(hasher, keys, docs, width)) if any(len(d) >= width for d in docs) else ((),) * 5
+            yield _batch("sign", id=list(k), source=[where[x] for x in k], d1=list(d1), d2=list(d2), shards=list(shards), print=list(prints))
+            yield _batch("text", id=[x[0] for x in s.found], source=[x[1] for x in s.found], text=[x[2] for x in s.found])
+            yield _batch("line", source=[x for x, _ in s.lines], line=[x for _, x in s.lines], n=list(s.lines.values()))
+            yield _batch("term", text=list(s.terms), n=list(s.terms.values()))
+            yield _batch("docs", source=list(s.docs), n=list(s.docs.values()))
+
+    return articles.select(F.col("article_id").cast("long").alias("id"), F.coalesce("source_domain", F.lit("")).alias("source"), "title", "text").mapInArrow(run, _SCHEMA)
