@@ -173,25 +173,27 @@ def _resolve(key: tuple, tokens: pd.DataFrame, words: pd.DataFrame) -> pd.DataFr
     rows = []
     for t in tokens["token"]:
         hit = trie.best(t)
-        rows.append((t, hit if hit is not None else by_table(t), hit is not None))
-    return pd.DataFrame(rows, columns=["token", "canonical", "in_vocabulary"])
+        form = hit if hit is not None else by_table(t)
+        # no usual spelling: letters of several scripts that look like no others, accents that compose with nothing
+        rows.append((t, form, hit is not None, form == t or is_dirty(form)))
+    return pd.DataFrame(rows, columns=["token", "canonical", "in_vocabulary", "unresolved"])
 
 
 def token_forms(scanned: DataFrame, shards: int | None = None) -> DataFrame:
-    """(token, canonical, in_vocabulary) of each distinct dirty token."""
+    """(token, canonical, in_vocabulary, unresolved) of each distinct dirty token."""
     tokens = scanned.where("n IS NULL AND token IS NOT NULL").groupBy("token").agg(F.first("skeleton").alias("skeleton"))
     n = shards or int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("skeleton"), F.lit(n)).alias("shard")
     words = scanned.where("n IS NOT NULL").join(tokens.select("skeleton").distinct(), "skeleton", "left_semi")
     words = words.groupBy(F.col("token").alias("word"), "skeleton").agg(F.sum("n").alias("n")).select("word", "n", shard)
     return tokens.select("token", shard).groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(
-        _resolve, T.StructType([T.StructField("token", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("in_vocabulary", T.BooleanType())]))
+        _resolve, T.StructType([T.StructField("token", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("in_vocabulary", T.BooleanType()), T.StructField("unresolved", T.BooleanType())]))
 
 
 def disguised_fields(articles: DataFrame, key: str = "article_id", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:
     """(key, field) of every field with a token whose canonical spelling differs from it, or a space other than U+0020."""
     scanned = scan(articles, key, fields)
-    changed = token_forms(scanned).where("NOT (token <=> canonical)")
+    changed = token_forms(scanned).where("NOT (token <=> canonical) OR unresolved")
     at = scanned.where("n IS NULL")
     by_token = at.where("token IS NOT NULL").join(changed, "token").select(key, "field")
     return by_token.union(at.where("token IS NULL").select(key, "field")).distinct()
@@ -214,6 +216,6 @@ def canonical_fields(articles: DataFrame, key: str = "article_id", fields: tuple
     kind = articles.schema[key].dataType.simpleString()
     scanned = scan(articles, key, fields)
     at = scanned.where("n IS NULL AND token IS NOT NULL").select(key, "field", "token").distinct()
-    own = at.join(token_forms(scanned), "token").groupBy(key, "field").agg(F.collect_list(F.struct("token", "canonical")).alias("forms"))
+    own = at.join(token_forms(scanned).select("token", "canonical"), "token").groupBy(key, "field").agg(F.collect_list(F.struct("token", "canonical")).alias("forms"))
     whole = _fields(articles, key, fields).groupBy(key, "field").agg(F.max("value").alias("value"))
     return whole.join(own, [key, "field"], "left").mapInPandas(_replace, f"`{key}` {kind}, field string, value string")

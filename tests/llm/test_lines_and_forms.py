@@ -61,9 +61,9 @@ def test_trie_prefers_known_spellings():
 
 
 def test_disguised_fields(spark):
-    rows = [(1, "s", "Plain", "The cat sat."), (2, "s", "Ｔｈｅ cat", "ok"), (3, "s", None, "the cat"), (4, "s", "", None), (5, "s", "cаt", "c​at"), (5, "s", "cаt", "c​at"), (6, "s", "кот", "“ok” – …�")]
+    rows = [(1, "s", "Plain", "The cat sat."), (2, "s", "Ｔｈｅ cat", "ok"), (3, "s", None, "the cat"), (4, "s", "", None), (5, "s", "cаt", "c​at"), (5, "s", "cаt", "c​at"), (6, "s", "кот", "“ok” – …�"), (7, "s", "Яhoo", "x\u0301")]
     df = art(spark, rows)
-    assert {tuple(r) for r in canonical.disguised_fields(df).collect()} == {(2, "title"), (3, "text"), (5, "title"), (5, "text")}
+    assert {tuple(r) for r in canonical.disguised_fields(df).collect()} == {(2, "title"), (3, "text"), (5, "title"), (5, "text"), (7, "title"), (7, "text")}
     got = {(r.article_id, r.field): r.value for r in canonical.canonical_fields(df).collect()}
     assert got[2, "title"] == "The cat" and got[3, "text"] == "the cat" and got[5, "title"] == got[5, "text"] == "cat" and got[4, "title"] == "" and (4, "text") not in got
     assert canonical.disguised_fields(df.limit(0)).count() == 0
