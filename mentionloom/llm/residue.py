@@ -33,23 +33,23 @@ from mentionloom.session import cut
 # Labelled exemplars. "~" marks a weak one: it explains words but retrieves nothing alone.
 EXEMPLARS = {
     "error": """
-404 Not Found|403 Forbidden|401 Unauthorized|400 Bad Request|500 Internal Server Error|Internal Server Error|502 Bad Gateway|503 Service Unavailable|503 Service Temporarily Unavailable|Service Unavailable|504 Gateway Timeout|Gateway time-out|Access denied|Too many requests|Request timed out|Connection refused|Connection timed out|Database connection failed|Error establishing a database connection|Your session has expired|Page not found|Error 404: page not found|Oops! That page can't be found.|Something went wrong|An unexpected error occurred|Bad Gateway|The site is down for maintenance
+404 Not Found|403 Forbidden|401 Unauthorized|400 Bad Request|500 Internal Server Error|Internal Server Error|502 Bad Gateway|503 Service Unavailable|503 Service Temporarily Unavailable|Service Unavailable|504 Gateway Timeout|Gateway time-out|Access denied|Too many requests|Request timed out|Connection refused|Connection timed out|Database connection failed|Error establishing a database connection|Your session has expired|Page not found|Error 404: page not found|Oops! That page can't be found.|Something went wrong|An unexpected error occurred|Bad Gateway|The site is down for maintenance|This site can't be reached
 The page you asked for may have moved or no longer exists.|The page you are looking for does not exist.|The server could not complete your request.|Upstream host did not answer in 515 ms.|~Please try again in a few minutes.|~Please try again later.|~Go back to the home page or try a search.|~Reference #1.2|~Request ID: 1|~nginx/1.2|~Apache Server at port|Traceback: KeyError 'article_1'|Traceback (most recent call last)|Fatal error: uncaught exception|~Error code
-Fehler 404 – Seite nicht gefunden|Seite nicht gefunden|Zugriff verweigert|Interner Serverfehler|Dienst nicht verfügbar|Ihre Sitzung ist abgelaufen|Die gesuchte Seite existiert nicht mehr.|Zu viele Anfragen|~Bitte versuchen Sie es später erneut.|~Zurück zur Startseite|Datenbankverbindung fehlgeschlagen|Zeitüberschreitung der Anfrage|~Referenz 1
-Accès refusé|Service indisponible|Page introuvable|Erreur 404 : page introuvable|Erreur interne du serveur|La page demandée n'existe plus.|Votre session a expiré|Trop de requêtes|~Veuillez réessayer plus tard.|~Retour à l'accueil|~Référence 1|Délai d'attente dépassé
-Acceso denegado|Servicio no disponible|Página no encontrada|Error 404: página no encontrada|Error interno del servidor|La página solicitada ya no existe.|Su sesión ha caducado|Demasiadas solicitudes|~Vuelva a intentarlo más tarde.|~Volver a la portada|~Referencia 1|Tiempo de espera agotado
+Fehler 404 – Seite nicht gefunden|Seite nicht gefunden|Zugriff verweigert|Interner Serverfehler|Dienst nicht verfügbar|Ihre Sitzung ist abgelaufen|Die gesuchte Seite existiert nicht mehr.|Zu viele Anfragen|~Bitte versuchen Sie es später erneut.|~Zurück zur Startseite|Datenbankverbindung fehlgeschlagen|Diese Website ist nicht erreichbar|Zeitüberschreitung der Anfrage|~Referenz 1
+Accès refusé|Service indisponible|Page introuvable|Erreur 404 : page introuvable|Erreur interne du serveur|La page demandée n'existe plus.|Votre session a expiré|Trop de requêtes|~Veuillez réessayer plus tard.|~Retour à l'accueil|~Référence 1|Délai d'attente dépassé|Ce site est inaccessible
+Acceso denegado|Servicio no disponible|Página no encontrada|Error 404: página no encontrada|Error interno del servidor|La página solicitada ya no existe.|Su sesión ha caducado|Demasiadas solicitudes|~Vuelva a intentarlo más tarde.|~Volver a la portada|~Referencia 1|Tiempo de espera agotado|No se puede acceder a este sitio
 Страница не найдена|Доступ запрещён|Ошибка 404: страница не найдена|Внутренняя ошибка сервера|Сервис временно недоступен|Запрошенная страница больше не существует|Сессия истекла|Слишком много запросов|~Попробуйте позже|~Вернуться на главную
 页面不存在|找不到页面|访问被拒绝|服务器内部错误|服务不可用|会话已过期|~请稍后再试|~返回首页""",
     "scripts": """
-Please enable JavaScript to view this page.|You need to enable JavaScript to run this app.|JavaScript is disabled in your browser.|JavaScript is required|This website requires scripts to be turned on.|Scripts are disabled in your browser.|Checking your browser before you go on...|Checking your browser before accessing|Your browser does not support JavaScript|~Turn it on in your settings and reload.|~Then refresh this page.|~If you use a blocker, add to its list.|~Need help?|~See the support pages of|~Code 1.|Please enable cookies to continue|Verify you are human
-Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.|Für diese Anwendung werden Skripte benötigt.|JavaScript ist in Ihrem Browser deaktiviert.|Diese Website benötigt JavaScript.|~Danach laden Sie die Seite neu.|Ihr Browser wird überprüft
-Les scripts sont désactivés dans votre navigateur.|Veuillez activer JavaScript pour afficher cette page.|Ce site nécessite JavaScript.|Cette application a besoin de scripts.|~Rechargez ensuite la page.|~Code 1.|Vérification de votre navigateur
-Active JavaScript para ver esta página.|Este sitio necesita que los scripts estén permitidos.|JavaScript está desactivado en su navegador.|Esta aplicación requiere scripts.|~Después recargue la página.|~Código 1.|Comprobando su navegador
+Please enable JavaScript to view this page.|You need to enable JavaScript to run this app.|JavaScript is disabled in your browser.|JavaScript is required|This website requires scripts to be turned on.|Scripts are disabled in your browser.|Checking your browser before you go on...|Checking your browser before accessing|Your browser does not support JavaScript|~Turn it on in your settings and reload.|~Then refresh this page.|~If you use a blocker, add to its list.|~Need help?|~See the support pages of|~Code 1.|Please enable cookies to continue|Verify you are human|We have detected that scripts are blocked.
+Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.|Für diese Anwendung werden Skripte benötigt.|JavaScript ist in Ihrem Browser deaktiviert.|Diese Website benötigt JavaScript.|~Danach laden Sie die Seite neu.|Ihr Browser wird überprüft|Wir haben festgestellt, dass Skripte blockiert sind.
+Les scripts sont désactivés dans votre navigateur.|Veuillez activer JavaScript pour afficher cette page.|Ce site nécessite JavaScript.|Cette application a besoin de scripts.|~Rechargez ensuite la page.|~Code 1.|Vérification de votre navigateur|Nous avons détecté que les scripts sont bloqués.
+Active JavaScript para ver esta página.|Este sitio necesita que los scripts estén permitidos.|JavaScript está desactivado en su navegador.|Esta aplicación requiere scripts.|~Después recargue la página.|~Código 1.|Comprobando su navegador|Hemos detectado que los scripts están bloqueados.
 Включите JavaScript, чтобы просмотреть страницу.|В вашем браузере отключён JavaScript.|Для работы сайта нужны скрипты.|~Затем обновите страницу.|~Код 1.
 请启用JavaScript以查看此页面|您的浏览器已禁用脚本|本网站需要启用脚本|~然后刷新页面""",
     "filler": """
 Your summary here.|Test test test.|Insert a second sentence here.|This is a sample paragraph.|Headline goes here.|Replace this text with your own.|Dummy entry, do not publish.|Caption placeholder.|Body copy goes here.|Sample text|Placeholder text|Lorem ipsum dolor sit amet|Your text here|Insert headline here|Type your text here|Subheading goes here|Intro text to come
-Blindtext, bitte ersetzen.|Hier steht der Text.|Mustertext für den Artikel.|Überschrift hier einfügen.|Nur ein Test, nicht veröffentlichen.|Platzhaltertext|Testeintrag, nicht veröffentlichen|Vorspann hier einfügen|Beispielabsatz
+Blindtext, bitte ersetzen.|Hier steht der Text.|Mustertext für den Artikel.|Überschrift hier einfügen.|Nur ein Test, nicht veröffentlichen.|Platzhaltertext|Testeintrag, nicht veröffentlichen|Testeintrag, nicht freigeben.|Vorspann hier einfügen|Beispielabsatz
 Texte à remplacer.|Paragraphe d'essai.|Insérer le titre ici.|Ne pas publier, test.|Votre chapeau ici.|Texte d'exemple|Texte de remplissage|Le texte vient ici.|Légende à compléter
 Texto de relleno.|Inserte el titular aquí.|Prueba, no publicar.|Escriba aquí el cuerpo.|Párrafo de muestra.|Texto de ejemplo|Sustituya este texto.|Su resumen aquí.|Pie de foto pendiente
 Текст для замены.|Вставьте заголовок сюда.|Тест, не публиковать.|Пример абзаца.|Здесь будет текст|Текст-заполнитель

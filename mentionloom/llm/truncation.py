@@ -50,13 +50,15 @@ THRESHOLDS = {
     ("hard", "description"): 9.0, ("hard", "text"): 9.0,
     ("attached", "description"): 3.0, ("attached", "text"): 3.0,
     ("spaced", "description"): 0.0, ("spaced", "text"): 0.0,
-    ("open, several", "description"): 4.0, ("open, several", "text"): 0.7,
+    ("open, several", "description"): 20.0, ("open, several", "text"): 0.7,
     ("open, long", "description"): 2.2, ("open, long", "text"): 0.5,
-    ("open, one", "description"): -4.5, ("open, one", "text"): -1.5,
+    ("open, one", "description"): -5.0, ("open, one", "text"): -1.5,
     ("ended", "description"): -6.0, ("ended", "text"): -6.0,
 }
 #: Added to the threshold of an open value whose length is a limit: many open values of its source and column have it.
 AT_LIMIT = 4.0
+#: No limit is this short; headlines are.
+SHORTEST_LIMIT = 100
 
 
 @lru_cache(1)
@@ -197,8 +199,9 @@ def _counter(wanted: np.ndarray):  # noqa: ANN202
             for a in range(0, len(parts), 2000):
                 codes = _codes(sep + sep.join(parts[a : a + 2000]) + sep)
                 end = ends(codes)
-                # no event at the end of a description (marked by 0, 1), nor between values
-                live = (codes > 1) & ~np.r_[(codes[1:] == 0) & (np.r_[codes[2:], [0]] == 1), [True]]
+                # no event at the end of a description (marked by 0, 1), between values, or inside a number
+                figure = (codes >= 48) & (codes <= 57)
+                live = (codes > 1) & ~(figure & np.r_[figure[1:], [False]]) & ~np.r_[(codes[1:] == 0) & (np.r_[codes[2:], [0]] == 1), [True]]
                 for o, h in rolling(codes).items():
                     at = (h & _U(BITS - 1)).astype(np.int64)
                     hit = np.flatnonzero(live & ((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
@@ -243,7 +246,7 @@ def truncated(articles: DataFrame, key: str = "article_id", source: str = "sourc
     # lengths at which open values of a source and column pile up: far more than at the lengths around
     lengths = found.where("kind LIKE 'open%'").groupBy("source", "field", "length").agg(F.count("*").alias("m"))
     around = Window.partitionBy("source", "field").orderBy("length").rangeBetween(-10, 10)
-    piled = lengths.withColumn("near", (F.sum("m").over(around) - F.col("m")) / 20.0).where((F.col("m") >= 3) & (F.col("m") > 5 * F.col("near")))
+    piled = lengths.withColumn("near", (F.sum("m").over(around) - F.col("m")) / 20.0).where((F.col("length") >= SHORTEST_LIMIT) & (F.col("m") >= 3) & (F.col("m") > 5 * F.col("near")))
     piled = piled.select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("length").alias("n"), F.lit(True).alias("piled"))
     j = j.join(piled, j["source"].eqNullSafe(F.col("s")) & (j["field"] == F.col("f")) & (j["length"] == F.col("n")), "left")
     scored = j.join(F.broadcast(limits), ["kind", "field"]).join(prior, "language")
