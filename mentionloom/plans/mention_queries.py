@@ -354,7 +354,7 @@ def agg11(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("agg12_representative_phrases", M + """, p AS (SELECT chain, text, count(*) AS n, any_value(len(words)) AS len FROM m WHERE len(words) > 0 GROUP BY ALL), s AS (SELECT *, round(ln(1 + len) * ln(1 + n), 6) AS relevance FROM p)
-SELECT chain, text, relevance, rank FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY relevance DESC, text) AS rank FROM s) WHERE rank <= 5""")
+SELECT chain, text, relevance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY relevance DESC, text) AS rank FROM s) WHERE rank <= 5""")
 def agg12(spark: SparkSession, sf: str) -> DataFrame:
     p = mentions(spark, sf).where(F.size("words") > 0).groupBy("chain", "text").agg(F.count("*").alias("n"), F.first(F.size("words")).alias("len"))
     s = p.withColumn("relevance", F.round(F.log1p("len") * F.log1p("n"), 6))
@@ -480,7 +480,7 @@ def win4(spark: SparkSession, sf: str) -> DataFrame:
     return ops.first_of(ops.head_overlap(mentions(spark, sf), ["topic_id"], "chain", "head"), ["a"], [F.desc("shared"), F.asc("b")]).select("a", "b", "shared")
 
 
-@query("win5_top_neighbours", _PAIRS + " SELECT a, b, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM p) WHERE rank <= 4")
+@query("win5_top_neighbours", _PAIRS + " SELECT a, b, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM p) WHERE rank <= 4")
 def win5(spark: SparkSession, sf: str) -> DataFrame:
     return ops.top_of(ops.head_overlap(mentions(spark, sf), ["topic_id"], "chain", "head"), ["a"], [F.desc("shared"), F.asc("b")], 4).select("a", "b", "rank")
 
@@ -524,7 +524,7 @@ def srt2(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).select("topic_id", "chain", "mention_id").orderBy("topic_id", "chain", "mention_id")
 
 
-@query("lim1_top_wordsets", M + ", p AS (SELECT chain, array_to_string(list_sort(list_distinct(words)), ' ') AS wordset, count(*) AS n FROM m GROUP BY ALL) SELECT chain, wordset, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY n DESC, wordset) AS rank FROM p) WHERE rank <= 6")
+@query("lim1_top_wordsets", M + ", p AS (SELECT chain, array_to_string(list_sort(list_distinct(words)), ' ') AS wordset, count(*) AS n FROM m GROUP BY ALL) SELECT chain, wordset, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY n DESC, wordset) AS rank FROM p) WHERE rank <= 6")
 def lim1(spark: SparkSession, sf: str) -> DataFrame:
     p = mentions(spark, sf).groupBy("chain", F.array_join(F.array_sort(F.array_distinct("words")), " ").alias("wordset")).agg(F.count("*").alias("n"))
     return ops.top_of(p, ["chain"], [F.desc("n"), F.asc("wordset")], 6).select("chain", "wordset", "n", "rank")
