@@ -140,10 +140,10 @@ def anchors() -> tuple[dict[str, list[int]], list[int]]:
     return {t: [e for e in es if not rows[e][1]] for t, es in rare.items() if any(not rows[e][1] for e in es)}, need
 
 
-def is_candidate(text: str, words: list[str]) -> bool:
-    """Whether the text contains most of an exemplar or much filler: never false for a case."""
+def is_candidate(text: str, words: list[str], own: set[str] | None = None) -> bool:
+    """Whether the text contains most of an exemplar or much filler: never false for a case. ``own``: its distinct words."""
     at, need = anchors()
-    own = set(words)
+    own = set(words) if own is None else own
     hits = Counter([e for t in at.keys() & own for e in at[t]])
     if any(n >= need[e] for e, n in hits.items()) and any(_touched(x) for x in text.split("\n")):
         return True
@@ -221,9 +221,10 @@ class Scan:
             return
         low = folded(text) if low is None else low
         words = terms_of(low) if words is None else words
-        self.terms.update(index()[1].keys() & set(words))
+        own = set(words)
+        self.terms.update(index()[1].keys() & own)
         self.lines.update([(source, x) for x in {_line_key(x) for x in low.split("\n") if x and not x.isspace()}])
-        if is_candidate(text, words):
+        if is_candidate(text, words, own):
             self.found.append((key, source, text))
 
     def rows(self) -> Iterator[tuple]:
