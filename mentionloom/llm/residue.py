@@ -184,17 +184,20 @@ def is_residue(text: str, page: set[int], idf: dict[str, float], top: float) ->
     """The decision for one text; ``page`` has the numbers of its page lines."""
     if has_placeholder(text):
         return True
-    windows = []
+    windows, covered = [], False
     for i, line in enumerate(text.split("\n")):
         words = terms(line)
-        if not words or i in page:
+        if not words:
+            continue
+        if i in page:
+            covered = covered or coverage(words, idf, top) >= COVERED
             continue
         c = coverage(words, idf, top)
         label = c < COVERED and len(words) <= LABEL_WORDS and not re.search(r"[.!?。！？…][\s”»\"')\]]*$", line)
         if not label:
             windows.append((len(line), c))
     if not windows:
-        return False
+        return covered  # page lines alone: an error page may be the same in many articles
     for skip in (0, 1):  # at most an opening paragraph
         rest = windows[skip:]
         size = sum(n for n, _ in rest)
@@ -208,31 +211,31 @@ def _line_key(folded_line: str) -> int:
 
 
 class Scan:
-    """What one pass over texts finds: candidates with their text, and of a batch its line counts by source, document
-    frequencies of the exemplars' terms, and documents by source."""
+    """What one pass over texts finds: candidates with their text, and of a batch every article's lines and source and the
+    document frequencies of the exemplars' terms."""
 
     def __init__(self) -> None:
-        self.lines, self.terms, self.docs, self.found = Counter(), Counter(), Counter(), []
+        self.lines, self.terms, self.docs, self.found = set(), Counter(), [], []
 
     def add(self, key: object, source: str, text: str | None, low: str | None = None, words: list[str] | None = None) -> None:
         """``low`` and ``words`` are the folded text and its terms, where a caller has them."""
-        self.docs[source] += 1
+        self.docs.append((key, source))
         if not text:
             return
         low = folded(text) if low is None else low
         words = terms_of(low) if words is None else words
         own = set(words)
         self.terms.update(index()[1].keys() & own)
-        self.lines.update([(source, x) for x in {_line_key(x) for x in low.split("\n") if x and not x.isspace()}])
+        self.lines.update([(key, source, x) for x in {_line_key(x) for x in low.split("\n") if x and not x.isspace()}])
         if is_candidate(text, words, own):
             self.found.append((key, source, text))
 
     def rows(self) -> Iterator[tuple]:
         """(kind, id, source, text, line, n)."""
         yield from (("text", k, s, t, None, None) for k, s, t in self.found)
-        yield from (("line", None, s, None, x, c) for (s, x), c in self.lines.items())
+        yield from (("line", k, s, None, x, None) for k, s, x in self.lines)
         yield from (("term", None, None, t, None, c) for t, c in self.terms.items())
-        yield from (("docs", None, s, None, None, c) for s, c in self.docs.items())
+        yield from (("docs", k, s, None, None, None) for k, s in self.docs)
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,13 +266,14 @@ def decide(scanned: DataFrame, key: str, min_articles: int = 4, min_share: float
     texts = scanned.where("kind = 'text'").groupBy("id").agg(F.first("source").alias("source"), F.first("text").alias("text"))
     # document frequencies of the exemplars' own terms: bounded by the exemplars
     freq = {r["text"]: r["n"] for r in scanned.where("kind = 'term'").groupBy("text").agg(F.sum("n").alias("n")).collect()}
-    docs = scanned.where("kind = 'docs'").groupBy("source").agg(F.sum("n").alias("docs"))
-    total = docs.agg(F.sum("docs")).first()[0] or 1
+    rows = scanned.where("kind = 'docs'").select("source", F.struct("id").alias("article"))
+    total = rows.count() or 1  # of rows, as the frequencies are
+    docs = rows.groupBy("source").agg(F.count_distinct("article").alias("docs"))
     idf = {t: math.log((1 + total) / (1 + n)) for t, n in freq.items()}
     top = math.log(1 + total)
     own = texts.mapInPandas(_numbered, f"id {kind}, source string, line_no int, line long")
     wanted = own.select("source", "line").distinct()
-    counts = scanned.where("kind = 'line'").join(wanted, ["source", "line"], "left_semi").groupBy("source", "line").agg(F.sum("n").alias("n"))
+    counts = scanned.where("kind = 'line'").join(wanted, ["source", "line"], "left_semi").groupBy("source", "line").agg(F.count_distinct(F.struct("id")).alias("n"))
     pages = counts.join(docs, "source").where((F.col("n") >= min_articles) & (F.col("n") >= F.col("docs") * min_share)).select("source", "line")
     paged = own.join(pages, ["source", "line"]).groupBy("id").agg(F.collect_set("line_no").alias("page"))
 

@@ -43,8 +43,8 @@ def scan(articles: DataFrame, width: int) -> DataFrame:
             k, d1, d2, shards, prints = zip(*near_duplicates.signed(hasher, keys, docs, width)) if any(len(d) >= width for d in docs) else ((),) * 5
             yield _batch("sign", id=list(k), source=[where[x] for x in k], d1=list(d1), d2=list(d2), shards=list(shards), print=list(prints))
             yield _batch("text", id=[x[0] for x in s.found], source=[x[1] for x in s.found], text=[x[2] for x in s.found])
-            yield _batch("line", source=[x for x, _ in s.lines], line=[x for _, x in s.lines], n=list(s.lines.values()))
+            yield _batch("line", id=[x[0] for x in s.lines], source=[x[1] for x in s.lines], line=[x[2] for x in s.lines])
             yield _batch("term", text=list(s.terms), n=list(s.terms.values()))
-            yield _batch("docs", source=list(s.docs), n=list(s.docs.values()))
+            yield _batch("docs", id=[x[0] for x in s.docs], source=[x[1] for x in s.docs])
 
     return articles.select(F.col("article_id").cast("long").alias("id"), F.coalesce("source_domain", F.lit("")).alias("source"), "title", "text").mapInArrow(run, _SCHEMA)

@@ -94,6 +94,15 @@ def test_page_lines_do_not_hide_residue(spark):
     assert [r.article_id for r in residue.residue(art(spark, rows)).collect()] == [99]
 
 
+def test_the_same_error_page_in_many_articles_is_residue(spark):
+    story = "Story {} tells of a long day at the port for everyone."
+    rows = [(i, "a", None, story.format("xyzw"[i % 4])) for i in range(30)]
+    rows += [(50 + i, "a", None, "503 Service Unavailable\nThe server could not complete your request.") for i in range(6)]
+    rows += [(70, "b", None, story.format("x") + "\n" + "The page said “404 Not Found” for hours, residents told the paper.")]
+    rows += [(80, "c", None, "He met the mayor on Monday and agreed.\n502 Bad Gateway")] * 5
+    assert sorted(r.article_id for r in residue.residue(art(spark, rows)).collect()) == [*range(50, 56), 80]
+
+
 def test_counter_of_lines_keeps_whole_numbers():
     from mentionloom.llm.frames import frame
 
