@@ -67,7 +67,9 @@ _SIGN = re.compile(r"[$%][A-Za-z_]")
 _WORD = re.compile(r"[^\W_]+")
 DIGITS = re.compile(r"\d+")
 _CJK = re.compile("[㐀-鿿]+")
-_QUOTED = re.compile("[“«„\"][^”»“\"\n]{0,200}$")
+#: Quotation marks, and for each the opening marks it ends.
+_MARK = re.compile("[\"“”„«»]")
+_ENDS = {'"': '"„', "”": "“„", "“": "„", "»": "«", "«": "»", "„": ""}
 
 #: Share of an exemplar's mass that retrieves it, and coverage that makes a window, and a text, residue.
 CONTAINED, COVERED, WHOLE = 0.8, 0.6, 0.85
@@ -108,10 +110,24 @@ def index() -> tuple[list[tuple[str, bool, frozenset[str]]], dict[str, list[int]
     return rows, dict(at)
 
 
+def _quoted(text: str, at: int) -> bool:
+    """Whether a quotation that begins on the line of ``at`` is still open there."""
+    begun: list[str] = []
+    for m in _MARK.finditer(text, text.rfind("\n", 0, at) + 1, at):
+        c, k = m[0], m.start()
+        ended = [i for i, x in enumerate(begun) if x in _ENDS[c]]
+        before, after = text[k - 1 : k].strip(), text[k + 1 : k + 2].strip()
+        if ended:
+            del begun[ended[-1] :]
+        elif c != "”" and (after or (not before and c != "»")):  # else the end of something begun before the line, or an inch
+            begun.append(c)
+    return bool(begun)
+
+
 def has_placeholder(text: str) -> bool:
     """An unfilled placeholder that is not inside a quotation."""
     hinted = any(h in text for h in _HINTS) or (("$" in text or "%" in text) and _SIGN.search(text))
-    return bool(hinted) and any(not _QUOTED.search(text[max(0, m.start() - 200) : m.start()].rsplit("\n", 1)[-1]) for m in PLACEHOLDER.finditer(text))
+    return bool(hinted) and any(not _quoted(text, m.start()) for m in PLACEHOLDER.finditer(text))
 
 
 def repeats(words: list[str]) -> bool:

@@ -103,6 +103,16 @@ def test_the_same_error_page_in_many_articles_is_residue(spark):
     assert sorted(r.article_id for r in residue.residue(art(spark, rows)).collect()) == [*range(50, 56), 80]
 
 
+@pytest.mark.parametrize("before", ['He said "hello" to ', "„Hallo“ sagte der Mann, ", "»Hallo« sagte er ", "« Oui », dit ", "“Yes,” said ", "fin de citation » dit ", 'A 6" pipe for '])
+def test_placeholders_after_a_quotation_are_unfilled(before):
+    assert residue.has_placeholder(before + "{{name}} there.")
+
+
+@pytest.mark.parametrize("before", ['He said "hello" and "dear ', "„Liebe ", "»Liebe ", "« Oui », puis « ", "“Yes,” said “", "学校说“", "“" + "so " * 100])
+def test_placeholders_inside_a_quotation_are_quoted(before):
+    assert not residue.has_placeholder(before + "{{name}} there.")
+
+
 def test_counter_of_lines_keeps_whole_numbers():
     from mentionloom.llm.frames import frame
 
