@@ -109,9 +109,9 @@ def neighbourhood_cores(edges: DataFrame, threshold: Column) -> DataFrame:
 
 
 def phrase_distance_edges(ents: DataFrame, most: float = 0.25) -> DataFrame:
-    """Edit distance of names over their number of letters (step 5), within a topic, type and first letter."""
-    e = ents.select("topic_id", "etype", F.substring("entity", 1, 1).alias("k"), "entity")
-    j = e.select("topic_id", "etype", "k", F.col("entity").alias("a")).join(e.select("topic_id", "etype", "k", F.col("entity").alias("b")), ["topic_id", "etype", "k"]).where("a < b")
+    """Edit distance of names over their number of letters (step 5), between all entities of a topic."""
+    e = ents.select("topic_id", "entity")
+    j = e.withColumnRenamed("entity", "a").join(e.withColumnRenamed("entity", "b"), "topic_id").where("a < b")
     d = scalars.edit_distance(F.col("a"), F.col("b")) / F.greatest(F.length("a"), F.length("b"))
     return j.where(d <= most).select("topic_id", "a", "b", (1 - d).alias("sim"))
 
