@@ -40,8 +40,8 @@ def scan(articles: DataFrame, width: int) -> DataFrame:
                 s.add(k, source, text, None, terms)
                 docs.append(near_duplicates.words_of(title) + words if title else words)
             where = dict(zip(keys, sources))
-            k, d1, d2, shards, prints = zip(*near_duplicates.signed(hasher, keys, docs, width)) if any(len(d) >= width for d in docs) else ((),) * 5
-            yield _batch("sign", id=list(k), source=[where[x] for x in k], d1=list(d1), d2=list(d2), shards=list(shards), print=list(prints))
+            k, d1, d2, n, shards, prints = zip(*near_duplicates.signed(hasher, keys, docs, width)) if any(len(d) >= width for d in docs) else ((),) * 6
+            yield _batch("sign", id=list(k), source=[where[x] for x in k], d1=list(d1), d2=list(d2), n=list(n), shards=list(shards), print=list(prints))
             yield _batch("text", id=[x[0] for x in s.found], source=[x[1] for x in s.found], text=[x[2] for x in s.found])
             yield _batch("line", id=[x[0] for x in s.lines], source=[x[1] for x in s.lines], line=[x[2] for x in s.lines])
             yield _batch("term", text=list(s.terms), n=list(s.terms.values()))
