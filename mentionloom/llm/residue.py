@@ -222,36 +222,37 @@ def is_residue(text: str, page: set[int], idf: dict[str, float], top: float) ->
     return False
 
 
-def _line_key(folded_line: str) -> int:
-    return xxhash.xxh64_intdigest(" ".join(folded_line.split())) - (1 << 63)
+def _line_key(folded_line: str, of: int) -> int:
+    """A line's key within its source, whose hash is ``of``."""
+    return (xxhash.xxh64_intdigest(" ".join(folded_line.split())) ^ of) - (1 << 63)
 
 
 class Scan:
-    """What one pass over texts finds: candidates with their text, and of a batch every article's lines and source and the
-    document frequencies of the exemplars' terms."""
+    """What one pass over texts finds: candidates with their text, and of a batch every article's source and distinct lines
+    and the document frequencies of the exemplars' terms."""
 
     def __init__(self) -> None:
-        self.lines, self.terms, self.docs, self.found = set(), Counter(), [], []
+        self.terms, self.docs, self.found = Counter(), [], []
 
     def add(self, key: object, source: str, text: str | None, low: str | None = None, words: list[str] | None = None) -> None:
         """``low`` and ``words`` are the folded text and its terms, where a caller has them."""
-        self.docs.append((key, source))
         if not text:
+            self.docs.append((key, source, []))
             return
         low = folded(text) if low is None else low
         words = terms_of(low) if words is None else words
         own = set(words)
         self.terms.update(index()[1].keys() & own)
-        self.lines.update([(key, source, x) for x in {_line_key(x) for x in low.split("\n") if x and not x.isspace()}])
+        of = xxhash.xxh64_intdigest(source)
+        self.docs.append((key, source, list({_line_key(x, of) for x in low.split("\n") if x and not x.isspace()})))
         if is_candidate(text, words, own):
             self.found.append((key, source, text))
 
     def rows(self) -> Iterator[tuple]:
-        """(kind, id, source, text, line, n)."""
+        """(kind, id, source, text, lines, n)."""
         yield from (("text", k, s, t, None, None) for k, s, t in self.found)
-        yield from (("line", k, s, None, x, None) for k, s, x in self.lines)
         yield from (("term", None, None, t, None, c) for t, c in self.terms.items())
-        yield from (("docs", k, s, None, None, None) for k, s in self.docs)
+        yield from (("docs", k, s, None, x, None) for k, s, x in self.docs)
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,12 +260,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Scan()
         for row in zip(pdf.iloc[:, 0], pdf["source"], pdf["text"]):
             s.add(*row)
-        yield frame(list(s.rows()), ["kind", "id", "source", "text", "line", "n"], {"line", "n"} | ({"id"} if pdf.iloc[:, 0].dtype.kind == "i" else set()))
+        yield frame(list(s.rows()), ["kind", "id", "source", "text", "lines", "n"], {"n"} | ({"id"} if pdf.iloc[:, 0].dtype.kind == "i" else set()))
 
 
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(k, s, i, _line_key(x)) for k, s, t in zip(pdf["id"], pdf["source"], pdf["text"]) for i, x in enumerate(folded(t).split("\n")) if x and not x.isspace()]
+        rows = [(k, s, i, _line_key(x, xxhash.xxh64_intdigest(s))) for k, s, t in zip(pdf["id"], pdf["source"], pdf["text"]) for i, x in enumerate(folded(t).split("\n")) if x and not x.isspace()]
         yield pd.DataFrame(rows, columns=["id", "source", "line_no", "line"])
 
 
@@ -272,7 +273,7 @@ def residue(articles: DataFrame, key: str = "article_id", source: str = "source_
     """(key): the documents to exclude, distinct."""
     kind = articles.schema[key].dataType.simpleString()
     scanned = articles.select(F.col(key).alias("id"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text")).mapInPandas(
-        _scan, f"kind string, id {kind}, source string, text string, line long, n long")
+        _scan, f"kind string, id {kind}, source string, text string, lines array<long>, n long")
     return decide(cut(scanned), key)
 
 
@@ -282,16 +283,16 @@ def decide(scanned: DataFrame, key: str, min_articles: int = 4, min_share: float
     texts = scanned.where("kind = 'text'").groupBy("id").agg(F.first("source").alias("source"), F.first("text").alias("text"))
     # document frequencies of the exemplars' own terms: bounded by the exemplars
     freq = {r["text"]: r["n"] for r in scanned.where("kind = 'term'").groupBy("text").agg(F.sum("n").alias("n")).collect()}
-    rows = scanned.where("kind = 'docs'").select("source", F.struct("id").alias("article"))
+    rows = scanned.where("kind = 'docs'").select("source", F.struct("id").alias("article"), "lines")
     total = rows.count() or 1  # of rows, as the frequencies are
     docs = rows.groupBy("source").agg(F.count_distinct("article").alias("docs"))
     idf = {t: math.log((1 + total) / (1 + n)) for t, n in freq.items()}
     top = math.log(1 + total)
     own = texts.mapInPandas(_numbered, f"id {kind}, source string, line_no int, line long")
-    wanted = own.select("source", "line").distinct()
-    counts = scanned.where("kind = 'line'").join(wanted, ["source", "line"], "left_semi").groupBy("source", "line").agg(F.count_distinct(F.struct("id")).alias("n"))
-    pages = counts.join(docs, "source").where((F.col("n") >= min_articles) & (F.col("n") >= F.col("docs") * min_share)).select("source", "line")
-    paged = own.join(pages, ["source", "line"]).groupBy("id").agg(F.collect_set("line_no").alias("page"))
+    wanted = own.select("line").distinct()
+    counts = rows.select("article", F.explode("lines").alias("line")).join(wanted, "line", "left_semi").groupBy("line").agg(F.count_distinct("article").alias("n"))
+    paged = own.join(counts, "line").join(docs, "source").where((F.col("n") >= min_articles) & (F.col("n") >= F.col("docs") * min_share))
+    paged = paged.groupBy("id").agg(F.collect_set("line_no").alias("page"))
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

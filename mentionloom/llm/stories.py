@@ -12,8 +12,8 @@ from mentionloom.llm import near_duplicates, residue
 from mentionloom.llm.canonical import normalize_text
 
 _LONG, _LONGS = pa.int64(), pa.list_(pa.int64())
-_TYPES = {"kind": pa.string(), "id": _LONG, "source": pa.string(), "text": pa.string(), "line": _LONG, "n": _LONG, "d1": _LONG, "d2": _LONG, "shards": _LONGS, "print": _LONGS}
-_SCHEMA = "kind string, id long, source string, text string, line long, n long, d1 long, d2 long, shards array<long>, print array<long>"
+_TYPES = {"kind": pa.string(), "id": _LONG, "source": pa.string(), "text": pa.string(), "n": _LONG, "d1": _LONG, "d2": _LONG, "lines": _LONGS, "shards": _LONGS, "print": _LONGS}
+_SCHEMA = "kind string, id long, source string, text string, n long, d1 long, d2 long, lines array<long>, shards array<long>, print array<long>"
 
 
 def _batch(kind: str, **columns: list) -> pa.RecordBatch:
@@ -43,8 +43,7 @@ def scan(articles: DataFrame, width: int) -> DataFrame:
             k, d1, d2, n, shards, prints = zip(*near_duplicates.signed(hasher, keys, docs, width)) if any(len(d) >= width for d in docs) else ((),) * 6
             yield _batch("sign", id=list(k), source=[where[x] for x in k], d1=list(d1), d2=list(d2), n=list(n), shards=list(shards), print=list(prints))
             yield _batch("text", id=[x[0] for x in s.found], source=[x[1] for x in s.found], text=[x[2] for x in s.found])
-            yield _batch("line", id=[x[0] for x in s.lines], source=[x[1] for x in s.lines], line=[x[2] for x in s.lines])
             yield _batch("term", text=list(s.terms), n=list(s.terms.values()))
-            yield _batch("docs", id=[x[0] for x in s.docs], source=[x[1] for x in s.docs])
+            yield _batch("docs", id=[x[0] for x in s.docs], source=[x[1] for x in s.docs], lines=[x[2] for x in s.docs])
 
     return articles.select(F.col("article_id").cast("long").alias("id"), F.coalesce("source_domain", F.lit("")).alias("source"), "title", "text").mapInArrow(run, _SCHEMA)
