@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +68,16 @@ REPORTING = {
 }
 
 
+Rule = tuple[bool, "regex.Pattern | None", "re.Pattern | None"]
+
+
 def _any(words: str) -> str:
     return "|".join(sorted((re.escape(w) for w in words.split()), key=len, reverse=True))
 
 
-def _rule(is_break: bool, before: str, after: str) -> tuple[bool, re.Pattern, re.Pattern]:
-    return is_break, re.compile(f"(?:{before})$"), re.compile(after)
+def _rule(is_break: bool, before: str, after: str) -> Rule:
+    """Both sides are matched at the position itself, the one before it backward: as far as the rule goes, and no further."""
+    return is_break, regex.compile(f"(?r)(?:{before})") if before else None, re.compile(after) if after else None
 
 
 #: Rules of every script: quotations, dashes and whatever goes on in lower case belong to the same statement.
@@ -85,7 +90,7 @@ COMMON = [
 ]
 
 
-def _latin(lang: str) -> list[tuple[bool, re.Pattern, re.Pattern]]:
+def _latin(lang: str) -> list[Rule]:
     a = ABBREVIATIONS[lang]
     out = [
         _rule(False, rf"(?:^|[\s{_OPEN}])(?:{_any(a['number'])})\.", rf"{SPACE}*[#№]?\d"),
@@ -102,7 +107,7 @@ def _latin(lang: str) -> list[tuple[bool, re.Pattern, re.Pattern]]:
     return out
 
 
-TABLES: dict[str, list[tuple[bool, re.Pattern, re.Pattern]]] = {x: [*_latin(x), *COMMON] for x in ABBREVIATIONS}
+TABLES: dict[str, list[Rule]] = {x: [*_latin(x), *COMMON] for x in ABBREVIATIONS}
 TABLES["han"] = [
     # a clause before the quotation reports it, so the quotation ends the statement
     _rule(True, r"[:：][“「『‘][^“”「」『』‘’]*[」』”’]", r""),
@@ -135,7 +140,6 @@ _MARK_THAI = re.compile(rf"[{_END}]+[{_CLOSE}]*(?=\s|$)|(?<=[\u0e01-\u0e3a\u0e40
 _ITEM = re.compile(rf"{SPACE}*(?:[-–—•*·▪‣]{SPACE}+)?(?:\(?\d{{1,3}}(?:\.\d{{1,3}})*[.)]|\(?[A-Za-z][.)]|[IVXLC]{{1,6}}[.)])(?={SPACE}+\S)")
 _SCRIPTS = [("thai", re.compile("[฀-๿]")), ("han", re.compile("[぀-ヿ㐀-鿿]")), ("devanagari", re.compile("[ऀ-ॿ]")), ("arabic", re.compile("[؀-ۿ]")), ("ru", re.compile("[а-яА-ЯёЁ]")), ("latin", re.compile("[A-Za-zÀ-ɏ]"))]
 _FUNCTION_WORDS = {"en": (" the ", " of ", " and ", " said "), "de": (" der ", " die ", " das ", " und "), "fr": (" le ", " les ", " et ", " des "), "es": (" el ", " los ", " y ", " del ")}
-LOOK_BACK, LOOK_AHEAD = 256, 160
 
 
 def table_of(text: str, lang: str | None) -> str:
@@ -152,10 +156,9 @@ def table_of(text: str, lang: str | None) -> str:
     return winners[0] if len(winners) == 1 else lang if lang in winners else winners[0] if top else (lang if lang in ABBREVIATIONS else "en")
 
 
-def _is_break(table: list, text: str, at: int) -> bool:
-    before, after = text[max(0, at - LOOK_BACK) : at], text[at : at + LOOK_AHEAD]
+def _is_break(table: list, line: str, at: int) -> bool:
     for is_break, b, a in table:
-        if a.match(after) and b.search(before):
+        if (a is None or a.match(line, at)) and (b is None or b.match(line, 0, at)):
             return is_break
     return True
 
@@ -171,7 +174,7 @@ def spans(text: str, lang: str | None = None) -> list[tuple[int, int]]:
         start, item = begin, _ITEM.match(line)
         for m in mark.finditer(line, item.end() if item else 0):
             at = begin + m.end()
-            if m.end() < len(line.rstrip()) and _is_break(table, text[begin:end_of_line], m.end()):
+            if m.end() < len(line.rstrip()) and _is_break(table, line, m.end()):
                 _add(out, text, start, at)
                 start = at
         _add(out, text, start, end_of_line)
