@@ -48,6 +48,7 @@ class Vocabulary:
         for t, r in self.rank.items():
             self.ends.add_word(t.decode("latin-1"), (len(t), r))
         self.ends.make_automaton()
+        self.longest = max(map(len, self.rank))
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._valid: dict[tuple[int, int], bool] = {}
 
@@ -101,19 +102,22 @@ class PrefixEncoder:
     """The last token of every prefix of one piece of bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b"") -> None:
-        self.v, self.data, self.last = vocabulary, b"", [-1]
+        self.v, self.data, self.last, self.computed = vocabulary, b"", [-1], 0
         self.append(data)
 
     def append(self, data: bytes) -> None:
         """Add bytes at the end; the prefixes before stay as they are."""
         start, self.data = len(self.data), self.data + data
-        if not data:
-            return
-        last, follows, size = self.last, self.v.follows, len(self.v.token)
-        last += [-1] * len(data)
+        self._fill(start, len(self.data))
+
+    def _fill(self, start: int, stop: int) -> None:
+        """The last tokens of the prefixes longer than ``start`` and up to ``stop``; those before are there already."""
+        last, follows = self.last, self.v.follows
+        last += [-1] * (stop + 1 - len(last))
+        self.computed += stop - start  # prefixes computed so far
         # matches that end in the new part may begin up to the longest token before it
-        back = max(0, start - 128)
-        for end, (n, r) in self.v.ends.iter(self.data[back:].decode("latin-1")):
+        back = max(0, start - self.v.longest)
+        for end, (n, r) in self.v.ends.iter(self.data[back:stop].decode("latin-1")):
             i = back + end + 1
             if i > start and last[i] < 0:
                 j = i - n
@@ -121,10 +125,21 @@ class PrefixEncoder:
                     last[i] = r
 
     def edit(self, begin: int, end: int, data: bytes) -> None:
-        """Replace data[begin:end]; only the prefixes from ``begin`` on are recomputed."""
-        tail = data + self.data[end:]
-        self.data, self.last = self.data[:begin], self.last[: begin + 1]
-        self.append(tail)
+        """Replace data[begin:end]. Prefixes are recomputed from ``begin`` on until as many of them in a row as the longest
+        token has bytes end as they did before: a prefix' last token depends on no others, so the rest stays."""
+        old, shift = self.last, len(data) - (end - begin)
+        self.data, self.last = self.data[:begin] + data + self.data[end:], self.last[: begin + 1]
+        at, same, step = begin, 0, self.v.longest
+        first = begin + len(data) + 1  # the first prefix with bytes of the old tail
+        while at < len(self.data):
+            stop = min(len(self.data), at + step)
+            self._fill(at, stop)
+            for i in range(max(at + 1, first), stop + 1):
+                same = same + 1 if self.last[i] == old[i - shift] else 0
+                if same >= self.v.longest:
+                    self.last = self.last[: i + 1] + old[i + 1 - shift :]
+                    return
+            at = stop
 
     def ids(self) -> list[int]:
         out, i = [], len(self.data)

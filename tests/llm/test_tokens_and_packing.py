@@ -40,6 +40,19 @@ def test_prefixes_append_and_edit(a, b, data):
     assert e.ids() == tokens.PrefixEncoder(v, (a + b)[:i] + b"xyz" + (a + b)[j:]).ids()
 
 
+@needs
+def test_an_edit_recomputes_only_what_it_changes():
+    v = tokens.encoder("byte_bpe_50k", tokens.TOKENIZER_DIR).v
+    text = b"the cat sat on the mat and looked at the dog, " * 2000
+    e = tokens.PrefixEncoder(v, text)
+    for begin, end, data in ((40_000, 40_003, b"tiger"), (0, 5, b""), (len(text) - 9, len(text), b"x")):
+        before = e.computed
+        changed = e.data[:begin] + data + e.data[end:]
+        e.edit(begin, end, data)
+        assert e.data == changed and e.computed - before < 1000
+        assert e.last == tokens.PrefixEncoder(v, changed).last
+
+
 @needs
 def test_special_strings_and_long_text(reference):
     e = tokens.encoder("byte_bpe_50k", tokens.TOKENIZER_DIR)
@@ -61,6 +74,12 @@ def test_counts(text):
     assert c[3] == len(sp.encode(text)) and c[2] == len(w.encode(text, add_special_tokens=False).ids)
 
 
+@needs
+@pytest.mark.parametrize("text", ["中文\r\n测试" * 40, "สวัสดีครับ" * 30 + "\r", "a" * 400, "word \r\n " * 50, "\r" * 30, "中" * 10 + " b" * 3, "x" * 200 + " y"])
+def test_counts_of_scripts_without_spaces_and_of_line_ends(text):
+    test_counts.hypothesis.inner_test(text)
+
+
 @needs
 def test_corpus(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, "", "x"), (3, None, "x"), (4, "  ", "x"), (4, "  ", "x")], "doc_id long, text string, ids string")
