@@ -2,11 +2,18 @@
 
 A token is a run of letters, digits, marks and invisible characters. Tokens that hold a wide, styled or joined
 letter, a separate accent, an invisible character or letters of several scripts are looked up in the vocabulary of
-the corpus' own clean tokens: tries are walked by a weighted edit automaton in which look-alikes and ignorables cost
-nothing, and the most frequent spelling reached within the allowed cost is the canonical one. Tokens and vocabulary are
-sharded by skeleton (look-alikes folded to one letter), which zero-cost edits never change, so a shard's
-trie holds every spelling its tokens can reach. Tokens without a match are normalised by table. Spaces other than
-U+0020 become U+0020.
+the corpus' own clean tokens: tries are walked by a weighted edit automaton in which look-alikes, ignorables, styled forms
+and accents of their letter cost nothing and a letter of a foreign script that looks like no other costs 1, and
+the most frequent spelling reached at the least cost within the budget is the canonical one. The automaton reads the token
+as it is written and keeps a trace of the steps that were not plain; a token that it reads by plain steps alone is no
+case. Tokens without a match are read by table, with a trace of their own. Spaces other than U+0020 become U+0020.
+
+Tokens and vocabulary are sharded by skeleton (look-alikes folded to one letter), which zero-cost edits never change, so
+a shard's trie holds every spelling its tokens can reach. A token with foreign letters is a member of the shards of
+its patterns, in which each of them stands for any letter, too; words of the vocabulary are placed there by the same rule.
+
+The contract of p5_found names characters, and each of them is a step of the trace: the vocabulary decides what a
+token's canonical form is, the trace whether its field is a case.
 
 Defined results: null fields give no row, empty and clean ones their own text; repeated rows give one row; ties between
 spellings go to the smaller one; texts of any length are handled whole.
@@ -23,7 +30,6 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mentionloom.llm.frames import frame
 from mentionloom.session import cut
@@ -72,7 +78,8 @@ def by_table(token: str) -> str:
     return "".join(LOOK_ALIKES.get(c, c) for c in t)
 
 
-_TO_CYRILLIC = {v: k for k, v in LOOK_ALIKES.items() if _CYRILLIC.match(k) and k not in "ԁԛԝһѕјѴѵЅЈ"}
+# н and в are small capitals that look like Latin capitals only: no Latin small letter is taken for them
+_TO_CYRILLIC = {v: k for k, v in LOOK_ALIKES.items() if _CYRILLIC.match(k) and k not in "ԁԛԝһѕјѴѵЅЈнв"}
 
 
 def skeleton(token: str) -> str:
@@ -93,8 +100,65 @@ def normalize_text(text: str) -> str:
     return TOKEN.sub(lambda m: by_table(m[0]) if is_dirty(m[0]) else m[0], text) if is_suspect(text) else text
 
 
+#: Steps of the automaton that are not plain.
+LOOK_ALIKE, IGNORABLE, STYLE, ACCENT, FOREIGN = "look-alike", "ignorable", "styled", "accent", "foreign letter"
+_STYLE = re.compile(f"[{STYLED}]")
+_ACCENT = re.compile(f"[{ACCENTS}]")
+_SCRIPT_OF = (_LATIN, _GREEK, _CYRILLIC)
+
+
+def script_of(c: str) -> int:
+    """0, 1, 2 for a Latin, Greek or Cyrillic letter, else -1."""
+    return next((i for i, p in enumerate(_SCRIPT_OF) if p.match(c)), -1)
+
+
+def units(token: str) -> tuple[list[tuple[str, str]], frozenset[str]]:
+    """What the automaton reads: (letter, kind of step) of a token, and the kinds that were not plain.
+
+    Styled forms are read as what they stand for, accents with the letter before them, and ignorables not at all. A
+    letter that is not of the token's main script is a look-alike, or foreign where it looks like no letter of that."""
+    steps, kinds = [], set()
+    for c in token:
+        if _INVISIBLE.match(c):
+            kinds.add(IGNORABLE)
+            continue
+        k = ACCENT if _ACCENT.match(c) else STYLE if _STYLE.match(c) else ""
+        if k:
+            kinds.add(k)
+        for x in U.normalize("NFKC", c) if k == STYLE else c:
+            both = U.normalize("NFC", steps[-1][0] + x) if steps and U.combining(x) else ""
+            if len(both) == 1:
+                steps[-1] = (both, k or steps[-1][1])
+            else:
+                steps.append((x, k))
+    if not token.isascii():
+        seen = [script_of(c) for c, _ in steps]
+        own = {s for s in seen if s >= 0}
+        if len(own) > 1:
+            # the script of the letters that look like no others; of equals the more frequent one
+            main = max(own, key=lambda i: (sum(s == i and c not in LOOK_ALIKES and c not in _TO_CYRILLIC for s, (c, _) in zip(seen, steps)), seen.count(i)))
+            for n, (s, (c, k)) in enumerate(zip(seen, steps)):
+                if s >= 0 and s != main:
+                    plain = LOOK_ALIKES.get(c, c)
+                    known = _TO_CYRILLIC.get(plain, "") if main == 2 else plain
+                    k = LOOK_ALIKE if known and script_of(known) == main else FOREIGN
+                    kinds.add(k)
+                    steps[n] = (c, k)
+    return steps, frozenset(kinds)
+
+
+def patterns(token: str) -> list[str]:
+    """The skeleton of a token, and with each of its foreign letters for any letter."""
+    steps, kinds = units(token)
+    out = [skeleton(token)]
+    if FOREIGN in kinds:
+        plain = [LOOK_ALIKES.get(c, c) for c, _ in steps]
+        out += ["".join([*plain[:n], "*", *plain[n + 1 :]]) for n, (_, k) in enumerate(steps) if k == FOREIGN]
+    return out
+
+
 class Trie:
-    """Vocabulary trie walked by a weighted edit automaton: look-alikes and ignorables cost 0, other edits 1."""
+    """Vocabulary trie walked by a weighted edit automaton."""
 
     def __init__(self) -> None:
         self.root: dict = {}
@@ -107,7 +171,12 @@ class Trie:
 
     def best(self, token: str, budget: int = 0) -> str | None:
         """The spelling of least cost, then of most occurrences, then the smallest."""
-        t = U.normalize("NFC", U.normalize("NFKC", token))
+        return self.walk(token, budget)[0][2]
+
+    def walk(self, token: str, budget: int = 0, foreign_only: bool = False) -> tuple[tuple[int, int, str | None], frozenset[str]]:
+        """(cost, occurrences, spelling) of the best spelling, and the trace: the kinds of step by which the token was
+        read. Edits cost 1, with ``foreign_only`` only those of foreign letters are tried."""
+        steps, kinds = units(token)
         states, found = [(self.root, 0, 0)], []
         seen: dict[tuple[int, int], int] = {}
         while states:
@@ -115,26 +184,28 @@ class Trie:
             if seen.get((id(node), i), budget + 1) <= cost:
                 continue
             seen[id(node), i] = cost
-            if i == len(t):
+            if i == len(steps):
                 if "" in node:
                     n, word = node[""]
                     found.append((cost, -n, word))
             else:
-                c = t[i]
+                c, kind = steps[i]
                 proto = LOOK_ALIKES.get(c, c)
-                if _INVISIBLE.match(c):
-                    states.append((node, i + 1, cost))
-                elif cost < budget:
+                free = not foreign_only or kind == FOREIGN
+                if cost < budget and not foreign_only:
                     states.append((node, i + 1, cost + 1))
                 for edge, child in node.items():
                     if edge:
                         if edge == c or LOOK_ALIKES.get(edge, edge) == proto:
                             states.append((child, i + 1, cost))
-                        elif cost < budget:
+                        elif cost < budget and free:
                             states.append((child, i + 1, cost + 1))
-            if cost < budget:
+            if cost < budget and not foreign_only:
                 states += [(child, i, cost + 1) for edge, child in node.items() if edge]
-        return min(found)[2] if found else None
+        if not found:
+            return (budget + 1, 0, None), kinds
+        cost, n, word = min(found)
+        return (cost, -n, word), kinds
 
 
 def _fields(articles: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -150,7 +221,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tokens = TOKEN.findall(v)
             if is_suspect(v):
                 dirty = {t for t in tokens if is_dirty(t)}
-                rows += [(k, f, t, skeleton(t), None) for t in dirty]
+                rows += [(k, f, t, p, None) for t in dirty for p in patterns(t)]
                 tokens = [t for t in tokens if t not in dirty]
             if not v.isascii() and _SPACES.search(v):
                 rows.append((k, f, None, None, None))
@@ -166,34 +237,44 @@ def scan(articles: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     return cut(_fields(articles, key, fields).mapInPandas(_scan, f"`{key}` {kind}, field string, token string, skeleton string, n long"))
 
 
+#: Foreign letters of a token that may stand for any letter of a known spelling.
+BUDGET = 1
+
+
 def _resolve(key: tuple, tokens: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     trie = Trie()
     for w, n in zip(words["word"], words["n"]):
         trie.add(w, int(n))
     rows = []
     for t in tokens["token"]:
-        hit = trie.best(t)
-        form = hit if hit is not None else by_table(t)
-        # no usual spelling: letters of several scripts that look like no others, accents that compose with nothing
-        rows.append((t, form, hit is not None, form == t or is_dirty(form)))
-    return pd.DataFrame(rows, columns=["token", "canonical", "in_vocabulary", "unresolved"])
+        (cost, n, hit), trace = trie.walk(t, BUDGET, foreign_only=True)
+        rows.append((t, cost, n, by_table(t) if hit is None else hit, hit is not None, sorted(trace)))
+    return pd.DataFrame(rows, columns=["token", "cost", "n", "canonical", "in_vocabulary", "trace"])
 
 
 def token_forms(scanned: DataFrame, shards: int | None = None) -> DataFrame:
-    """(token, canonical, in_vocabulary, unresolved) of each distinct dirty token."""
-    tokens = scanned.where("n IS NULL AND token IS NOT NULL").groupBy("token").agg(F.first("skeleton").alias("skeleton"))
+    """(token, canonical, in_vocabulary, trace) of each distinct token that is not plain."""
+    tokens = scanned.where("n IS NULL AND token IS NOT NULL").select("token", "skeleton").distinct()
+    words = scanned.where("n IS NOT NULL").groupBy("token", "skeleton").agg(F.sum("n").alias("n"))
+    if tokens.where(F.contains("skeleton", F.lit("*"))).limit(1).count():
+        at = F.explode(F.sequence(F.lit(1), F.length("skeleton")))
+        masked = words.where("skeleton <> ''").withColumn("i", at).withColumn("skeleton", F.expr("concat(substring(skeleton, 1, i - 1), '*', substring(skeleton, i + 1))"))
+        words = words.union(masked.select("token", "skeleton", "n"))
     n = shards or int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("skeleton"), F.lit(n)).alias("shard")
-    words = scanned.where("n IS NOT NULL").join(tokens.select("skeleton").distinct(), "skeleton", "left_semi")
-    words = words.groupBy(F.col("token").alias("word"), "skeleton").agg(F.sum("n").alias("n")).select("word", "n", shard)
-    return tokens.select("token", shard).groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(
-        _resolve, T.StructType([T.StructField("token", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("in_vocabulary", T.BooleanType()), T.StructField("unresolved", T.BooleanType())]))
+    words = words.join(tokens.select("skeleton").distinct(), "skeleton", "left_semi")
+    words = words.select(F.col("token").alias("word"), "n", shard).distinct()
+    found = tokens.select("token", shard).distinct().groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(
+        _resolve, "token string, cost long, n long, canonical string, in_vocabulary boolean, trace array<string>")
+    # a token of several shards: the least cost, then the most frequent spelling
+    best = found.groupBy("token").agg(F.min(F.struct("cost", (-F.col("n")).alias("o"), "canonical", "in_vocabulary", "trace")).alias("x"))
+    return best.select("token", "x.canonical", "x.in_vocabulary", "x.trace")
 
 
 def disguised_fields(articles: DataFrame, key: str = "article_id", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:
-    """(key, field) of every field with a token whose canonical spelling differs from it, or a space other than U+0020."""
+    """(key, field) of every field with a token that was not read by plain steps alone, or a space other than U+0020."""
     scanned = scan(articles, key, fields)
-    changed = token_forms(scanned).where("NOT (token <=> canonical) OR unresolved")
+    changed = token_forms(scanned).where(F.size("trace") > 0)
     at = scanned.where("n IS NULL")
     by_token = at.where("token IS NOT NULL").join(changed, "token").select(key, "field")
     return by_token.union(at.where("token IS NULL").select(key, "field")).distinct()
