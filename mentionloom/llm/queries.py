@@ -43,9 +43,29 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return site_lines.occurrences(read(spark, sf, "articles")).select("article_id", "line_no").distinct()
 
 
+_BOILERPLATE = {"min_clusters": site_lines.MIN_CLUSTERS, "min_dates": site_lines.MIN_DATES}
+
+
 @query("p1_clean")
 def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return site_lines.without_repeated_lines(read(spark, sf, "articles"))
+    """Texts without boilerplate; the body of an article that its site published several times stays."""
+    return site_lines.without_repeated_lines(read(spark, sf, "articles"), **_BOILERPLATE)
+
+
+_P1_BOILERPLATE = r"""
+WITH a AS (SELECT DISTINCT article_id, source_domain, coalesce(text, '') AS text, coalesce(substr(trim(date_publish, ' '), 1, 10), '') AS day FROM articles),
+ n AS (SELECT source_domain, count(DISTINCT article_id) AS total FROM a GROUP BY 1),
+ l AS (SELECT article_id, source_domain, text, day, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM a),
+ f AS (SELECT article_id, source_domain, text, day, line_no, trim(regexp_replace(regexp_replace(lower(line), '\p{Nd}+', '0', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS form FROM l),
+ k AS (SELECT source_domain, form, count(DISTINCT article_id) AS n_articles, count(DISTINCT text) AS n_clusters, count(DISTINCT day) AS n_dates FROM f WHERE form <> '' GROUP BY 1, 2),
+ r AS (SELECT k.*, total FROM k JOIN n USING (source_domain) WHERE n_articles >= 4 AND n_articles >= total * 0.02 AND n_clusters >= 4 AND n_dates >= 2)
+SELECT DISTINCT article_id, CAST(line_no AS INT) AS line_no, n_articles, n_clusters, n_dates FROM f JOIN r USING (source_domain, form)"""
+
+
+@query("p1_boilerplate", _P1_BOILERPLATE)
+def p1_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
+    """The occurrences of lines that several clusters of equal texts print on several dates, with these counts."""
+    return site_lines.occurrences(read(spark, sf, "articles"), **_BOILERPLATE).distinct()
 
 
 @query("p5_found")

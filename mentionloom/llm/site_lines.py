@@ -1,8 +1,10 @@
 """Lines repeated across one site's documents.
 
 Documents with the same text at one source are collapsed to a cluster first; only clusters are exploded to lines.
-A line then counts the distinct articles, clusters and publication dates behind it, so a republished article shows
-as many articles in one cluster and is told from boilerplate by ``n_clusters``.
+A line then counts the distinct articles, clusters and publication dates behind it. Which of these counts decide is
+said by the limits: lines repeated over articles (``min_articles``) include those of an article that its site published
+several times; boilerplate is what several clusters on several dates print (``min_clusters``, ``min_dates``), so
+the body of a republished article is not taken for it.
 
 Lines are equal after lower-casing, with digit runs as one digit and white space trimmed and collapsed. The key is
 128 bits of hash, so lines never travel. Defined results: null, empty and blank texts have no lines but count as
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_ARTICLES, MIN_SHARE = 4, 0.02
+#: Clusters of equal texts and dates of publication that boilerplate has at least; an unknown date is one more date.
+MIN_CLUSTERS, MIN_DATES = 4, 2
 _SPACE = r"[\s\u0085\p{Z}]+"
 
 
@@ -38,7 +42,7 @@ def line_statistics(articles: DataFrame, key: str = "article_id", source: str =
     """(source, line, n_articles, n_clusters, n_dates, source_articles) of every line of every source."""
     docs = articles.select(
         F.col(source).alias("source"), F.col(key).alias("id"), F.xxhash64(F.coalesce(text, F.lit("")), F.lit(7)).alias("doc"),
-        F.substring(F.trim(published), 1, 10).alias("day"), F.array_distinct(F.array_compact(line_keys(F.col(text)))).alias("lines"))
+        F.coalesce(F.substring(F.trim(published), 1, 10), F.lit("")).alias("day"), F.array_distinct(F.array_compact(line_keys(F.col(text)))).alias("lines"))
     articles_of = docs.groupBy("source", "id").agg(F.lit(1).alias("x")).groupBy("source").agg(F.count("*").alias("source_articles"))
     # distinct articles first, then clusters: neither a hot source nor a hot copy is gathered in one place
     one = docs.groupBy("source", "doc", "day", "id", "lines").agg(F.lit(1).alias("x"))
@@ -49,18 +53,23 @@ def line_statistics(articles: DataFrame, key: str = "article_id", source: str =
     return stats.join(articles_of, stats["source"].eqNullSafe(articles_of["source"])).drop(articles_of["source"])
 
 
-def repeated_lines(articles: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE, **columns: str) -> DataFrame:
-    """The lines that occur in at least ``min_articles`` articles and ``min_share`` of all articles of their source."""
+def repeated_lines(articles: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE, min_clusters: int = 1,
+                   min_dates: int = 1, **columns: str) -> DataFrame:
+    """The lines that occur in at least ``min_articles`` articles and ``min_share`` of all articles of their source, in
+    at least ``min_clusters`` clusters and on ``min_dates`` dates."""
     s = line_statistics(articles, **columns)
-    return s.where((F.col("n_articles") >= min_articles) & (F.col("n_articles") >= F.col("source_articles") * min_share))
+    s = s.where((F.col("n_articles") >= min_articles) & (F.col("n_articles") >= F.col("source_articles") * min_share))
+    if min_clusters > 1:
+        s = s.where(F.col("n_clusters") >= min_clusters)
+    return s.where(F.col("n_dates") >= min_dates) if min_dates > 1 else s
 
 
 def occurrences(articles: DataFrame, key: str = "article_id", source: str = "source_domain", text: str = "text", **limits: float) -> DataFrame:
-    """(key, line_no, n_articles, n_clusters, n_dates): every occurrence of a repeated line, distinct."""
+    """(key, line_no, n_articles, n_clusters, n_dates): every occurrence of a repeated line; a repeated row repeats its."""
     found = repeated_lines(articles, key=key, source=source, text=text, **limits).withColumnsRenamed({"source": "s", "line": "form"})
     at = articles.select(F.col(key), F.col(source).alias("source"), F.posexplode(line_keys(F.col(text))).alias("line_no", "line")).where("line IS NOT NULL")
     hit = at.join(found, (F.col("line") == F.col("form")) & F.col("source").eqNullSafe(F.col("s")))
-    return hit.select(key, "line_no", "n_articles", "n_clusters", "n_dates").distinct()
+    return hit.select(key, "line_no", "n_articles", "n_clusters", "n_dates")
 
 
 def without_repeated_lines(articles: DataFrame, key: str = "article_id", source: str = "source_domain", text: str = "text", **limits: float) -> DataFrame:

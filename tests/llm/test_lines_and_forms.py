@@ -33,6 +33,18 @@ def test_repeated_lines_match_brute_force(spark):
     assert site_lines.occurrences(df.limit(0)).count() == 0
 
 
+def test_a_republished_article_is_no_boilerplate(spark):
+    story = "A story with a body\nof two lines"
+    rows = [(i, "a", None, story, f"2020-01-0{i % 3 + 1}", "x", "y") for i in range(6)]
+    rows += [(10 + i, "a", None, f"Other {chr(97 + i)} text\nShare this", f"2020-02-0{i + 1}" if i else None, "x", "y") for i in range(6)]
+    df = spark.createDataFrame(rows, ART)
+    assert {(r.article_id, r.line_no) for r in site_lines.occurrences(df).collect()} == {(i, n) for i in range(6) for n in (0, 1)} | {(10 + i, 1) for i in range(6)}
+    limits = {"min_clusters": 4, "min_dates": 2}
+    assert {(r.article_id, r.line_no) for r in site_lines.occurrences(df, **limits).collect()} == {(10 + i, 1) for i in range(6)}
+    clean = {r.article_id: r.text for r in site_lines.without_repeated_lines(df, **limits).collect()}
+    assert clean[0] == story and clean[10] == "Other a text"
+
+
 def test_a_republished_article_is_one_cluster(spark):
     s = site_lines.line_statistics(art(spark, [(i, "a", None, "one line") for i in range(6)])).first()
     assert (s.n_articles, s.n_clusters, s.n_dates, s.source_articles) == (6, 1, 1, 6)
@@ -69,6 +81,33 @@ def test_disguised_fields(spark):
     assert canonical.disguised_fields(df.limit(0)).count() == 0
 
 
+def test_the_trace_says_what_was_not_plain():
+    kinds = lambda t: set(canonical.units(t)[1])
+    assert kinds("plain") == kinds("Añorel") == kinds("союз") == set()
+    assert kinds("Ｋｅｌｎｔ") == {canonical.STYLE} and kinds("x\u0301") == {canonical.ACCENT} and kinds("c\u200bat") == {canonical.IGNORABLE}
+    assert kinds("cаt") == {canonical.LOOK_ALIKE} and kinds("Яhoo") == {canonical.FOREIGN}
+    assert "".join(c for c, _ in canonical.units("cafe\u0301")[0]) == "café" and "".join(c for c, _ in canonical.units("ﬁｅ")[0]) == "fie"
+    assert canonical.by_table("союhь") == "союhь"  # a Latin h is no Cyrillic н
+
+
+def test_without_the_automaton_nothing_is_a_case(spark, monkeypatch):
+    df = art(spark, [(1, "s", "Ｔｈｅ cat", "ok"), (2, "s", "cаt", None), (3, "s", "the cat", None)])
+    assert canonical.disguised_fields(df).count() == 2
+    scanned = canonical.scan(df, "article_id", ("title", "text"))
+    plain = scanned.withColumn("token", canonical.F.when(scanned["n"].isNotNull(), scanned["token"]))
+    assert canonical.token_forms(plain).count() == 0
+
+
+def test_a_foreign_letter_may_stand_for_one_of_a_known_spelling(spark):
+    rows = [(i, "s", "the Kandor river", None) for i in range(3)] + [(8, "s", "the Kaſdor", "KanЖor Жandor"), (9, "s", "the Жrvld", None)]
+    df = art(spark, rows)
+    scanned = canonical.scan(df, "article_id", ("title", "text"))
+    got = {r.token: (r.canonical, r.in_vocabulary) for r in canonical.token_forms(scanned, 5).collect()}
+    assert got["KanЖor"] == ("Kandor", True) and got["Жandor"] == ("Kandor", True) and got["Жrvld"] == ("Жrvld", False)
+    assert got == {r.token: (r.canonical, r.in_vocabulary) for r in canonical.token_forms(scanned, 1).collect()}
+    assert {(8, "text"), (9, "title")} <= {tuple(r) for r in canonical.disguised_fields(df).collect()}
+
+
 def test_residue(spark):
     news = "The council met on Monday and agreed the plan.\nThe mayor said that the bridge would open soon."
     rows = [
