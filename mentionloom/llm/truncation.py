@@ -2,11 +2,19 @@
 
 The model is trained on every title, description and text: for each position it knows whether a statement or line
 ends there or goes on, given the last 4, 8, 16 and 32 characters read backward. A value's final context - what stands
-before any mark or transfer debris - is compared under both: the shorter contexts smooth the longer ones, and the
-log-odds of an end against a continuation are held against a threshold for the value's language, column and kind of
-ending.
-
-Only contexts that some value ends with are counted, found by a fixed-size bit set; counts are summed over all texts.
+before any mark or transfer debris - is compared under both: the shorter contexts smooth the longer ones, the shortest
+is smoothed by the rate of ends in the value's language, and the score is the log-odds of an end in the context against
+the log-odds at any position of the language. A whole value that has no mark at its end is a line without one, so
+for most open values only such ends count as ends; headlines, which descriptions are at times, end as statements do.
+
+The threshold of a score is the log-odds of a cut in its group of values: language, column and kind of ending, values
+whose length piles up in their source and column apart. The shares of cuts are estimated from the scores themselves by
+expectation maximisation (a value's chance of being cut follows from its score and its group's share, the share is the
+mean of these chances), a small group's drawn towards that of its column and kind in all languages. Scores are ratios
+of rates, so thresholds do not move with the size of the corpus.
+
+Only contexts that some value ends with are counted, found by a Bloom filter sized by their number; beyond ``MOST_BITS``
+the contexts are split by hash and the texts passed over once for each part. Counts are summed over all texts.
 A value's own end is taken out of what it is compared with, so a cut value does not vouch for itself, while a page
 line that ends many texts does.
 
@@ -19,7 +27,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +40,9 @@ from mentionloom.session import cut
 ORDERS = (4, 8, 16, 32)
 #: Weight of the shorter contexts beside each longer one.
 SMOOTH = (1.0, 1.0, 0.5, 0.1)
-BITS = 1 << 22
+#: Bits of the filter: at least LEAST_BITS, PER_CONTEXT to twice as many for each context, at most MOST_BITS in one pass.
+LEAST_BITS, PER_CONTEXT, MOST_BITS = 1 << 22, 8, 1 << 30
+_BLOCK = 1 << 17
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -45,18 +55,10 @@ _REACH = 80
 _ENDED = re.compile(r"[.!?…。！？．۔।][\"'”’»“)\]」』]*$")
 _ABBREVIATED = re.compile(r"(?:^|[\s(])[^\W\d_]{1,4}\.$|\.[^\W\d_]{1,3}\.$|(?:^|\s)\d{1,3}\.$")
 _INNER = re.compile(r"[.!?。！？][\"'”’»)\]」』]*(?:\s+[^\Wa-zß-öø-ÿа-яё]|\s+[\"“„«¿¡—(]|(?<=[。！？])\S)")
-#: Log-odds of an end, for each kind of ending and each column, below which a value counts as cut.
-THRESHOLDS = {
-    ("hard", "description"): 9.0, ("hard", "text"): 9.0,
-    ("attached", "description"): 3.0, ("attached", "text"): 3.0,
-    ("spaced", "description"): 0.0, ("spaced", "text"): 0.0,
-    ("open, several", "description"): 20.0, ("open, several", "text"): 0.7,
-    ("open, long", "description"): 2.2, ("open, long", "text"): 0.5,
-    ("open, one", "description"): -5.0, ("open, one", "text"): -1.5,
-    ("ended", "description"): -6.0, ("ended", "text"): -6.0,
-}
-#: Added to the threshold of an open value whose length is a limit: many open values of its source and column have it.
-AT_LIMIT = 4.0
+#: Values of its column and kind in all languages that a group's share of cuts is drawn to, and steps of the estimate.
+DRAWN, MOST_STEPS = 20, 200
+#: Scores are counted in steps of this size to estimate the shares.
+STEP = 0.125
 #: No limit is this short; headlines are.
 SHORTEST_LIMIT = 100
 
@@ -109,8 +111,8 @@ def rolling(codes: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
-def ends(codes: np.ndarray) -> np.ndarray:
-    """1 where a statement or line may end after a position, 0 where it goes on."""
+def ends(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """1 where a statement or line may end after a position, 0 where it goes on; and the same for lines only."""
     k = classes()[np.minimum(codes, 0x10FFF)]
     pad = np.r_[k, np.full(6, 2, np.uint8)]
     n = len(k)
@@ -120,7 +122,7 @@ def ends(codes: np.ndarray) -> np.ndarray:
     after = here_end & (k1 == 1) & ((k2 == 5) | (k2 == 2))
     dots = np.r_[codes, np.zeros(6, codes.dtype)]
     spaced = (k1 == 1) & (((k2 == 6) & ((k3 == 2) | (k3 == 4))) | ((dots[2 : n + 2] == 46) & (dots[3 : n + 3] == 46) & ((k5 == 2) | (k5 == 4))))
-    return ((k1 == 2) | (~here_end & stop) | after | spaced).astype(np.int64)
+    return ((k1 == 2) | (~here_end & stop) | after | spaced).astype(np.int64), (k1 == 2).astype(np.int64)
 
 
 def ending(value: str) -> tuple[str, str] | None:
@@ -176,85 +178,152 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(BITS // 8, np.uint8)
-    for pdf in batches:
-        for c in pdf["contexts"]:
-            h = (np.asarray(c, np.int64).view(_U) & _U(BITS - 1)).astype(np.int64)
-            np.bitwise_or.at(bits, h >> 3, (1 << (h & 7)).astype(np.uint8))
-    step = 1 << 14
-    yield pd.DataFrame({"block": np.arange(len(bits) // step, dtype=np.int32), "bits": [bits[i : i + step].tobytes() for i in range(0, len(bits), step)]})
+def probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a hash in the filter; ``bits`` is a power of two."""
+    return (h & _U(bits - 1)).astype(np.int64), ((h >> _U(33)) & _U(bits - 1)).astype(np.int64)
+
+
+def _placed(bits: int):  # noqa: ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.concatenate(probes(pdf["context"].to_numpy(np.int64).view(_U), bits))
+            yield pd.DataFrame({"block": (at // _BLOCK).astype(np.int32), "bit": (at % _BLOCK).astype(np.int32)})
+
+    return run
 
 
 def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = reduce(np.bitwise_or, (np.frombuffer(b, np.uint8) for b in pdf["bits"]))
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [total.tobytes()]})
+    block = np.zeros(_BLOCK, np.uint8)
+    block[pdf["bit"].to_numpy()] = 1
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.packbits(block, bitorder="little").tobytes()]})
 
 
-def _counter(wanted: np.ndarray):  # noqa: ANN202
+def filter_of(contexts: DataFrame, bits: int) -> np.ndarray:
+    """The filter of distinct contexts, made block by block; at most ``MOST_BITS`` / 8 bytes reach the driver."""
+    out = np.zeros(bits // 8, np.uint8)
+    rows = contexts.mapInPandas(_placed(bits), "block int, bit int").groupBy("block").applyInPandas(_joined, "block int, bits binary")
+    for r in rows.toLocalIterator():
+        out[r["block"] * (_BLOCK // 8) : (r["block"] + 1) * (_BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return (h >> _U(20)) % _U(parts)
+
+
+def _counter(wanted: np.ndarray, part: int, parts: int):  # noqa: ANN202
+    """Ends and continuations of the wanted contexts (of one part of the hashes) and, with the first part, of each language."""
+    bits = len(wanted) * 8
+
+    def counted(language: str, parts_: list[str]) -> Iterator[pd.DataFrame]:
+        sep = "\0" * ORDERS[-1]
+        for a in range(0, len(parts_), 2000):
+            codes = _codes(sep + sep.join(parts_[a : a + 2000]) + sep)
+            end, bare = ends(codes)
+            # no event at the end of a description (marked by 0, 1), between values, or inside a number
+            figure = (codes >= 48) & (codes <= 57)
+            live = (codes > 1) & ~(figure & np.r_[figure[1:], [False]]) & ~np.r_[(codes[1:] == 0) & (np.r_[codes[2:], [0]] == 1), [True]]
+            if not part:
+                yield pd.DataFrame({"language": [language], "context": pd.array([None], "Int64"), "ends": [int(end[live].sum())], "bare": [int(bare[live].sum())], "n": [int(live.sum())]})
+            for h in rolling(codes).values():
+                one, two = probes(h, bits)
+                hit = np.flatnonzero(live & ((wanted[one >> 3] >> (one & 7).astype(np.uint8)) & 1).astype(bool))
+                hit = hit[((wanted[two[hit] >> 3] >> (two[hit] & 7).astype(np.uint8)) & 1).astype(bool)]
+                if parts > 1:
+                    hit = hit[part_of(h[hit], parts) == part]
+                keys, inverse = np.unique(h[hit], return_inverse=True)
+                e, b = (np.bincount(inverse, x[hit], len(keys)).astype(np.int64) for x in (end, bare))
+                yield pd.DataFrame({"language": None, "context": pd.array(keys.view(np.int64), "Int64"), "ends": e, "bare": b, "n": np.bincount(inverse, minlength=len(keys))})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sep = "\0" * ORDERS[-1]
-            parts = [v for row in pdf.itertuples(index=False) for v in (row[0], row[1] and row[1] + "\0\1", row[2] and row[2].rstrip()) if v]
-            for a in range(0, len(parts), 2000):
-                codes = _codes(sep + sep.join(parts[a : a + 2000]) + sep)
-                end = ends(codes)
-                # no event at the end of a description (marked by 0, 1), between values, or inside a number
-                figure = (codes >= 48) & (codes <= 57)
-                live = (codes > 1) & ~(figure & np.r_[figure[1:], [False]]) & ~np.r_[(codes[1:] == 0) & (np.r_[codes[2:], [0]] == 1), [True]]
-                for o, h in rolling(codes).items():
-                    at = (h & _U(BITS - 1)).astype(np.int64)
-                    hit = np.flatnonzero(live & ((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
-                    keys, inverse = np.unique(h[hit], return_inverse=True)
-                    e = np.bincount(inverse, end[hit], len(keys)).astype(np.int64)
-                    n = np.bincount(inverse, minlength=len(keys))
-                    yield pd.DataFrame({"context": keys.view(np.int64), "ends": e, "goes_on": n - e})
+            for language, own in pdf.groupby("language"):
+                values = zip(own["title"], own["description"], own["text"])
+                yield from counted(language, [v for t, d, x in values for v in (t, d and d + "\0\1", x and x.rstrip()) if v])
 
     return run
 
 
-def log_odds(ends_: Column, prior: Column) -> Column:
-    """Log-odds of an end: each longer context smoothed by the shorter ones (the longer, the less), the shortest by the prior."""
-    p = F.aggregate(ends_, prior, lambda p, x: (x["ends"] + p * x["k"]) / (x["ends"] + x["goes_on"] + x["k"]))
+def statistics(texts: DataFrame, asked: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(language, context, ends, bare, n): of the asked contexts (language null), and of each language (context null)."""
+    n = asked.count()
+    parts = max(1, -(-n * PER_CONTEXT // most_bits))
+    bits = max(_BLOCK, min(most_bits, max(LEAST_BITS, 1 << (max(1, -(-n // parts) * PER_CONTEXT) - 1).bit_length())))
+    out = None
+    for part in range(parts):
+        own = asked.where(F.pmod(F.shiftrightunsigned("context", 20), F.lit(parts)) == part) if parts > 1 else asked
+        one = texts.mapInPandas(_counter(filter_of(own, bits), part, parts), "language string, context long, ends long, bare long, n long")
+        out = one if out is None else out.union(one)
+    return out.groupBy("language", "context").agg(*[F.sum(x).alias(x) for x in ("ends", "bare", "n")])
+
+
+def log_odds(ends_: Column, rate: Column) -> Column:
+    """Log-odds of an end: each longer context smoothed by the shorter ones (the longer, the less), the shortest by the rate."""
+    p = F.aggregate(ends_, rate, lambda p, x: (x["ends"] + p * x["k"]) / (x["n"] + x["k"]))
     return F.log(p / (1.0 - p))
 
 
+def thresholds(counts: dict[tuple[str, str, str], dict[float, int]]) -> dict[tuple[str, str, str], float]:
+    """The score below which a value is more likely cut than not, for each group (language, column, kind), from how often
+    each score occurs in it."""
+    groups = sorted(counts)
+    above = {g: (g[1:]) for g in groups}
+    scores = {g: np.array(sorted(counts[g].items()), float) for g in groups}
+    size = {g: scores[g][:, 1].sum() for g in groups}
+    share = {g: 0.5 for g in groups}
+    for _ in range(MOST_STEPS):
+        cuts = {g: float((scores[g][:, 1] / (1 + np.exp(np.clip(scores[g][:, 0] - np.log(share[g] / (1 - share[g])), -500, 500)))).sum()) for g in groups}
+        whole: dict[tuple, list[float]] = {}
+        for g in groups:
+            w = whole.setdefault(above[g], [0.5, 1.0])
+            w[0], w[1] = w[0] + cuts[g], w[1] + size[g]
+        new = {g: (cuts[g] + DRAWN * whole[above[g]][0] / whole[above[g]][1]) / (size[g] + DRAWN) for g in groups}
+        still = max((abs(new[g] - share[g]) for g in groups), default=0.0) < 1e-9
+        share = new
+        if still:
+            break
+    return {g: float(np.log(x / (1 - x))) for g, x in share.items()}
+
+
 def truncated(articles: DataFrame, key: str = "article_id", source: str = "source_domain", language: str = "language") -> DataFrame:
-    """(key, field, source, language, kind, log_odds, cut) of every value whose end is in question."""
+    """(key, field, source, language, kind, log_odds, threshold, cut) of every value whose end is in question; ``log_odds``
+    are those of an end in its context against any position of its language."""
     kind = articles.schema[key].dataType.simpleString()
-    texts = articles.select("title", "description", "text")
-    found = articles.select(F.col(key), F.col(source), F.coalesce(language, F.lit("")), "description", "text").mapInPandas(
+    own_language = F.coalesce(language, F.lit("")).alias("language")
+    found = articles.select(F.col(key), F.col(source), own_language, "description", "text").mapInPandas(
         _candidates, f"id {kind}, field string, source string, language string, kind string, length int, contexts array<long>")
     found = cut(found.groupBy("id", "field", "source", "language", "kind", "length", "contexts").agg(F.count("*").alias("rows")))
-    blocks = found.select("contexts").mapInPandas(_bits, "block int, bits binary").groupBy("block").applyInPandas(_joined, "block int, bits binary").collect()
-    wanted = np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in sorted(blocks, key=lambda r: r["block"])] or [np.zeros(BITS // 8, np.uint8)])
-    counts = texts.mapInPandas(_counter(wanted), "context long, ends long, goes_on long").groupBy("context").agg(
-        F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
-    # distinct contexts first: a common ending is one row of the join
+    # distinct contexts: a common ending is one row of the join
     asked = found.select(F.explode("contexts").alias("context")).distinct()
-    known = cut(asked.join(counts, "context"))
+    counts = cut(statistics(articles.select(own_language, "title", "description", "text"), asked))
+    rates = counts.where("context IS NULL").select("language", *[((F.col(x) + 1.0) / (F.col("n") + 100.0)).alias(f"rate_{x}") for x in ("ends", "bare")])
+    known = asked.join(counts.drop("language"), "context")
     # the events of the value's own end, once for each row that repeats it
     own = F.when((F.col("kind") == "spaced") | ((F.col("field") == "text") & F.col("kind").isin("open, one", "open, long", "open, several", "ended")), F.col("rows")).otherwise(0)
-    at = found.select("id", "field", "source", "language", "kind", "length", own.alias("own"), F.posexplode("contexts").alias("o", "context"))
-    ends_ = F.greatest(F.coalesce("ends", F.lit(0)) - F.col("own"), F.lit(0)).alias("ends")
-    j = at.join(known, "context", "left").groupBy("id", "field", "source", "language", "kind", "length").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("o", ends_, F.coalesce("goes_on", F.lit(0)).alias("goes_on")))),
-                    lambda x: F.struct(x["ends"].alias("ends"), x["goes_on"].alias("goes_on"), F.element_at(F.array(*map(F.lit, SMOOTH)), x["o"] + 1).alias("k"))).alias("c"))
-    # the prior of a language: how often the shortest contexts of its values end
-    prior = j.groupBy("language").agg(((F.sum(F.col("c")[0]["ends"]) + 1.0) / (F.sum(F.col("c")[0]["ends"] + F.col("c")[0]["goes_on"]) + 10.0)).alias("prior"))
-    limits = articles.sparkSession.createDataFrame([(*k, v) for k, v in THRESHOLDS.items()], "kind string, field string, threshold double")
+    bare = (F.col("kind").startswith("open") & ~((F.col("kind") == "open, one") & (F.col("field") == "description"))).alias("as_line")
+    at = found.select("id", "field", "source", "language", "kind", bare, "length", own.alias("own"), F.posexplode("contexts").alias("o", "context"))
+    less = lambda x: F.greatest(F.coalesce(x, F.lit(0)) - F.col("own"), F.lit(0))
+    seen = F.struct("o", less(F.when(F.col("as_line"), F.col("bare")).otherwise(F.col("ends"))).alias("ends"), less(F.col("n")).alias("n"))
+    j = at.join(known, "context", "left").groupBy("id", "field", "source", "language", "kind", "as_line", "length").agg(
+        F.transform(F.array_sort(F.collect_list(seen)), lambda x: F.struct(x["ends"].alias("ends"), x["n"].alias("n"), F.element_at(F.array(*map(F.lit, SMOOTH)), x["o"] + 1).alias("k"))).alias("c"))
     # lengths at which open values of a source and column pile up: far more than at the lengths around
     lengths = found.where("kind LIKE 'open%'").groupBy("source", "field", "length").agg(F.count("*").alias("m"))
     around = Window.partitionBy("source", "field").orderBy("length").rangeBetween(-10, 10)
     piled = lengths.withColumn("near", (F.sum("m").over(around) - F.col("m")) / 20.0).where((F.col("length") >= SHORTEST_LIMIT) & (F.col("m") >= 3) & (F.col("m") > 5 * F.col("near")))
     piled = piled.select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("length").alias("n"), F.lit(True).alias("piled"))
-    j = j.join(piled, j["source"].eqNullSafe(F.col("s")) & (j["field"] == F.col("f")) & (j["length"] == F.col("n")), "left")
-    scored = j.join(F.broadcast(limits), ["kind", "field"]).join(prior, "language")
-    at_limit = F.when(F.col("piled") & F.col("kind").startswith("open"), F.lit(AT_LIMIT)).otherwise(F.lit(0.0))
-    # a language whose values end less readily by nature gets a lower threshold
-    shift = F.greatest(F.lit(-1.0), F.least(F.lit(0.0), F.log(F.col("prior") / 0.1)))
-    odds = log_odds(F.col("c"), F.least(F.col("prior"), F.lit(0.1)))
-    return scored.select(F.col("id").alias(key), "field", "source", "language", "kind", odds.alias("log_odds"), (odds < F.col("threshold") + shift + at_limit).alias("cut"))
+    j = j.join(piled, j["source"].eqNullSafe(F.col("s")) & (j["field"] == F.col("f")) & (j["length"] == F.col("n")), "left").join(rates, "language")
+    j = j.withColumn("rate", F.when(F.col("as_line"), F.col("rate_bare")).otherwise(F.col("rate_ends")))
+    score = log_odds(F.col("c"), F.col("rate")) - F.log(F.col("rate") / (1.0 - F.col("rate")))
+    group = F.when(F.col("piled"), F.concat("kind", F.lit(", at a limit"))).otherwise(F.col("kind"))
+    scored = cut(j.select("id", "field", "source", "language", "kind", group.alias("group"), score.alias("log_odds")))
+    # how often each score occurs in each group: bounded by the languages and the steps of a score
+    steps = F.round(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), "log_odds")) / STEP).alias("step")
+    often: dict[tuple[str, str, str], dict[float, int]] = {}
+    for r in scored.groupBy("language", "field", "group", steps).agg(F.count("*").alias("m")).toLocalIterator():
+        often.setdefault((r["language"], r["field"], r["group"]), {})[r["step"] * STEP] = r["m"]
+    limits = articles.sparkSession.createDataFrame([(*k, v) for k, v in thresholds(often).items()], "language string, field string, group string, threshold double")
+    out = scored.join(F.broadcast(limits), ["language", "field", "group"])
+    return out.select(F.col("id").alias(key), "field", "source", "language", "kind", "log_odds", "threshold", (F.col("log_odds") < F.col("threshold")).alias("cut"))
 
 
 def truncation_by_source(articles: DataFrame, key: str = "article_id", source: str = "source_domain") -> DataFrame:
