@@ -3,10 +3,12 @@
 Every partition packs its documents by best-fit decreasing and computes lower bounds on its number of containers by
 dual feasible functions. Where the count meets the bound the partition is certified and done. Where it does not,
 full containers stay and the documents of containers with gaps are released; partitions then exchange them - released
-documents of several partitions meet in one - and best-fit decreasing runs again, until one partition is left.
+documents of several partitions meet in one - and best-fit decreasing runs again.
 
-Only released documents move between rounds, a small and shrinking part of all; no partition ever holds more than
-``items`` documents at first, and what is released per partition is a few containers.
+A partition holds about ``items`` documents in every round, since the number of partitions follows what was released.
+A spec is done when one partition is left, or when a round released more than ``SHRINK`` of its documents: then
+exchanging gains nothing (sizes that leave a gap in nearly every container), and its containers stay as they are. So
+rounds end after the logarithm of the documents. ``report`` holds the containers against the bound over all documents.
 
 Defined results: null texts and texts of no tokens need no container and give no row; a document larger than the
 capacity is split into pieces that fill containers, the rest being an item; ties in size go to the smaller document
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from mentionloom.llm.tokens import NAMES, TOKENIZER_DIR, token_counts
 from mentionloom.session import cut
 
-#: Documents a first partition holds on average; partitions that meet in one in each later round.
-ITEMS, FAN_IN = 20_000, 8
-SCHEMA = "spec_id int, container string, doc_id long, part int, size long, capacity long, shard long, open boolean"
+#: Documents a partition holds on average, and the largest share of its documents that a round may release to go on.
+ITEMS, SHRINK = 20_000, 0.8
+SCHEMA = "spec_id int, container string, doc_id long, part int, size long, capacity long, shards long, open boolean"
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[int]:
@@ -55,11 +57,12 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """No packing needs fewer containers: the best of the dual feasible functions u_k and f_eps over the sizes."""
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """No packing needs fewer containers: the best of the dual feasible functions u_k and f_eps over the sizes, of each of
+    which there are ``counts``."""
     if not len(sizes):
         return 0
-    values, n = np.unique(sizes, return_counts=True)
+    values, n = np.unique(sizes, return_counts=True) if counts is None else (sizes, counts)
     best = -(-int((values * n).sum()) // capacity)
     for k in range(1, 21):  # u_k: x -> floor((k + 1) x) / k, but x where (k + 1) x is whole
         whole = (values * (k + 1)) % capacity == 0
@@ -71,11 +74,11 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _packer(stage: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda pdf: _pack(pdf, stage, last)
+def _packer(stage: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    return lambda key, pdf: _pack(pdf, stage, int(key[1]))
 
 
-def _pack(pdf: pd.DataFrame, stage: int, last: bool) -> pd.DataFrame:
+def _pack(pdf: pd.DataFrame, stage: int, shard: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "doc_id", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     capacity, sizes = int(pdf["capacity"].iloc[0]), pdf["size"].to_numpy("i8")
     bins = np.array(best_fit_decreasing(sizes, capacity))
@@ -84,10 +87,9 @@ def _pack(pdf: pd.DataFrame, stage: int, last: bool) -> pd.DataFrame:
     gap = (capacity - fill) * 50 > capacity  # more than 2 % free
     # a certified partition can still lend its last, mostly empty container
     free = (fill * 2 < capacity) if certified else gap
-    pdf["open"] = (~np.array(last)) & free[bins]
-    shard = int(pdf["shard"].iloc[0])
+    pdf["open"] = free[bins] & (pdf["shards"].to_numpy() > 1)
     pdf["container"] = [f"{stage}-{shard}-{b}" for b in bins]
-    return pdf[["spec_id", "container", "doc_id", "part", "size", "capacity", "shard", "open"]]
+    return pdf[["spec_id", "container", "doc_id", "part", "size", "capacity", "shards", "open"]]
 
 
 def items_of(sizes: DataFrame) -> DataFrame:
@@ -97,30 +99,47 @@ def items_of(sizes: DataFrame) -> DataFrame:
     return parts.withColumn("size", F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")))
 
 
-def pack(sizes: DataFrame, items: int = ITEMS, fan_in: int = FAN_IN) -> DataFrame:
+def _shared_out(rest: DataFrame, items: int, stage: int) -> DataFrame:
+    """``rest`` with the number of partitions of its spec, and its own by a hash that changes from round to round."""
+    n = rest.groupBy("spec_id").agg(F.ceil(F.count("*") / items).cast("long").alias("shards"))
+    return rest.join(n, "spec_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.lit(stage)), F.col("shards")))
+
+
+def pack(sizes: DataFrame, items: int = ITEMS, shrink: float = SHRINK) -> DataFrame:
     """(spec_id, container, doc_id, part, size) for (spec_id, doc_id, size, capacity)."""
     pieces = items_of(sizes)
-    full = pieces.where("size = capacity").select(
-        "spec_id", F.concat_ws("-", F.lit("f"), "doc_id", "part").alias("container"), "doc_id", "part", "size")
-    rest = pieces.where("size < capacity")
-    most = rest.groupBy("spec_id").count().agg(F.max("count")).first()[0] or 0
-    shards = max(1, -(-most // items))
-    now = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)))
-    done, stage = [full], 0
+    columns = ["spec_id", "container", "doc_id", "part", "size"]
+    out = pieces.where("size = capacity").withColumn("container", F.concat_ws("-", F.lit("f"), "doc_id", "part")).select(columns)
+    now, stage = pieces.where("size < capacity").select("spec_id", "doc_id", "part", "size", "capacity"), 0
     while True:
-        last = shards == 1
-        packed = now.select("spec_id", "doc_id", "part", "size", "capacity", "shard").groupBy("spec_id", "shard").applyInPandas(_packer(stage, last), SCHEMA)
-        if not last:
-            packed = cut(packed)
-        done.append(packed.where("NOT open").select("spec_id", "container", "doc_id", "part", "size"))
-        if last:
-            break
-        shards, stage = -(-shards // fan_in), stage + 1
-        now = packed.where("open").withColumn("shard", F.floor(F.col("shard") / fan_in))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        packed = cut(_shared_out(now, items, stage).groupBy("spec_id", "shard").applyInPandas(_packer(stage), SCHEMA))
+        # one row for each spec
+        after = packed.groupBy("spec_id").agg(F.sum(F.col("open").cast("long")).alias("open"), F.count("*").alias("n")).collect()
+        going = [r["spec_id"] for r in after if 0 < r["open"] <= shrink * r["n"]]
+        released = F.col("open") & F.col("spec_id").isin(going)
+        out = out.unionByName(packed.where(~released).select(columns))
+        if not going:
+            return out
+        now, stage = packed.where(released).select("spec_id", "doc_id", "part", "size", "capacity"), stage + 1
+
+
+def _bound(pdf: pd.DataFrame) -> pd.DataFrame:
+    capacity = int(pdf["capacity"].iloc[0])
+    full = pdf["size"].to_numpy() == capacity
+    rest = pdf[~full].sort_values("size")
+    return pd.DataFrame({"spec_id": pdf["spec_id"].iloc[:1], "capacity": [capacity], "bound": [
+        int(pdf["n"][full].sum()) + lower_bound(rest["size"].to_numpy("i8"), capacity, rest["n"].to_numpy("i8"))]})
+
+
+def report(containers: DataFrame, capacities: DataFrame) -> DataFrame:
+    """(spec_id, capacity, items, tokens, containers, bound, unused): the containers of each spec, the least number that any
+    packing of its items needs, and the share of room unused. ``capacities`` has (spec_id, capacity). A spec's sizes
+    are counted first: at most as many rows as its capacity."""
+    n = containers.groupBy("spec_id", "size").agg(F.count("*").alias("n")).join(capacities.select("spec_id", "capacity").distinct(), "spec_id")
+    bound = n.groupBy("spec_id").applyInPandas(_bound, "spec_id int, capacity long, bound long")
+    c = containers.groupBy("spec_id").agg(F.count("*").alias("items"), F.sum("size").alias("tokens"), F.count_distinct("container").alias("containers"))
+    unused = F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("unused")
+    return c.join(bound, "spec_id").select("spec_id", "capacity", "items", "tokens", "containers", "bound", unused)
 
 
 def pack_documents(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZER_DIR, **limits: int) -> DataFrame:

@@ -88,6 +88,13 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf, "documents"), read(spark, sf, "pack_specs"))
 
 
+@query("p9_report")
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the containers of every spec are from the least number."""
+    specs = read(spark, sf, "pack_specs")
+    return packing.report(cut(packing.pack_documents(read(spark, sf, "documents"), specs)), specs)
+
+
 @query("p7_found")
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(read(spark, sf, "articles"))

@@ -116,7 +116,7 @@ def test_bound_is_exact_where_items_are_large():
 def test_packing(spark, items):
     sizes = [(s, d, (d * 37) % 90 + (250 if d == 7 else 0)) for s in (1, 2) for d in range(100)]
     df = spark.createDataFrame([(s, d, n, 100) for s, d, n in sizes], "spec_id int, doc_id long, size long, capacity long")
-    rows = packing.pack(df, items=items, fan_in=3).collect()
+    rows = packing.pack(df, items=items).collect()
     fill, got = {}, {}
     for r in rows:
         fill[r.spec_id, r.container] = fill.get((r.spec_id, r.container), 0) + r.size
@@ -125,3 +125,17 @@ def test_packing(spark, items):
     assert len({(r.spec_id, r.doc_id, r.part) for r in rows}) == len(rows)
     assert len(fill) <= (1.3 if items < 10 else 1.1) * sum(n for *_, n in sizes) / 100 + 2
     assert packing.pack(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("low, high", [(26, 45), (15, 60), (1, 100)])
+def test_no_partition_grows(spark, low, high, monkeypatch):
+    """Sizes that leave gaps in nearly every container end early; no task ever holds many more than ``items``."""
+    df = spark.range(3000).selectExpr("cast(1 as int) spec_id", "id doc_id", f"cast({low} + pmod(xxhash64(id), {high - low}) as long) size", "100L capacity")
+    stages = {}
+    rows = packing.pack(df, items=100).collect()
+    for r in rows:
+        stage, shard, _ = r.container.split("-")
+        stages.setdefault((stage, shard), []).append(r.size)
+    assert max(map(len, stages.values())) <= 200 and sum(map(len, stages.values())) == 3000
+    got = packing.report(spark.createDataFrame(rows), df.select("spec_id", "capacity")).first()
+    assert got.bound <= got.containers <= 1.15 * got.bound and got.items == 3000 and 0 <= got.unused < 0.2
