@@ -135,13 +135,22 @@ def repeats(words: list[str]) -> bool:
     return len(words) >= 4 and len(set(words)) <= max(1, len(words) // 4)
 
 
-def _touched(line: str) -> bool:
-    """Whether a line has most terms of an exemplar, and these are a fair part of the line."""
-    own = set(terms(line))
+def retrieved(own: set[str]) -> tuple[list[int], frozenset[str]]:
+    """The exemplars that a window retrieves by number of terms - most of all its terms, and of its rare ones - and their
+    terms. None, if no strong one is among them or they are too small a part of the window."""
     rows, at = index()
-    hits = Counter(e for t in own & at.keys() for e in at[t])
-    full = [rows[e][2] for e, n in hits.items() if n >= 0.6 * len(rows[e][2])]
-    return bool(full) and 4 * len(own & frozenset().union(*full)) >= len(own)
+    rare, need = anchors()
+    hits, rare_hits = Counter(e for t in own & at.keys() for e in at[t]), Counter(e for t in own & rare.keys() for e in rare[t])
+    full = [e for e, n in hits.items() if n >= 0.6 * len(rows[e][2]) and (rows[e][1] or rare_hits[e] >= need[e])]
+    if not full:
+        return [], frozenset()
+    explained = frozenset().union(*(rows[e][2] for e in full))
+    return (full, explained) if 4 * len(own & explained) >= len(own) else ([], frozenset())
+
+
+def _touched(line: str) -> bool:
+    """Whether a line retrieves a strong exemplar; what it does not retrieve, its coverage does not count either."""
+    return any(not index()[0][e][1] for e in retrieved(set(terms(line)))[0])
 
 
 @lru_cache(1)
@@ -157,13 +166,14 @@ def anchors() -> tuple[dict[str, list[int]], list[int]]:
 
 
 def is_candidate(text: str, words: list[str], own: set[str] | None = None) -> bool:
-    """Whether the text contains most of an exemplar or much filler: never false for a case. ``own``: its distinct words."""
+    """Whether a line retrieves an exemplar, or the text has much filler or a placeholder: never false for a case, since
+    coverage counts exemplars retrieved by the same rule only. ``own``: its distinct words."""
     at, need = anchors()
     own = set(words) if own is None else own
     hits = Counter([e for t in at.keys() & own for e in at[t]])
     if any(n >= need[e] for e, n in hits.items()) and any(_touched(x) for x in text.split("\n")):
         return True
-    if len(own & FILLER_WORDS) >= 4 or len(own) * 4 <= len(words) + 3:
+    if len(own & FILLER_WORDS) >= 3 or len(own) * 4 <= len(words) + 3:
         return True
     # the same word again at once, or two words in turn: only then can a line repeat itself
     again = b"\1\1" in bytes(map(eq, words, words[1:])) or b"\1\1\1" in bytes(map(eq, words, words[2:]))
@@ -179,16 +189,12 @@ def coverage(words: list[str], idf: dict[str, float], top: float) -> float:
     rows, at = index()
     own = set(words)
     weight = lambda t: idf.get(t, top)
-    mass = defaultdict(float)
-    for t in own & at.keys():
-        for e in at[t]:
-            mass[e] += weight(t)
     explained = set()
-    for e, m in mass.items():
-        if m >= CONTAINED * sum(map(weight, rows[e][2])):
+    for e in retrieved(own)[0]:
+        if sum(map(weight, own & rows[e][2])) >= CONTAINED * sum(map(weight, rows[e][2])):
             explained |= rows[e][2]
     filler = [t for t in words if t in FILLER_WORDS]
-    if len(filler) >= 3 and len(filler) >= 0.7 * len(words):
+    if len(set(filler)) >= 3 and len(filler) >= 0.7 * len(words):
         explained |= FILLER_WORDS
     if repeats(words):
         return 1.0

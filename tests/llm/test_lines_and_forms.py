@@ -159,3 +159,21 @@ def test_counter_of_lines_keeps_whole_numbers():
     f = frame([("a", big), (None, None)], ["x", "n"], {"n"})
     assert f["n"].tolist()[0] == big and Counter(f["x"].isna()) == {False: 1, True: 1}
     assert len(frame([], ["x", "n"], {"n"})) == 0
+
+
+def test_whatever_is_residue_is_a_candidate():
+    """The prefilter against the decision, over mixtures of exemplars, filler and news."""
+    import random
+
+    rng = random.Random(9)
+    parts = [e.lstrip("~") for block in residue.EXEMPLARS.values() for e in block.strip().replace("\n", "|").split("|")]
+    words = sorted(residue.FILLER_WORDS) + "the mayor said bridge opened council error page".split()
+    for n in range(1500):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            w = " ".join(rng.sample(parts, rng.randrange(1, 3))).split() if rng.random() < 0.6 else rng.choices(words, k=rng.randrange(2, 9))
+            lines.append(" ".join(x for x in w if rng.random() < 0.85))
+        text = "\n".join(lines)
+        idf = {t: rng.random() * 9 for t in residue.index()[1]}
+        if residue.is_residue(text, set(), idf, 9.0):
+            assert residue.is_candidate(text, residue.terms(text)), text
