@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from mentionloom.llm.frames import frame
 from mentionloom.session import cut
 
-# Labelled exemplars. "~" marks a weak one: it explains words but retrieves nothing alone.
+# Labelled exemplars. "~" marks a weak one: it explains words but makes no text residue alone.
 EXEMPLARS = {
     "error": """
 404 Not Found|403 Forbidden|401 Unauthorized|400 Bad Request|500 Internal Server Error|Internal Server Error|502 Bad Gateway|503 Service Unavailable|503 Service Temporarily Unavailable|Service Unavailable|504 Gateway Timeout|Gateway time-out|Access denied|Too many requests|Request timed out|Connection refused|Connection timed out|Database connection failed|Error establishing a database connection|Your session has expired|Page not found|Error 404: page not found|Oops! That page can't be found.|Something went wrong|An unexpected error occurred|Bad Gateway|The site is down for maintenance|This site can't be reached
@@ -132,7 +132,7 @@ def has_placeholder(text: str) -> bool:
 
 def repeats(words: list[str]) -> bool:
     """One word, or two in turn, over and over."""
-    return len(words) >= 4 and len(set(words)) <= max(1, len(words) // 4)
+    return len(words) >= 4 and len(set(words)) <= max(1, min(2, len(words) // 4))
 
 
 def retrieved(own: set[str]) -> tuple[list[int], frozenset[str]]:
@@ -177,29 +177,36 @@ def is_candidate(text: str, words: list[str], own: set[str] | None = None) -> bo
         return True
     # the same word again at once, or two words in turn: only then can a line repeat itself
     again = b"\1\1" in bytes(map(eq, words, words[1:])) or b"\1\1\1" in bytes(map(eq, words, words[2:]))
-    if again and any(repeats(terms(x)) for x in text.split("\n") if len(x) > 12):
+    if again and any(repeats(terms(x)) for x in text.split("\n")):
         return True
     return has_placeholder(text)
 
 
 def coverage(words: list[str], idf: dict[str, float], top: float) -> float:
     """Share of a window's TF-IDF mass explained by the exemplars it contains."""
+    return window(words, idf, top)[0]
+
+
+def window(words: list[str], idf: dict[str, float], top: float) -> tuple[float, bool]:
+    """The coverage of a window, and whether more than weak exemplars make it."""
     if not words:
-        return 0.0
+        return 0.0, False
     rows, at = index()
     own = set(words)
     weight = lambda t: idf.get(t, top)
-    explained = set()
+    explained, strong = set(), False
     for e in retrieved(own)[0]:
         if sum(map(weight, own & rows[e][2])) >= CONTAINED * sum(map(weight, rows[e][2])):
             explained |= rows[e][2]
+            strong = strong or not rows[e][1]
     filler = [t for t in words if t in FILLER_WORDS]
     if len(set(filler)) >= 3 and len(filler) >= 0.7 * len(words):
         explained |= FILLER_WORDS
+        strong = True
     if repeats(words):
-        return 1.0
+        return 1.0, True
     total = sum(map(weight, words))
-    return sum(weight(t) for t in words if t in explained) / total if total else 0.0
+    return (sum(weight(t) for t in words if t in explained) / total if total else 0.0), strong
 
 
 def is_residue(text: str, page: set[int], idf: dict[str, float], top: float) -> bool:
@@ -212,18 +219,19 @@ def is_residue(text: str, page: set[int], idf: dict[str, float], top: float) ->
         if not words:
             continue
         if i in page:
-            covered = covered or coverage(words, idf, top) >= COVERED
+            c, strong = window(words, idf, top)
+            covered = covered or (strong and c >= COVERED)
             continue
-        c = coverage(words, idf, top)
+        c, strong = window(words, idf, top)
         label = c < COVERED and len(words) <= LABEL_WORDS and not re.search(r"[.!?。！？…][\s”»\"')\]]*$", line)
         if not label:
-            windows.append((len(line), c))
+            windows.append((len(line), c, strong))
     if not windows:
         return covered  # page lines alone: an error page may be the same in many articles
     for skip in (0, 1):  # at most an opening paragraph
         rest = windows[skip:]
-        size = sum(n for n, _ in rest)
-        if size and sum(n for n, c in rest if c >= COVERED) >= WHOLE * size:
+        size = sum(n for n, *_ in rest)
+        if size and sum(n for n, c, _ in rest if c >= COVERED) >= WHOLE * size and any(strong and c >= COVERED for _, c, strong in rest):
             return True
     return False
 
