@@ -23,6 +23,8 @@ def label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         label = new.select("a", "g")
         if not new.where("g < old").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return label.select(F.col("a").alias("id"), F.col("g").alias("component"))
 
 

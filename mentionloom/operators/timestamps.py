@@ -5,8 +5,11 @@ languages), then joined as-of to zone-offset intervals. The intervals of a zone
 time, so the range join becomes an equi-join on (zone, year) with a handful of intervals beside each value: two
 matching intervals mean an ambiguous time, none a skipped one, one gives the offset.
 
-Defined results: null, empty, relative and impossible values are unreadable and give no row; an unknown zone
-counts as UTC; repeated rows give one row; other columns of the input are ignored.
+Every year is covered: before FIRST_YEAR a zone keeps its first offset (no zone changed earlier), and after LAST_YEAR
+its rules repeat with the calendar, every 400 years, so such a year is looked up that many years earlier.
+
+Defined results: null, empty, relative and impossible values, and instants after the year 9999, are unreadable and give
+no row; an unknown zone counts as UTC; repeated rows give one row; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FIRST_YEAR, LAST_YEAR = 1970, 2100
+#: Years of the table of zone intervals: all changes on record, and a whole cycle of the calendar under the last rules.
+FIRST_YEAR, LAST_YEAR = 1800, 2499
+_CYCLE, _CYCLE_US = 400, 146_097 * 86_400_000_000
+#: From this year on a zone only follows its last rules.
+_SETTLED = 2100
+_LAST_US = 253_402_300_800_000_000
+_LONG_AGO = 100_000 * 366 * 86_400
 
 #: Month names by language; a value is matched by its first three or four letters where that is unique.
 MONTHS = {
@@ -62,7 +71,8 @@ def parse_timestamp(value: str | None, date_order: str | None = None) -> tuple[i
         return None
     try:
         if re.fullmatch(r"\d{1,19}", v):
-            return int(v) * (1_000_000 if len(v) <= 11 else 1000), 0, None
+            us = int(v) * (1_000_000 if len(v) <= 11 else 1000)
+            return (us, 0, None) if us < _LAST_US else None
         if m := _COMPACT.match(v):
             y, mo, d, h, mi, s, f, z = m.groups()
             return (_local_us(int(y), int(mo), int(d), int(h), int(mi), int(s or 0), f), *_zone(z))
@@ -105,7 +115,7 @@ def _zone(z: str | None) -> tuple[int | None, str | None]:
 
 def zone_intervals(zone: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> list[tuple[int, int, int, str]]:
     """(first UTC second, end UTC second, offset in seconds, letters) of each offset interval; transitions by bisection."""
-    tz, step = ZoneInfo(zone), 14 * 86400
+    tz, settled = ZoneInfo(zone), int(datetime(_SETTLED, 1, 1, tzinfo=timezone.utc).timestamp())
     lo = int(datetime(first, 1, 1, tzinfo=timezone.utc).timestamp()) - 2 * 86400
     hi = int(datetime(last, 12, 31, tzinfo=timezone.utc).timestamp())
 
@@ -115,7 +125,7 @@ def zone_intervals(zone: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) ->
 
     out, begin, now, t = [], lo, at(lo), lo
     while t < hi:
-        u = min(t + step, hi)
+        u = min(t + (14 if t < settled else 28) * 86400, hi)
         if (new := at(u)) != now:
             a, b = t, u
             while b - a > 1:
@@ -136,16 +146,16 @@ def _intervals_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found = zone_intervals(zone)
             except Exception:  # not an IANA name
                 continue
-            for b, e, off, letters in found:
-                start, end = b + off, e + off
+            for n, (b, e, off, letters) in enumerate(found):
+                start, end = (b if n else -_LONG_AGO) + off, e + off
                 # a day on either side: the interval before a skipped hour must be at hand
-                y0, y1 = ((datetime(1970, 1, 1) + timedelta(seconds=x)).year for x in (start - 86400, end + 86400))
+                y0, y1 = ((datetime(1970, 1, 1) + timedelta(seconds=x)).year for x in (max(start, found[0][0]) - 86400, end + 86400))
                 rows += [(zone, y, start * 1_000_000, end * 1_000_000, off * 1_000_000, letters) for y in range(y0, y1 + 1)]
         yield pd.DataFrame(rows, columns=["tz", "tz_year", "lo", "hi", "off", "letters"])
 
 
 def offset_table(zones: DataFrame) -> DataFrame:
-    """One row per (tz, tz_year) with its intervals: at most some 600 zones by 131 years, whatever the data."""
+    """One row per (tz, tz_year) with its intervals: at most some 600 zones by 700 years, whatever the data."""
     rows = zones.select("tz").where("tz IS NOT NULL").distinct().mapInPandas(
         _intervals_of, "tz string, tz_year int, lo long, hi long, off long, letters string")
     return rows.groupBy("tz", "tz_year").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "off", "letters"))).alias("iv"))
@@ -164,8 +174,11 @@ def _parsed(value: pd.Series, order: pd.Series) -> pd.DataFrame:
 
 def resolve(df: DataFrame, offsets: DataFrame, local_us: Column, tz: Column, letters: Column | None = None) -> DataFrame:
     """Adds ``offset_us`` and ``n_matches`` (2 ambiguous, 0 skipped) by the as-of join to zone intervals."""
-    year = F.year(F.timestamp_micros(local_us)).cast("int")
-    keyed = df.withColumn("_l", local_us).withColumn("_tz", tz).withColumn("_y", year)
+    # the year by the calendar alone, whatever the session's own zone
+    year = F.year(F.date_from_unix_date(((local_us - F.pmod(local_us, F.lit(_DAY_US))) / _DAY_US).cast("int")))
+    back = F.greatest(F.lit(0), F.ceil((year - LAST_YEAR) / _CYCLE)).cast("long")
+    keyed = df.withColumn("_l", local_us - back * _CYCLE_US).withColumn("_tz", tz)
+    keyed = keyed.withColumn("_y", F.greatest(F.lit(FIRST_YEAR), year - back * _CYCLE).cast("int"))
     keyed = keyed.withColumn("_z", letters if letters is not None else F.lit(None).cast("string"))
     # Bounded by zones times years whatever the data, so it is broadcast.
     o = offsets.select(F.col("tz").alias("_tz"), F.col("tz_year").alias("_y"), "iv")

@@ -31,10 +31,12 @@ def local_session(cores: str | int = "*", app: str = "mentionloom", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir`` if the session names one, else (tests) a temporary one."""
+    """The folder in ``spark.checkpoint.dir`` if the session names one, else, on one machine only, a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "mentionloom-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -45,6 +45,23 @@ def test_intervals_cover_time():
     assert {x[3] for x in iv} == {"CET", "CEST"}
 
 
+def test_all_years(spark):
+    from zoneinfo import ZoneInfo
+
+    zones = {"b": "Europe/Berlin", "n": "America/New_York", "t": "Asia/Tokyo"}
+    sources = spark.createDataFrame([(k, z, "YMD") for k, z in zones.items()], "source_domain string, time_zone string, date_order string")
+    years = [*range(1, 1800, 171), 1799, 1800, 1850, 1893, 1916, 1945, 1969, 1970, 2038, 2099, 2100, 2101, 2400, 2498, 2499, 2500, 2501, 2899, 2900, 5000, 9998]
+    at = [(y, k, m) for y in years for k in zones for m in (1, 7, 12)]
+    rows = [(n, k, f"{y:04d}-{m:02d}-{31 if m == 12 else 1} {'23:30' if m == 12 else '12:00'}") for n, (y, k, m) in enumerate(at)] + [(9000, "b", "9" * 19), (9001, "b", "9" * 12)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "article_id long, source_domain string, date_publish string, date_download string, date_modify string")
+    got = {r.article_id: r.utc_us for r in normalize_timestamps(df, sources).collect()}
+    for n, (y, k, m) in enumerate(at):
+        local = datetime(y, m, 31 if m == 12 else 1, *((23, 30) if m == 12 else (12, 0)))
+        want = us(*local.timetuple()[:6]) - int(local.replace(tzinfo=ZoneInfo(zones[k])).utcoffset().total_seconds() * 1_000_000)
+        assert got[n] == want, (y, k, m)
+    assert 9000 not in got and got[9001] == (10**12 - 1) * 1000
+
+
 def test_zones(spark):
     sources = spark.createDataFrame([("b", "Europe/Berlin", "DMY"), ("n", "America/New_York", "MDY"), ("k", "Asia/Kathmandu", "DMY")], "source_domain string, time_zone string, date_order string")
     rows = [
