@@ -14,12 +14,12 @@ def label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Minimum labels spread along edges and every label takes over its own label, so paths shrink fast; each round is
     checkpointed to the shared folder. The driver sees only whether anything changed."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("g")))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), forget=True)
+    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("g")), forget=True)
     for _ in range(max_rounds):
         near = both.join(label.select(F.col("a").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
         up = label.select(F.col("a").alias("g"), F.col("g").alias("gg"))
-        new = cut(label.join(up, "g", "left").join(near, "a").select("a", F.least("g", "m", F.coalesce("gg", "g")).alias("g"), F.col("g").alias("old")))
+        new = cut(label.join(up, "g", "left").join(near, "a").select("a", F.least("g", "m", F.coalesce("gg", "g")).alias("g"), F.col("g").alias("old")), forget=True)
         label = new.select("a", "g")
         if not new.where("g < old").limit(1).count():
             break

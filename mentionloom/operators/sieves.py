@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mentionloom.functions import scalars
 from mentionloom.operators import mention_ops as ops
 from mentionloom.operators.vectors import cosine
+from mentionloom.session import cut
 
 #: The nine entity types.
 TYPES = ("person-ne", "person-nes", "person-nn", "person-nns", "group-ne", "group", "country-ne", "country", "misc")
@@ -68,23 +68,6 @@ def head_edges(ents: DataFrame) -> DataFrame:
     return _pairs(ents.where("head IS NOT NULL").select("topic_id", "entity", "head"), "head").select("topic_id", "a", "b", F.lit(1.0).alias("sim"))
 
 
-def core_edges(mentions: DataFrame, named: DataFrame) -> DataFrame:
-    """Shared core words that are names (step 1)."""
-    w = mentions.select("topic_id", F.col("chain").alias("entity"), F.explode("words").alias("word")).distinct().join(named, "word", "left_semi")
-    p = _pairs(w, "word")
-    return p.select("topic_id", "a", "b", F.col("shared").cast("double").alias("sim"))
-
-
-def phrase_edges(mentions: DataFrame) -> DataFrame:
-    """Share of the smaller entity's words that the larger one has (step 2): 1 for a subset."""
-    w = mentions.select("topic_id", F.col("chain").alias("entity"), F.explode("words").alias("word")).distinct()
-    n = w.groupBy("topic_id", "entity").agg(F.count("*").alias("n"))
-    p = _pairs(w, "word")
-    j = p.join(n.select("topic_id", F.col("entity").alias("a"), F.col("n").alias("na")), ["topic_id", "a"]).join(
-        n.select("topic_id", F.col("entity").alias("b"), F.col("n").alias("nb")), ["topic_id", "b"])
-    return j.select("topic_id", "a", "b", (F.col("shared") / F.least("na", "nb")).alias("sim"))
-
-
 def prefix_edges(ents: DataFrame, letters: int = 8) -> DataFrame:
     """Heads with a common prefix (step 3, named words)."""
     p = ents.where(F.length("head") >= letters).select("topic_id", "entity", F.substring("head", 1, letters).alias("prefix"))
@@ -108,33 +91,40 @@ def neighbourhood_cores(edges: DataFrame, threshold: Column) -> DataFrame:
     return j.where(F.col("c") / F.greatest("deg", "deg2") >= threshold).select("group", F.col("p").alias("a"), F.col("r").alias("b"))
 
 
-def phrase_distance_edges(ents: DataFrame, most: float = 0.25) -> DataFrame:
-    """Edit distance of names over their number of letters (step 5), between all entities of a topic."""
-    e = ents.select("topic_id", "entity")
-    j = e.withColumnRenamed("entity", "a").join(e.withColumnRenamed("entity", "b"), "topic_id").where("a < b")
-    d = scalars.edit_distance(F.col("a"), F.col("b")) / F.greatest(F.length("a"), F.length("b"))
-    return j.where(d <= most).select("topic_id", "a", "b", (1 - d).alias("sim"))
-
-
-def grid_edges(mentions: DataFrame, share: float = 0.3) -> DataFrame:
-    """Share of phrase pairs of two entities that have a word in common (grids of phrases, step 2 of the older method)."""
-    p = mentions.select("topic_id", F.col("chain").alias("entity"), F.array_sort(F.array_distinct("words")).alias("ws")).distinct()
-    p = p.withColumn("phrase", F.array_join("ws", " "))
-    n = p.groupBy("topic_id", "entity").agg(F.count("*").alias("n"))
-    w = p.select("topic_id", "entity", "phrase", F.explode("ws").alias("word"))
-    x, y = w.select("topic_id", "word", F.col("entity").alias("a"), F.col("phrase").alias("pa")), w.select("topic_id", "word", F.col("entity").alias("b"), F.col("phrase").alias("pb"))
-    cells = x.join(y, ["topic_id", "word"]).where("a < b").select("topic_id", "a", "b", "pa", "pb").distinct().groupBy("topic_id", "a", "b").agg(F.count("*").alias("c"))
-    j = cells.join(n.select("topic_id", F.col("entity").alias("a"), F.col("n").alias("na")), ["topic_id", "a"]).join(
-        n.select("topic_id", F.col("entity").alias("b"), F.col("n").alias("nb")), ["topic_id", "b"])
-    sim = F.col("c") / (F.col("na") * F.col("nb"))
-    return j.where(sim >= share).select("topic_id", "a", "b", sim.alias("sim"))
-
-
-def frequent_sets(words: DataFrame, by: list[str], item: str, words_col: str, least: int) -> DataFrame:
-    """Frequent single words and pairs of words of each group with their support (itemsets of up to two words): counted
-    by joins on the item, so a group is never gathered."""
-    w = words.select(*by, item, F.explode(F.array_distinct(words_col)).alias("w"))
-    one = w.groupBy(*by, "w").agg(F.count("*").alias("support")).where(F.col("support") >= least)
-    kept = w.join(one.select(*by, "w"), [*by, "w"])
-    two = kept.join(kept.withColumnRenamed("w", "v"), [*by, item]).where("w < v").groupBy(*by, "w", "v").agg(F.count("*").alias("support")).where(F.col("support") >= least)
-    return one.select(*by, F.col("w").alias("itemset"), "support").union(two.select(*by, F.concat_ws(" ", "w", "v"), "support"))
+#: Fixed value: a word in at least this share of a group's items joins all its sets.
+VERY_FREQUENT = 0.9
+
+
+def frequent_sets(words: DataFrame, by: list[str], item: str, least: int) -> DataFrame:
+    """(by, itemset, support): all sets of words that at least ``least`` items of a group have - all items, where a group has
+    fewer - level by level: a set of k words is a frequent one of k - 1 with a later frequent word of the same item. Counted by
+    joins on the item, so a group is never gathered; levels end with the longest item. ``words`` has (by, item, word)."""
+    w = words.select(*by, item, "word").distinct()
+    n = w.select(*by, item).distinct().groupBy(*by).agg(F.least(F.count("*"), F.lit(least)).alias("need"))
+    w = cut(w.join(n, by))
+    one = w.groupBy(*by, "word", "need").agg(F.count("*").alias("support")).where("support >= need")
+    frequent = cut(w.join(one.select(*by, "word"), [*by, "word"]).select(*by, item, "word", "need"))
+    level = frequent.select(*by, item, "need", F.array("word").alias("itemset"))
+    out = one.select(*by, F.array("word").alias("itemset"), "support")
+    while True:
+        longer = level.join(frequent.select(*by, item, "word"), [*by, item]).where(F.col("word") > F.element_at("itemset", -1))
+        longer = longer.select(*by, item, "need", F.concat("itemset", F.array("word")).alias("itemset"))
+        kept = cut(longer.groupBy(*by, "itemset", "need").agg(F.count("*").alias("support")).where("support >= need"))
+        if not kept.limit(1).count():
+            return out
+        out = out.union(kept.select(*by, "itemset", "support"))
+        level = cut(longer.join(kept.select(*by, "itemset"), [*by, "itemset"]))
+
+
+def maximal_sets(words: DataFrame, by: list[str], item: str, least: int) -> DataFrame:
+    """(by, itemset) of the frequent sets that are part of no other, each with the words that at least ``VERY_FREQUENT`` of
+    the group's items have. A set is part of another only if it is that one less a word at least, so every set is held
+    against the longer ones of its group that have its first word."""
+    f = cut(frequent_sets(words, by, item, least))
+    x = f.select(*by, "itemset", F.get("itemset", F.lit(0)).alias("word"))
+    y = f.select(*by, F.col("itemset").alias("outer"), F.explode("itemset").alias("word"))
+    inner = x.join(y, [*by, "word"]).where((F.size("outer") > F.size("itemset")) & (F.size(F.array_except("itemset", "outer")) == 0)).select(*by, "itemset").distinct()
+    n = words.select(*by, item).distinct().groupBy(*by).agg(F.count("*").alias("n"))
+    often = f.where(F.size("itemset") == 1).join(n, by).where(F.col("support") >= VERY_FREQUENT * F.col("n")).groupBy(*by).agg(F.collect_list(F.get("itemset", F.lit(0))).alias("often"))
+    m = f.join(inner, [*by, "itemset"], "left_anti").join(often, by, "left")
+    return m.select(*by, F.array_sort(F.array_union("itemset", F.coalesce("often", F.array().cast("array<string>")))).alias("itemset")).distinct()

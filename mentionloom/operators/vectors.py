@@ -30,6 +30,35 @@ def mean_vector(df: DataFrame, by: list[str], vector: str, weight: Column | None
     return m.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vector))
 
 
+#: Vectors of a group compared in one task.
+BLOCK = 2000
+
+
+def similar_pairs(df: DataFrame, by: str, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
+    """(by, a, b, sim), a < b: pairs of a group's vectors whose cosine is at least ``least``, exactly. A group is cut into
+    blocks, and every pair of blocks is compared by one matrix product; only pairs that reach ``least`` are made."""
+    kinds = dict(df.dtypes)
+    n = df.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    j = df.select(by, key, vector).join(n, by).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    with_ = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi"))))
+    j = j.select(by, key, vector, "own", with_.alias("x")).select(by, key, vector, "own", "x.lo", "x.hi")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key).reset_index(drop=True)
+        x = np.stack(pdf[vector].to_numpy()).astype(float)
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        unit = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+        keys, own, lo, hi = pdf[key].to_numpy(), pdf["own"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        i, k = np.nonzero((sim := unit[left] @ unit[right].T) >= least)
+        s, i, k = sim[i, k], left[i], right[k]
+        keep = i < k if lo == hi else np.ones(len(i), bool)
+        first, second = np.minimum(i, k)[keep], np.maximum(i, k)[keep]
+        return pd.DataFrame({by: pdf[by].iloc[[0] * len(first)].reset_index(drop=True), "a": keys[first], "b": keys[second], "sim": s[keep]})
+
+    return j.groupBy(by, "lo", "hi").applyInPandas(run, f"`{by}` {kinds[by]}, a {kinds[key]}, b {kinds[key]}, sim double")
+
+
 def pair_features(a: Column, b: Column) -> Column:
     """[a, b, a - b, a * b] of two vectors."""
     d = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))

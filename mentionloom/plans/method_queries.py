@@ -39,32 +39,12 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("block"), "vec_id", "embedding", "label")
 
 
-@query("mtd5_affinity_clustering")
-def mtd5(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.clusters_within(_blocks(spark, sf), "block", "vec_id", "embedding", "affinity", damping=0.7)
-
-
-@query("clu1_average_linkage")
-def clu1(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.clusters_within(_blocks(spark, sf), "block", "vec_id", "embedding", "linkage", threshold=0.6)
-
-
-@query("clu4_best_pair_agglomeration")
-def clu4(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.clusters_within(_blocks(spark, sf), "block", "vec_id", "embedding", "pairs", stop=0.65)
-
-
 _EDGE = """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id // 100 = b.vec_id // 100 AND a.vec_id < b.vec_id
    WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) >= 0.4),
  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS w FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.w = u.a)
 """
 
 
-@query("clu3_components", _EDGE + "SELECT id, min(w) AS component FROM r GROUP BY 1")
-def clu3(spark: SparkSession, sf: str) -> DataFrame:
-    return graphs.label_components(sieves.vector_edges(_blocks(spark, sf), "block", "vec_id", "embedding", 0.4).select("a", "b"))
-
-
 @query("clu5_seeds", M + "SELECT doc_id, chain, min(mention_id) AS seed, count(*) AS size FROM m GROUP BY ALL")
 def clu5(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).groupBy("doc_id", "chain").agg(F.min("mention_id").alias("seed"), F.count("*").alias("size"))
@@ -154,12 +134,6 @@ def clu15(spark: SparkSession, sf: str) -> DataFrame:
     return v.select(F.round("h", 6).alias("homogeneity"), F.round("c", 6).alias("completeness"), F.round(2 * F.col("h") * F.col("c") / (F.col("h") + F.col("c")), 6).alias("v_measure"))
 
 
-@query("fpm1_frequent_sets", M + """, v AS (SELECT DISTINCT topic_id, mention_id, unnest(words) AS w FROM m), o AS (SELECT topic_id, w, count(*) AS support FROM v GROUP BY ALL HAVING count(*) >= 4), k AS (SELECT v.* FROM v JOIN o USING (topic_id, w))
-SELECT topic_id, w AS itemset, support FROM o UNION ALL SELECT x.topic_id, x.w || ' ' || y.w, count(*) FROM k x JOIN k y ON x.topic_id = y.topic_id AND x.mention_id = y.mention_id AND x.w < y.w GROUP BY x.topic_id, x.w, y.w HAVING count(*) >= 4""")
-def fpm1(spark: SparkSession, sf: str) -> DataFrame:
-    return sieves.frequent_sets(mentions(spark, sf), ["topic_id"], "mention_id", "words", 4)
-
-
 # -- merge steps -----------------------------------------------------------------------------------------------------
 
 _E = M + """, hh AS (SELECT topic_id, chain, head, row_number() OVER (PARTITION BY topic_id, chain ORDER BY count(*) DESC, head) AS i FROM m GROUP BY 1, 2, 3),
@@ -202,22 +176,9 @@ def x0(spark: SparkSession, sf: str) -> DataFrame:
 _NAMED = "SELECT DISTINCT topic_id, chain AS entity, w AS item FROM (SELECT topic_id, chain, unnest(words) AS w FROM m) WHERE w IN (SELECT DISTINCT unnest(words) FROM m WHERE kind = 'HUM')"
 
 
-@query("x1_core_match", _gated(_shared(_NAMED, "count(*)"), "step1", "r.value > 0"))
-def x1(spark: SparkSession, sf: str) -> DataFrame:
-    m = mentions(spark, sf)
-    named = m.where("kind = 'HUM'").select(F.explode("words").alias("word")).distinct()
-    return _gate(spark, sf, sieves.core_edges(m, named), "step1", "rule > 0")
-
-
-
 _SUBSET = "SELECT p.topic_id, p.a, p.b, p.c / least(x.n, y.n)::DOUBLE AS sim FROM (" + _shared(_WORDS, "count(*)").replace("AS sim", "AS c") + ") p JOIN (SELECT topic_id, entity, count(*) AS n FROM (" + _WORDS + ") GROUP BY ALL) x ON x.topic_id = p.topic_id AND x.entity = p.a JOIN (SELECT topic_id, entity, count(*) AS n FROM (" + _WORDS + ") GROUP BY ALL) y ON y.topic_id = p.topic_id AND y.entity = p.b"
 
 
-@query("x2_phrase_match", _gated(_SUBSET, "step2", "r.value > 0 AND o.sim >= r.value", "older"))
-def x2(spark: SparkSession, sf: str) -> DataFrame:
-    return _gate(spark, sf, sieves.phrase_edges(mentions(spark, sf)), "step2", "rule > 0 AND sim >= rule", "older")
-
-
 @query("x3b_prefix_chains", _gated(_shared("SELECT topic_id, entity, substr(head, 1, 8) AS item FROM ent WHERE length(head) >= 8"), "step3", "r.value >= 0"))
 def x3b(spark: SparkSession, sf: str) -> DataFrame:
     return _gate(spark, sf, sieves.prefix_edges(sieves.entities(mentions(spark, sf))), "step3", "rule >= 0")
@@ -259,76 +220,17 @@ def x3i(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.label_components(sieves.vector_edges(_blocks(spark, sf), "block", "vec_id", "embedding", 0.42).select("a", "b"))
 
 
-@query("x3l_group_country_heads", _gated(_shared("SELECT topic_id, entity, head AS item FROM ent WHERE kind IN ('GRP', 'LOC') AND head IS NOT NULL"), "step3", "r.value >= 0"))
-def x3l(spark: SparkSession, sf: str) -> DataFrame:
-    ents = sieves.entities(mentions(spark, sf)).where("kind IN ('GRP', 'LOC')")
-    return _gate(spark, sf, sieves.head_edges(ents), "step3", "rule >= 0")
-
-
-@query("x4_misc_linkage")
-def x4(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.clusters_within(_blocks(spark, sf).where("label >= 5"), "block", "vec_id", "embedding", "linkage", threshold=0.4)
-
-
-@query("xb3_type_linkage")
-def xb3(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.clusters_within(read(spark, sf, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", "linkage", threshold=0.3)
-
-
-@query("xb4_head_vectors", f"WITH v AS ({_VE}) SELECT a, b, round(sim, 5) AS sim FROM v JOIN embeddings x ON x.vec_id = v.a JOIN embeddings y ON y.vec_id = v.b WHERE (x.label = y.label AND sim >= 0.3) OR (x.label <> y.label AND sim >= 0.35)")
-def xb4(spark: SparkSession, sf: str) -> DataFrame:
-    b = _blocks(spark, sf)
-    e = sieves.vector_edges(b, "block", "vec_id", "embedding", 0.3)
-    la, lb = b.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), b.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"))
-    return e.join(la, "a").join(lb, "b").where("la = lb OR sim >= 0.35").select("a", "b", F.round("sim", 5).alias("sim"))
-
-
 @query("t0_head_equality", _gated(_shared("SELECT topic_id, entity, head AS item FROM ent WHERE head IS NOT NULL"), "step0", "r.value > 0", "older"))
 def t0(spark: SparkSession, sf: str) -> DataFrame:
     return _gate(spark, sf, sieves.head_edges(sieves.entities(mentions(spark, sf))), "step0", "rule > 0", "older")
 
 
-@query("t1_head_similarity", f"WITH v AS ({_VE}) SELECT block, a, b FROM v WHERE sim >= 0.45")
-def t1(spark: SparkSession, sf: str) -> DataFrame:
-    return sieves.vector_edges(_blocks(spark, sf), "block", "vec_id", "embedding", 0.45).select("block", "a", "b")
-
-
 _GRID = _E + """, ph AS (SELECT DISTINCT topic_id, chain AS entity, array_to_string(list_sort(list_distinct(words)), ' ') AS phrase FROM m), nn AS (SELECT topic_id, entity, count(*) AS n FROM ph GROUP BY ALL), pw AS (SELECT topic_id, entity, phrase, unnest(string_split(phrase, ' ')) AS word FROM ph),
  cell AS (SELECT DISTINCT x.topic_id, x.entity AS a, y.entity AS b, x.phrase AS pa, y.phrase AS pb FROM pw x JOIN pw y ON x.topic_id = y.topic_id AND x.word = y.word AND x.entity < y.entity),
  cc AS (SELECT topic_id, a, b, count(*) AS c FROM cell GROUP BY ALL)
 SELECT cc.topic_id, a, b, round(c / (x.n * y.n)::DOUBLE, 6) AS sim FROM cc JOIN nn x ON x.topic_id = cc.topic_id AND x.entity = a JOIN nn y ON y.topic_id = cc.topic_id AND y.entity = b WHERE c / (x.n * y.n)::DOUBLE >= {share}"""
 
 
-@query("t2_phrase_grid", _GRID.replace("{share}", "0.3"))
-def t2(spark: SparkSession, sf: str) -> DataFrame:
-    return sieves.grid_edges(mentions(spark, sf).where(F.size("words") > 0), 0.3).select("topic_id", "a", "b", F.round("sim", 6).alias("sim"))
-
-
-@query("t3_compound_grid", _GRID.replace("{share}", "0.5"))
-def t3(spark: SparkSession, sf: str) -> DataFrame:
-    return sieves.grid_edges(mentions(spark, sf).where(F.size("words") > 0), 0.5).select("topic_id", "a", "b", F.round("sim", 6).alias("sim"))
-
-
-@query("t5_phrase_distance")
-def t5(spark: SparkSession, sf: str) -> DataFrame:
-    return sieves.phrase_distance_edges(sieves.entities(mentions(spark, sf)), 0.6).select("topic_id", "a", "b")
-
-
-@query("sieve_chain_components")
-def sieve_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Steps 0 to 2 one after the other, merged by components: (entity, into), the history of the default method."""
-    edges = x0(spark, sf).select("topic_id", "a", "b").union(x1(spark, sf).select("topic_id", "a", "b"))
-    named = edges.select(F.concat_ws("\x01", "topic_id", "a").alias("a"), F.concat_ws("\x01", "topic_id", "b").alias("b"))
-    return graphs.merge_components(named)
-
-
-@query("sieve_greedy_merge")
-def sieve_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    ents = sieves.entities(mentions(spark, sf))
-    g = sieves.gate(sieves.phrase_edges(mentions(spark, sf)), ents, read(spark, sf, "rules"), "older", "step2", F.expr("rule > 0 AND sim >= rule"))
-    return graphs.merge_greedy(g.withColumnRenamed("topic_id", "group"))
-
-
 # -- significance and events ---------------------------------------------------------------------------------------------
 
 _TWO = "WITH p AS (SELECT event_id AS k, value AS a, value * (0.9 + (event_id % 7) / 30.0)::DOUBLE AS b FROM events)"

@@ -131,26 +131,6 @@ def agg8(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.sense_weights(s)
 
 
-@query("agg23_word_vector_means", M + ", v AS (SELECT chain, unnest(words) AS word FROM m), j AS (SELECT chain, embedding[1]::DOUBLE AS x FROM v JOIN embeddings ON vec_id = (length(word) * 13) % 500) SELECT chain, round(avg(x), 6) AS x FROM j GROUP BY 1")
-def agg23(spark: SparkSession, sf: str) -> DataFrame:
-    v = mentions(spark, sf).select("chain", F.explode("words").alias("word")).withColumn("vec_id", ((F.length("word") * 13) % 500).cast("long"))
-    m = vectors.mean_vector(v.join(read(spark, sf, "embeddings"), "vec_id"), ["chain"], "embedding")
-    return m.select("chain", F.round(F.col("embedding")[0], 6).alias("x"))
-
-
-@query("win7_central_vector", f"WITH v AS ({_VE}), u AS (SELECT a AS p, b AS q, sim FROM v UNION ALL SELECT b, a, sim FROM v), s AS (SELECT x.label, p, avg(sim) AS s FROM u JOIN embeddings x ON x.vec_id = p JOIN embeddings y ON y.vec_id = q AND y.label = x.label GROUP BY ALL) SELECT label, p AS vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, p) AS i FROM s) WHERE i = 1")
-def win7(spark: SparkSession, sf: str) -> DataFrame:
-    """The vector of each cluster that is most like the others of its block."""
-    b = _blocks(spark, sf)
-    e = sieves.vector_edges(b, "block", "vec_id", "embedding", -2.0)
-    la = b.select(F.col("vec_id").alias("a"), F.col("label").alias("la"))
-    lb = b.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"))
-    j = e.join(la, "a").join(lb, "b").where("la = lb")
-    u = j.select(F.col("la").alias("label"), F.col("a").alias("p"), "sim").union(j.select("la", "b", "sim"))
-    s = u.groupBy("label", "p").agg(F.avg("sim").alias("s"))
-    return s.groupBy("label").agg(F.min(F.struct((-F.round("s", 9)).alias("o"), "p")).alias("x")).select("label", F.col("x.p").alias("vec_id"))
-
-
 @query("met13_filled_labels", KR + ", t AS (SELECT response, arg_min(key, (-n, key)) AS best FROM (SELECT response, key, count(*) AS n FROM kr WHERE kind <> 'UNK' GROUP BY ALL) GROUP BY 1) SELECT mention_id, CASE WHEN kind <> 'UNK' THEN key ELSE coalesce(best, 'UNK') END AS truth FROM kr LEFT JOIN t USING (response)")
 def met13(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of unlabelled mentions filled from the most frequent label of equal heads."""
@@ -271,26 +251,6 @@ _SETS = M + """, v AS (SELECT DISTINCT topic_id, chain, mention_id, unnest(words
 SELECT c.topic_id, a, b, round(c / (x.k * y.k)::DOUBLE, 6) AS share FROM c JOIN k x ON x.topic_id = c.topic_id AND x.chain = a JOIN k y ON y.topic_id = c.topic_id AND y.chain = b WHERE c / (x.k * y.k)::DOUBLE >= 0.2"""
 
 
-@query("t4_wordset_grid", _SETS)
-def t4(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of cells of two entities' grid of frequent words that agree: cells are counted, not weighted."""
-    w = mentions(spark, sf).select("topic_id", "chain", "mention_id", F.explode(F.array_distinct("words")).alias("s"))
-    o = w.groupBy("topic_id", "chain", "s").agg(F.count("*").alias("n")).where("n >= 2")
-    k = o.groupBy("topic_id", "chain").agg(F.count("*").alias("k"))
-    c = ops.head_overlap(o.withColumnRenamed("chain", "entity"), ["topic_id"], "entity", "s")
-    j = c.join(k.select("topic_id", F.col("chain").alias("a"), F.col("k").alias("ka")), ["topic_id", "a"]).join(k.select("topic_id", F.col("chain").alias("b"), F.col("k").alias("kb")), ["topic_id", "b"])
-    share = F.col("shared") / (F.col("ka") * F.col("kb"))
-    return j.where(share >= 0.2).select("topic_id", "a", "b", F.round(share, 6).alias("share"))
-
-
-@query("clu11_lexical_vectors", M + ", v AS (SELECT chain, unnest(words) AS word FROM m), j AS (SELECT chain, word, embedding[1]::DOUBLE AS x FROM v JOIN embeddings ON vec_id = (length(word) * 13) % 500) SELECT chain, round(sum(CASE WHEN length(word) > 3 THEN x ELSE 0 END) / count(*), 6) AS x FROM j GROUP BY 1")
-def clu11(spark: SparkSession, sf: str) -> DataFrame:
-    """Sum over words that are no stop words, divided by all words."""
-    v = mentions(spark, sf).select("chain", F.explode("words").alias("word")).withColumn("vec_id", ((F.length("word") * 13) % 500).cast("long"))
-    j = v.join(read(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x")), "vec_id")
-    return j.groupBy("chain").agg(F.round(F.sum(F.when(F.length("word") > 3, F.col("x")).otherwise(0.0)) / F.count("*"), 6).alias("x"))
-
-
 @query("clu12_span_vectors", "SELECT vec_id, 192 AS dims, round(embedding[64]::DOUBLE + embedding[1]::DOUBLE, 6) AS edge FROM embeddings")
 def clu12(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings")
@@ -309,16 +269,6 @@ def _chain(spark: SparkSession, sf: str, names: tuple[str, ...]) -> DataFrame:
     return graphs.merge_components(every)
 
 
-@query("mtd6_mtd7_older_method")
-def mtd67(spark: SparkSession, sf: str) -> DataFrame:
-    return _chain(spark, sf, ("t0_head_equality", "t2_phrase_grid", "t3_compound_grid", "t4_wordset_grid", "t5_phrase_distance"))
-
-
-@query("mtd8_base_method")
-def mtd8(spark: SparkSession, sf: str) -> DataFrame:
-    return _chain(spark, sf, ("x0_title_match", "x1_core_match", "x2_phrase_match"))
-
-
 @query("mtd9_newer_method")
 def mtd9(spark: SparkSession, sf: str) -> DataFrame:
     return _chain(spark, sf, ("x0_title_match", "x1_core_match", "x2_phrase_match", "x3b_prefix_chains", "x3k_tf_idf_edges", "x3l_group_country_heads"))

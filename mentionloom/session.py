@@ -41,7 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder: cuts lineage and survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, forget: bool = False) -> DataFrame:
+    """Checkpoint to the shared folder: cuts lineage and survives the loss of executors.
+
+    A checkpoint keeps the size that its plan was estimated to have; in a loop of joins the estimates are multiplied
+    round by round, to numbers of any length. ``forget`` drops the estimate, too."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    if not forget:
+        return out
+    rows = out._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, out._jdf.schema(), False), spark)

@@ -102,15 +102,6 @@ def test_edit_distance(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     assert [r.d for r in df.select(scalars.edit_distance(df["a"], df["b"]).alias("d")).collect()] == [distance(*p) for p in pairs]
 
-
-def test_phrase_distance_compares_all_names_of_a_topic(spark):
-    from mentionloom.operators import sieves
-
-    rows = [("t", "kateryna", "group"), ("t", "cateryna", "misc"), ("t", "port", "misc"), ("u", "katerina", "group")]
-    df = spark.createDataFrame(rows, "topic_id string, entity string, etype string")
-    assert [tuple(r) for r in sieves.phrase_distance_edges(df).collect()] == [("t", "cateryna", "kateryna", 0.875)]
-
-
 def test_extended_b_cubed_is_b_cubed_for_single_labels(spark):
     from mentionloom.operators import metrics
 
