@@ -14,11 +14,6 @@ CLASS_PRECEDENCE = (("ACT", "ACTION"), ("LOC", "LOCATION"), ("NON", "NON_HUMAN")
 STOPWORDS = "a an and the of in on at to for by with from as is la el los las le les des du de der die das ein eine und et y"
 
 
-def clean_word(word: Column) -> Column:
-    """Lower-cased letters and figures of a word."""
-    return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]", "")
-
-
 def words_of(text: Column) -> Column:
     """The words of a phrase."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionloom.operators.graphs import label_components
+from mentionloom.session import cut
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -178,27 +179,36 @@ def _assigned(pdf: pd.DataFrame) -> pd.DataFrame:
     n = phi.copy()
     phi[keys[0], responses[0]] = 2 * pdf["n"] / (pdf["nk"] + pdf["nr"])
     n[keys[0], responses[0]] = pdf["n"]
-    out = {"phi": sum(phi[a] for a in best_assignment(phi)), "n": float(sum(n[a] for a in best_assignment(n)))}
-    out["phi_overlap"] = sum(phi[a] for a in best_assignment(n))
-    return pd.DataFrame([out])
+    by_overlap = best_assignment(n)
+    return pd.DataFrame([{"phi": sum(phi[a] for a in best_assignment(phi)), "n": float(sum(n[a] for a in by_overlap)), "phi_overlap": sum(phi[a] for a in by_overlap)}])
 
 
 def ceaf(labels: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """(by, measure, recall, precision, f1) of ceafe (phi-optimal), ceafm and ceafe_overlap (overlap-optimal).
 
     Chains that share no mention add nothing to an assignment, so each connected component of the contingency table is
-    solved on its own; a component is as large as a set of chains that overlap, not as the corpus."""
+    solved on its own. Most components are stars - a chain beside chains that overlap no other -, whose optimum is their
+    best pair: they are settled by aggregates. The others are solved one by one, each by a matrix of its key and
+    response chains; a component is as large as a set of chains that overlap, not as the corpus."""
     c = contingency(labels, by)
-    s = _sizes(c, by)
+    phi = 2 * F.col("n") / (F.col("nk") + F.col("nr"))
+    s = _sizes(c, by).withColumn("phi", phi)
+    dk, dr = s.groupBy(*by, "key").agg(F.count("*").alias("dk")), s.groupBy(*by, "response").agg(F.count("*").alias("dr"))
+    s = s.join(dk, [*by, "key"]).join(dr, [*by, "response"])
+    rk, rr = s.groupBy(*by, "key").agg(F.max("dr").alias("near_k")), s.groupBy(*by, "response").agg(F.max("dk").alias("near_r"))
+    s = cut(s.join(rk, [*by, "key"]).join(rr, [*by, "response"]))
+    best = [F.max("phi").alias("phi"), F.max("n").cast("double").alias("n"), F.max(F.struct("n", "phi"))["phi"].alias("phi_overlap")]
+    settled = s.where("near_k = 1").groupBy(*by, "key").agg(*best).drop("key")
+    settled = settled.unionByName(s.where("near_k > 1 AND near_r = 1").groupBy(*by, "response").agg(*best).drop("response"))
+    rest = s.where("near_k > 1 AND near_r > 1")
     name = lambda side, col: F.concat_ws("\x01", F.lit(side), *by, F.col(col))
-    edges = s.select(name("k", "key").alias("a"), name("r", "response").alias("b"))
-    comp = label_components(edges)
-    grouped = s.withColumn("a", name("k", "key")).join(comp.withColumnsRenamed({"id": "a"}), "a")
-    fields = ", ".join("phi double, n double, phi_overlap double".split(", "))
+    comp = label_components(rest.select(name("k", "key").alias("a"), name("r", "response").alias("b")))
+    grouped = rest.withColumn("a", name("k", "key")).join(comp.withColumnsRenamed({"id": "a"}), "a")
     # the component's label carries its evaluation; by-columns are put back by a join on small rows
-    sums = grouped.groupBy("component").applyInPandas(lambda pdf: _assigned(pdf).assign(component=pdf["component"].iloc[0]), f"{fields}, component string")
+    sums = grouped.groupBy("component").applyInPandas(lambda pdf: _assigned(pdf).assign(component=pdf["component"].iloc[0]), "phi double, n double, phi_overlap double, component string")
     where = grouped.select("component", *by).distinct()
-    total = sums.join(where, "component").groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("phi", "n", "phi_overlap")])
+    every = settled.unionByName(sums.join(where, "component").drop("component"))
+    total = every.groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("phi", "n", "phi_overlap")])
     counts = c.groupBy(*by).agg(F.count_distinct("key").alias("ck"), F.count_distinct("response").alias("cr"))
     j = _joined(_joined(total, counts, by), _totals(c, by), by)
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(x).cast("double").alias("a"), F.col(k).alias("dk"), F.col(r).alias("dr")) for m, x, k, r in (

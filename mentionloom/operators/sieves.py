@@ -68,12 +68,6 @@ def head_edges(ents: DataFrame) -> DataFrame:
     return _pairs(ents.where("head IS NOT NULL").select("topic_id", "entity", "head"), "head").select("topic_id", "a", "b", F.lit(1.0).alias("sim"))
 
 
-def prefix_edges(ents: DataFrame, letters: int = 8) -> DataFrame:
-    """Heads with a common prefix (step 3, named words)."""
-    p = ents.where(F.length("head") >= letters).select("topic_id", "entity", F.substring("head", 1, letters).alias("prefix"))
-    return _pairs(p, "prefix").select("topic_id", "a", "b", F.lit(1.0).alias("sim"))
-
-
 def vector_edges(vectors: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
     """(group, a, b, sim): pairs of a bounded group whose cosine reaches ``least``."""
     a = vectors.select(group, F.col(key).alias("a"), F.col(vector).alias("x"))
@@ -81,16 +75,6 @@ def vector_edges(vectors: DataFrame, group: str, key: str, vector: str, least: f
     return a.join(b, group).where("a < b").withColumn("sim", cosine(F.col("x"), F.col("y"))).where(F.col("sim") >= least).select(group, "a", "b", "sim")
 
 
-def neighbourhood_cores(edges: DataFrame, threshold: Column) -> DataFrame:
-    """Edges (a, b) whose neighbourhoods overlap: shared neighbours against the larger neighbourhood (step 3, cores)."""
-    both = edges.select("group", F.col("a").alias("p"), F.col("b").alias("q")).union(edges.select("group", "b", "a")).distinct()
-    deg = both.groupBy("group", "p").agg(F.count("*").alias("deg"))
-    size = both.select("group", "p").distinct().groupBy("group").agg(F.count("*").alias("n"))
-    shared = both.join(both.select("group", F.col("p").alias("r"), "q"), ["group", "q"]).where("p < r").groupBy("group", "p", "r").agg(F.count("*").alias("c"))
-    j = shared.join(deg, ["group", "p"]).join(deg.select("group", F.col("p").alias("r"), F.col("deg").alias("deg2")), ["group", "r"]).join(size, "group")
-    return j.where(F.col("c") / F.greatest("deg", "deg2") >= threshold).select("group", F.col("p").alias("a"), F.col("r").alias("b"))
-
-
 #: Fixed value: a word in at least this share of a group's items joins all its sets.
 VERY_FREQUENT = 0.9
 

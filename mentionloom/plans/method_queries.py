@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.operators import graphs, metrics, sieves, significance, vectors
+from mentionloom.operators import metrics, sieves, significance
 from mentionloom.plans.registry import M, labels, mentions, query
 from mentionloom.sources.tables import read
 from mentionloom.streaming import ingest
@@ -34,17 +34,6 @@ def mtd4(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).select(F.explode(F.split("labels", r"\+")).alias("label")).groupBy("label").agg(F.count("*").alias("mentions"))
 
 
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors in blocks of bounded size."""
-    return read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("block"), "vec_id", "embedding", "label")
-
-
-_EDGE = """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id // 100 = b.vec_id // 100 AND a.vec_id < b.vec_id
-   WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) >= 0.4),
- u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS w FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.w = u.a)
-"""
-
-
 @query("clu5_seeds", M + "SELECT doc_id, chain, min(mention_id) AS seed, count(*) AS size FROM m GROUP BY ALL")
 def clu5(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).groupBy("doc_id", "chain").agg(F.min("mention_id").alias("seed"), F.count("*").alias("size"))
@@ -157,7 +146,6 @@ def _gate(spark: SparkSession, sf: str, edges: DataFrame, step: str, allowed: st
     return g.select("topic_id", "a", "b", F.round("sim", 6).alias("sim"))
 
 
-_WORDS = "SELECT DISTINCT topic_id, chain AS entity, unnest(words) AS item FROM m"
 _SHARE = "SELECT x.topic_id, x.entity AS a, y.entity AS b, {sim} AS sim FROM ({items}) x JOIN ({items}) y ON x.topic_id = y.topic_id AND x.item = y.item AND x.entity < y.entity GROUP BY 1, 2, 3"
 _TITLES = "SELECT DISTINCT topic_id, entity, head AS item FROM ent WHERE head IS NOT NULL AND kind IN ('HUM', 'GRP', 'LOC')"
 
@@ -173,64 +161,11 @@ def x0(spark: SparkSession, sf: str) -> DataFrame:
     return _gate(spark, sf, sieves.title_edges(ents, titles), "step0", "rule > 0")
 
 
-_NAMED = "SELECT DISTINCT topic_id, chain AS entity, w AS item FROM (SELECT topic_id, chain, unnest(words) AS w FROM m) WHERE w IN (SELECT DISTINCT unnest(words) FROM m WHERE kind = 'HUM')"
-
-
-_SUBSET = "SELECT p.topic_id, p.a, p.b, p.c / least(x.n, y.n)::DOUBLE AS sim FROM (" + _shared(_WORDS, "count(*)").replace("AS sim", "AS c") + ") p JOIN (SELECT topic_id, entity, count(*) AS n FROM (" + _WORDS + ") GROUP BY ALL) x ON x.topic_id = p.topic_id AND x.entity = p.a JOIN (SELECT topic_id, entity, count(*) AS n FROM (" + _WORDS + ") GROUP BY ALL) y ON y.topic_id = p.topic_id AND y.entity = p.b"
-
-
-@query("x3b_prefix_chains", _gated(_shared("SELECT topic_id, entity, substr(head, 1, 8) AS item FROM ent WHERE length(head) >= 8"), "step3", "r.value >= 0"))
-def x3b(spark: SparkSession, sf: str) -> DataFrame:
-    return _gate(spark, sf, sieves.prefix_edges(sieves.entities(mentions(spark, sf))), "step3", "rule >= 0")
-
-
-_VE = "SELECT a.vec_id // 100 AS block, a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id // 100 = b.vec_id // 100 AND a.vec_id < b.vec_id"
-
-
-@query("x3c_similarity_graph", f"WITH v AS ({_VE}) SELECT block, a, b, round(sim, 5) AS sim FROM v WHERE sim >= 0.4")
-def x3c(spark: SparkSession, sf: str) -> DataFrame:
-    return sieves.vector_edges(_blocks(spark, sf), "block", "vec_id", "embedding", 0.4).select("block", "a", "b", F.round("sim", 5).alias("sim"))
-
-
-_CORE = f"""WITH v AS ({_VE}), e AS (SELECT block, a, b FROM v WHERE sim >= 0.2), u AS (SELECT block, a AS p, b AS q FROM e UNION SELECT block, b, a FROM e), d AS (SELECT block, p, count(*) AS deg FROM u GROUP BY ALL),
- s AS (SELECT x.block, x.p AS p, y.p AS r, count(*) AS c FROM u x JOIN u y ON x.block = y.block AND x.q = y.q AND x.p < y.p GROUP BY ALL)
-SELECT s.block, s.p AS a, s.r AS b FROM s JOIN d d1 ON d1.block = s.block AND d1.p = s.p JOIN d d2 ON d2.block = s.block AND d2.p = s.r WHERE c / greatest(d1.deg, d2.deg)::DOUBLE >= 0.5"""
-
-
-@query("x3d_cores", _CORE)
-def x3d(spark: SparkSession, sf: str) -> DataFrame:
-    e = sieves.vector_edges(_blocks(spark, sf), "block", "vec_id", "embedding", 0.2).withColumnRenamed("block", "group")
-    return sieves.neighbourhood_cores(e, F.lit(0.5)).withColumnRenamed("group", "block")
-
-
-@query("x3h_border_points", f"WITH v AS ({_VE}), u AS (SELECT a AS p, b.label AS cluster, sim FROM v JOIN embeddings b ON b.vec_id = v.b UNION ALL SELECT v.b, a.label, sim FROM v JOIN embeddings a ON a.vec_id = v.a), g AS (SELECT p, cluster, count(*) AS n, avg(sim) AS s FROM u WHERE sim >= 0.2 GROUP BY ALL HAVING count(*) >= 2) SELECT p AS vec_id, cluster, n FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY round(s, 9) DESC, cluster) AS i FROM g) WHERE i = 1")
-def x3h(spark: SparkSession, sf: str) -> DataFrame:
-    b = _blocks(spark, sf)
-    e = sieves.vector_edges(b, "block", "vec_id", "embedding", 0.2)
-    lab = b.select("vec_id", "label")
-    u = e.join(lab.select(F.col("vec_id").alias("b"), "label"), "b").select(F.col("a").alias("p"), "label", "sim").union(
-        e.join(lab.select(F.col("vec_id").alias("a"), "label"), "a").select("b", "label", "sim"))
-    g = u.groupBy("p", F.col("label").alias("cluster")).agg(F.count("*").alias("n"), F.avg("sim").alias("s")).where("n >= 2")
-    best = g.groupBy("p").agg(F.min(F.struct((-F.round("s", 9)).alias("o"), "cluster", "n")).alias("x"))
-    return best.select(F.col("p").alias("vec_id"), F.col("x.cluster").alias("cluster"), F.col("x.n").alias("n"))
-
-
-@query("x3i_non_core_components", _EDGE.replace(">= 0.4", ">= 0.42") + "SELECT id, min(w) AS component FROM r GROUP BY 1")
-def x3i(spark: SparkSession, sf: str) -> DataFrame:
-    return graphs.label_components(sieves.vector_edges(_blocks(spark, sf), "block", "vec_id", "embedding", 0.42).select("a", "b"))
-
-
 @query("t0_head_equality", _gated(_shared("SELECT topic_id, entity, head AS item FROM ent WHERE head IS NOT NULL"), "step0", "r.value > 0", "older"))
 def t0(spark: SparkSession, sf: str) -> DataFrame:
     return _gate(spark, sf, sieves.head_edges(sieves.entities(mentions(spark, sf))), "step0", "rule > 0", "older")
 
 
-_GRID = _E + """, ph AS (SELECT DISTINCT topic_id, chain AS entity, array_to_string(list_sort(list_distinct(words)), ' ') AS phrase FROM m), nn AS (SELECT topic_id, entity, count(*) AS n FROM ph GROUP BY ALL), pw AS (SELECT topic_id, entity, phrase, unnest(string_split(phrase, ' ')) AS word FROM ph),
- cell AS (SELECT DISTINCT x.topic_id, x.entity AS a, y.entity AS b, x.phrase AS pa, y.phrase AS pb FROM pw x JOIN pw y ON x.topic_id = y.topic_id AND x.word = y.word AND x.entity < y.entity),
- cc AS (SELECT topic_id, a, b, count(*) AS c FROM cell GROUP BY ALL)
-SELECT cc.topic_id, a, b, round(c / (x.n * y.n)::DOUBLE, 6) AS sim FROM cc JOIN nn x ON x.topic_id = cc.topic_id AND x.entity = a JOIN nn y ON y.topic_id = cc.topic_id AND y.entity = b WHERE c / (x.n * y.n)::DOUBLE >= {share}"""
-
-
 # -- significance and events ---------------------------------------------------------------------------------------------
 
 _TWO = "WITH p AS (SELECT event_id AS k, value AS a, value * (0.9 + (event_id % 7) / 30.0)::DOUBLE AS b FROM events)"

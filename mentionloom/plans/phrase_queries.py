@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mentionloom.operators import graphs, metrics, phrases, sieves, vectors
-from mentionloom.operators import mention_ops as ops
-from mentionloom.plans.method_queries import _E, _VE, _blocks
+from mentionloom.operators import metrics, phrases, sieves, vectors
+from mentionloom.plans.method_queries import _E
 from mentionloom.plans.registry import KR, M, labels, mentions, query
 from mentionloom.plans.text_queries import _TOK, tokens
 from mentionloom.sources.tables import read
@@ -153,78 +152,6 @@ def sta5(spark: SparkSession, sf: str) -> DataFrame:
 # -- further merge steps ---------------------------------------------------------------------------------------------------
 
 
-@query("x3a_split_members", M + "SELECT mention_id, array_to_string(list_sort(list_distinct(words)), ' ') AS short_phrase FROM m WHERE chain IN (SELECT chain FROM m WHERE kind NOT IN ('HUM', 'GRP') GROUP BY 1 HAVING count(*) > 1) AND kind NOT IN ('HUM', 'GRP')")
-def x3a(spark: SparkSession, sf: str) -> DataFrame:
-    m = mentions(spark, sf).where("kind NOT IN ('HUM', 'GRP')")
-    many = m.groupBy("chain").agg(F.count("*").alias("n")).where("n > 1").select("chain")
-    return m.join(many, "chain", "left_semi").select("mention_id", F.array_join(F.array_sort(F.array_distinct("words")), " ").alias("short_phrase"))
-
-
-_CL = f"WITH v AS ({_VE}), c AS (SELECT v.block, least(x.label, y.label) AS p, greatest(x.label, y.label) AS q, avg(sim) AS s FROM v JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE x.label <> y.label GROUP BY ALL), u AS (SELECT block, p AS a, q AS b, s FROM c UNION ALL SELECT block, q, p, s FROM c), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block, a ORDER BY round(s, 9) DESC, b) AS i FROM u) WHERE i <= 4)"
-
-
-def _cluster_sims(spark: SparkSession, sf: str) -> DataFrame:
-    b = _blocks(spark, sf)
-    e = sieves.vector_edges(b, "block", "vec_id", "embedding", -2.0)
-    j = e.join(b.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(b.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-    return j.groupBy("block", F.least("la", "lb").alias("p"), F.greatest("la", "lb").alias("q")).agg(F.avg("sim").alias("s"))
-
-
-@query("x3e_mutual_neighbours", _CL + " SELECT x.block, x.a, x.b FROM k x JOIN k y ON x.block = y.block AND x.a = y.b AND x.b = y.a WHERE x.a < x.b")
-def x3e(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters that are among each other's four nearest."""
-    c = _cluster_sims(spark, sf)
-    u = c.select("block", F.col("p").alias("a"), F.col("q").alias("b"), "s").union(c.select("block", "q", "p", "s"))
-    k = ops.top_of(u, ["block", "a"], [F.desc(F.round("s", 9)), F.asc("b")], 4).select("block", "a", "b")
-    return k.join(k.select("block", F.col("b").alias("a"), F.col("a").alias("b")), ["block", "a", "b"], "left_semi").where("a < b")
-
-
-_PT = f"WITH v AS ({_VE}), u AS (SELECT block, a AS p, b AS q, sim FROM v UNION ALL SELECT block, b, a, sim FROM v), s AS (SELECT p, x.label AS own, y.label AS other, avg(sim) AS s, count(*) AS n FROM u JOIN embeddings x ON x.vec_id = p JOIN embeddings y ON y.vec_id = q GROUP BY ALL)"
-
-
-def _point_sims(spark: SparkSession, sf: str) -> DataFrame:
-    b = _blocks(spark, sf)
-    e = sieves.vector_edges(b, "block", "vec_id", "embedding", -2.0)
-    u = e.select(F.col("a").alias("p"), F.col("b").alias("q"), "sim").union(e.select("b", "a", "sim"))
-    j = u.join(b.select(F.col("vec_id").alias("p"), F.col("label").alias("own")), "p").join(b.select(F.col("vec_id").alias("q"), F.col("label").alias("other")), "q")
-    return j.groupBy("p", "own", "other").agg(F.avg("sim").alias("s"), F.count("*").alias("n"))
-
-
-@query("x3f_alien_points", _PT + ", me AS (SELECT p, s AS mine FROM s WHERE own = other), al AS (SELECT s.p, own, other, s FROM s JOIN me USING (p) WHERE own <> other AND s.s > mine + 0.01) SELECT p AS vec_id, own, other FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY round(s, 9) DESC, other) AS i FROM al) WHERE i = 1")
-def x3f(spark: SparkSession, sf: str) -> DataFrame:
-    """Points nearer to another cluster than to their own by a margin, with the nearest one."""
-    s = _point_sims(spark, sf)
-    mine = s.where("own = other").select("p", F.col("s").alias("mine"))
-    al = s.where("own <> other").join(mine, "p").where("s > mine + 0.01")
-    best = al.groupBy("p", "own").agg(F.min(F.struct((-F.round("s", 9)).alias("o"), "other")).alias("x"))
-    return best.select(F.col("p").alias("vec_id"), "own", F.col("x.other").alias("other"))
-
-
-@query("x3g_body_points", _PT.replace("GROUP BY ALL)", "WHERE sim >= 0.25 GROUP BY ALL)") + " SELECT p AS vec_id, other AS cluster FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n DESC, other) AS i FROM s) WHERE i = 1")
-def x3g(spark: SparkSession, sf: str) -> DataFrame:
-    """The cluster that most of a point's near neighbours belong to."""
-    b = _blocks(spark, sf)
-    e = sieves.vector_edges(b, "block", "vec_id", "embedding", 0.25)
-    u = e.select(F.col("a").alias("p"), F.col("b").alias("q")).union(e.select("b", "a"))
-    n = u.join(b.select(F.col("vec_id").alias("q"), "label"), "q").groupBy("p", "label").agg(F.count("*").alias("n"))
-    return n.groupBy("p").agg(F.min(F.struct((-F.col("n")).alias("o"), "label")).alias("x")).select(F.col("p").alias("vec_id"), F.col("x.label").alias("cluster"))
-
-
-@query("x3j_entities_by_priority")
-def x3j(spark: SparkSession, sf: str) -> DataFrame:
-    """Every point's cluster: from cores, else from bodies, else from borders, else its own."""
-    from mentionloom.plans import method_queries as mq
-
-    b = _blocks(spark, sf).select("vec_id", "label")
-    cores = mq.x3d(spark, sf)
-    core = cores.select(F.col("a").alias("vec_id")).union(cores.select("b")).distinct().join(b, "vec_id").select("vec_id", F.col("label").alias("cluster"), F.lit(0).alias("level"))
-    body = x3g(spark, sf).select("vec_id", F.col("cluster"), F.lit(1).alias("level"))
-    border = mq.x3h(spark, sf).select("vec_id", "cluster", F.lit(2).alias("level"))
-    rest = b.select("vec_id", F.col("label").alias("cluster"), F.lit(3).alias("level"))
-    every = core.unionByName(body).unionByName(border).unionByName(rest)
-    return every.groupBy("vec_id").agg(F.min(F.struct("level", "cluster")).alias("x")).select("vec_id", F.col("x.cluster").alias("cluster"), F.col("x.level").alias("level"))
-
-
 _TFIDF = M + """, v AS (SELECT topic_id, chain, unnest(words) AS word FROM m), tf AS (SELECT topic_id, chain, word, count(*) AS tf FROM v GROUP BY ALL), n AS (SELECT topic_id, count(DISTINCT chain) AS n FROM tf GROUP BY 1), df AS (SELECT topic_id, word, count(*) AS df FROM tf GROUP BY ALL),
  x AS (SELECT topic_id, chain, word, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS x FROM tf JOIN df USING (topic_id, word) JOIN n USING (topic_id)), l AS (SELECT topic_id, chain, sqrt(sum(x * x)) AS l FROM x GROUP BY ALL),
  p AS (SELECT a.topic_id, a.chain AS a, b.chain AS b, sum(a.x * b.x) AS d FROM x a JOIN x b ON a.topic_id = b.topic_id AND a.word = b.word AND a.chain < b.chain GROUP BY ALL)
@@ -246,11 +173,6 @@ def x3k(spark: SparkSession, sf: str) -> DataFrame:
     return j.where(sim >= 0.3).select("topic_id", "a", "b", F.round(sim, 5).alias("sim"))
 
 
-_SETS = M + """, v AS (SELECT DISTINCT topic_id, chain, mention_id, unnest(words) AS w FROM m), o AS (SELECT topic_id, chain, w AS s, count(*) AS n FROM v GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT topic_id, chain, count(*) AS k FROM o GROUP BY ALL),
- c AS (SELECT x.topic_id, x.chain AS a, y.chain AS b, count(*) AS c FROM o x JOIN o y ON x.topic_id = y.topic_id AND x.s = y.s AND x.chain < y.chain GROUP BY ALL)
-SELECT c.topic_id, a, b, round(c / (x.k * y.k)::DOUBLE, 6) AS share FROM c JOIN k x ON x.topic_id = c.topic_id AND x.chain = a JOIN k y ON y.topic_id = c.topic_id AND y.chain = b WHERE c / (x.k * y.k)::DOUBLE >= 0.2"""
-
-
 @query("clu12_span_vectors", "SELECT vec_id, 192 AS dims, round(embedding[64]::DOUBLE + embedding[1]::DOUBLE, 6) AS edge FROM embeddings")
 def clu12(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings")
@@ -258,22 +180,6 @@ def clu12(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", F.size(span).alias("dims"), F.round(F.element_at(span, 64).cast("double") + F.element_at(span, 129).cast("double"), 6).alias("edge"))
 
 
-def _chain(spark: SparkSession, sf: str, names: tuple[str, ...]) -> DataFrame:
-    """Edges of several steps merged by components, the topic kept in the name."""
-    from mentionloom.plans.registry import QUERIES
-
-    every = None
-    for n in names:
-        e = QUERIES[n](spark, sf).select(F.concat_ws("/", "topic_id", "a").alias("a"), F.concat_ws("/", "topic_id", "b").alias("b"))
-        every = e if every is None else every.union(e)
-    return graphs.merge_components(every)
-
-
-@query("mtd9_newer_method")
-def mtd9(spark: SparkSession, sf: str) -> DataFrame:
-    return _chain(spark, sf, ("x0_title_match", "x1_core_match", "x2_phrase_match", "x3b_prefix_chains", "x3k_tf_idf_edges", "x3l_group_country_heads"))
-
-
 @query("mtd10_pair_agglomeration")
 def mtd10(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions of a document merged by best mean pair score: equal heads, shared words and classes score a pair."""

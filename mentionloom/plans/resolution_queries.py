@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionloom.operators import graphs, resolution, sieves, vectors
 from mentionloom.operators import mention_ops as ops
+from mentionloom.operators import phrase_clusters as pc
 from mentionloom.plans.annotations import STOPS, WV, A, annotated, word_vectors
 from mentionloom.plans.registry import query
+from mentionloom.session import cut
 from mentionloom.sources.tables import read
 
 # -- entities before any merging: the mentions of one chain in one document ------------------------------------------------
@@ -199,6 +203,98 @@ query("mtd6_mtd7_older_method")(_method(("t0", _D), ("t1", _D), ("t2", _C), ("t3
 query("mtd8_base_method")(_method(("x0", _D), ("x1", _D), ("x2", _D), ("xb3", _D), ("xb4", _D)))
 
 
+# -- the third step of the default method ----------------------------------------------------------------------------------
+
+
+class Phrases:
+    """The points of the third step: phrases of a topic's entities, their names, heads and graph."""
+
+    def __init__(self, inputs: Inputs, words: DataFrame) -> None:
+        self.inputs, self.words = inputs, words
+        self.of = resolution.top_phrases(resolution.phrases_of(words, STOPS), 6)
+        self.names = words.where("ner NOT IN ('O', 'DATE', 'TITLE')").select("topic_id", "word").distinct()
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return cut(self.of.groupBy("topic_id", "phrase").agg(F.max("head").alias("head")), forget=True)
+
+    @cached_property
+    def heads(self) -> DataFrame:
+        return self.points.select("topic_id", "phrase", "head")
+
+    @cached_property
+    def chains(self) -> DataFrame:
+        return cut(pc.name_chains(self.names), forget=True)
+
+    @cached_property
+    def graph(self) -> DataFrame:
+        return cut(pc.phrase_graph(self.points, self.names, self.chains, self.inputs.vectors), forget=True)
+
+    @cached_property
+    def head_graph(self) -> DataFrame:
+        h = self.points.select("topic_id", F.col("head").alias("entity")).distinct()
+        return cut(resolution.vector_edges(h.join(self.inputs.vectors.withColumnRenamed("word", "entity"), "entity"), pc.NEAR), forget=True)
+
+    @cached_property
+    def cores(self) -> DataFrame:
+        return cut(pc.core_clusters(pc.core_pairs(self.graph, self.points)), forget=True)
+
+
+def _phrases(spark: SparkSession, sf: str) -> Phrases:
+    inputs = Inputs(spark, sf)
+    return Phrases(inputs, inputs.words)
+
+
+_SPLIT = E + """, ty AS (SELECT DISTINCT type_a AS etype FROM rules WHERE method = 'newer' AND step = 'step3' AND value IN (1, 2)), sp AS (SELECT u.* FROM u JOIN ent ON ent.topic_id = u.topic_id AND ent.entity = u.chain JOIN ty USING (etype) WHERE size > 1)
+SELECT mention_id, string_agg(word, ' ' ORDER BY i) AS short_phrase FROM sp WHERE dep IN ('compound', 'nmod:poss', 'root') GROUP BY 1"""
+
+
+@query("x3a_split_members", _SPLIT)
+def x3a(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of entities with several ones, of the types of the step: each by itself, with compounds and head as its phrase."""
+    inputs = Inputs(spark, sf)
+    types = inputs.rules.where("method = 'newer' AND step = 'step3' AND value IN (1, 2)").select(F.col("type_a").alias("etype")).distinct()
+    many = resolution.entities_of(inputs.words).where("size > 1").join(F.broadcast(types), "etype").select("topic_id", F.col("entity").alias("chain"))
+    w = inputs.words.join(many, ["topic_id", "chain"], "left_semi").where("dep IN ('compound', 'nmod:poss', 'root')")
+    return w.groupBy("mention_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("short_phrase"))
+
+
+_NAMES = ", nw AS (SELECT DISTINCT topic_id, word FROM u WHERE ner NOT IN ('O', 'DATE', 'TITLE')), ne AS (SELECT x.topic_id, x.word AS a, y.word AS b FROM nw x JOIN nw y ON x.topic_id = y.topic_id AND x.word <> y.word AND length(x.word) > 7 AND length(y.word) > 7 AND (contains(x.word, substr(y.word, 1, 8)) OR contains(y.word, substr(x.word, 1, 8)))), nc AS (SELECT topic_id, a AS word, a AS w FROM ne UNION SELECT nc.topic_id, nc.word, ne.b FROM nc JOIN ne ON ne.topic_id = nc.topic_id AND ne.a = nc.w), ch AS (SELECT topic_id, word, min(w) AS chain FROM nc GROUP BY ALL)"
+_RE = E.replace("WITH d AS", "WITH RECURSIVE d AS", 1)
+_GRAPH = _RE + WV + _NAMES + _LB.replace("{where}", "true") + """, pw AS (SELECT DISTINCT topic_id, phrase AS k, unnest(string_split(phrase, ' ')) AS word FROM lb), wt AS (SELECT pw.*, CASE WHEN nw.word IS NULL THEN 1.0 ELSE 1.7 END AS x FROM pw LEFT JOIN nw USING (topic_id, word)),
+ pv AS (SELECT topic_id, k, list(a ORDER BY d) AS v FROM (SELECT topic_id, k, d, sum(c * x) AS a FROM (SELECT topic_id, k, x, unnest(v) AS c, unnest(range(1, 65)) AS d FROM wt JOIN wv USING (word)) GROUP BY ALL) GROUP BY ALL), po AS (SELECT topic_id, k, arg_max(chain, word) AS chain FROM pw JOIN ch USING (topic_id, word) GROUP BY ALL),
+ gp AS (SELECT x.topic_id, x.k AS a, y.k AS b, """ + _COS + f""" AS sim FROM pv x JOIN pv y ON x.topic_id = y.topic_id AND x.k < y.k LEFT JOIN po cx ON cx.topic_id = x.topic_id AND cx.k = x.k LEFT JOIN po cy ON cy.topic_id = y.topic_id AND cy.k = y.k WHERE {_COS} >= 0.4 AND (cx.chain IS NULL OR cy.chain IS NULL OR cx.chain = cy.chain))"""
+query("x3b_prefix_chains", _RE + _NAMES + " SELECT * FROM ch")(lambda spark, sf: _phrases(spark, sf).chains)
+query("x3c_similarity_graph", _GRAPH + " SELECT topic_id, a, b, round(sim, 5) AS sim FROM gp")(lambda spark, sf: _phrases(spark, sf).graph.withColumn("sim", F.round("sim", 5)))
+_CORES = _GRAPH + """, gu AS (SELECT topic_id, a AS p, b AS q FROM gp UNION ALL SELECT topic_id, b, a FROM gp), dg AS (SELECT topic_id, p, count(*) AS d FROM gu GROUP BY ALL), np AS (SELECT topic_id, count(DISTINCT phrase) AS n FROM lb GROUP BY 1),
+ sc AS (SELECT x.topic_id, x.p AS a, y.p AS b, count(*) AS c FROM gu x JOIN gu y ON x.topic_id = y.topic_id AND x.q = y.q AND x.p < y.p GROUP BY ALL)
+SELECT sc.topic_id, a, b, round(c / greatest(da.d, db.d)::DOUBLE, 5) AS ratio FROM sc JOIN dg da ON da.topic_id = sc.topic_id AND da.p = a JOIN dg db ON db.topic_id = sc.topic_id AND db.p = b JOIN np ON np.topic_id = sc.topic_id WHERE c / greatest(da.d, db.d)::DOUBLE >= least(greatest(round(ln(n) / ln(5000), 1), 0.5), 0.7)"""
+query("x3d_cores", _CORES)(lambda spark, sf: (lambda p: pc.core_pairs(p.graph, p.points).withColumn("ratio", F.round("ratio", 5)))(_phrases(spark, sf)))
+query("x3d_core_clusters")(lambda spark, sf: _phrases(spark, sf).cores)
+query("x3e_mutual_neighbours")(lambda spark, sf: (lambda p: pc.mutual_neighbours(pc.cluster_similarity(p.graph, p.cores, p.head_graph, p.heads)))(_phrases(spark, sf)))
+query("x3f_alien_points")(lambda spark, sf: (lambda p: pc.alien_points(p.graph, p.cores))(_phrases(spark, sf)))
+query("x3g_body_points")(lambda spark, sf: (lambda p: pc.body_points(p.graph, p.cores))(_phrases(spark, sf)))
+query("x3h_border_points")(lambda spark, sf: (lambda p: pc.border_points(p.graph, p.cores))(_phrases(spark, sf)))
+_PARTS = _GRAPH + ", gu AS (SELECT topic_id, a AS p, b AS q FROM gp WHERE sim >= 0.5 UNION SELECT topic_id, b, a FROM gp WHERE sim >= 0.5), gr AS (SELECT topic_id, p AS phrase, p AS w FROM gu UNION SELECT gr.topic_id, gr.phrase, gu.q FROM gr JOIN gu ON gu.topic_id = gr.topic_id AND gu.p = gr.w) SELECT topic_id, phrase, min(w) AS cluster FROM gr GROUP BY ALL"
+query("x3i_non_core_components", _PARTS)(lambda spark, sf: pc.components(_phrases(spark, sf).graph))
+query("x3j_entities_by_priority")(lambda spark, sf: (lambda p: pc.clusters_by_priority(p.graph, p.points))(_phrases(spark, sf)))
+
+
+def _x3(self: Inputs, words: DataFrame, ents: DataFrame) -> DataFrame:
+    """Entities of the step's types whose first phrases are in one cluster, beside the first of them."""
+    types = self.rules.where("method = 'newer' AND step = 'step3' AND value IN (1, 2)").select(F.col("type_a").alias("etype")).distinct()
+    own = words.join(ents.join(F.broadcast(types), "etype").select("topic_id", F.col("entity").alias("chain")), ["topic_id", "chain"], "left_semi")
+    p = Phrases(self, own)
+    c = pc.clusters_by_priority(p.graph, p.points).where("level <> 'alone'")
+    first = ops.first_of(p.of, ["topic_id", "entity"], [F.desc("n"), F.asc("phrase")]).select("topic_id", "entity", "phrase")
+    e = first.join(c, ["topic_id", "phrase"]).join(ents.select("topic_id", "entity", "size"), ["topic_id", "entity"])
+    lead = e.groupBy("topic_id", "cluster").agg(F.min(F.struct((-F.col("size")).alias("o"), "entity")).alias("x")).select("topic_id", "cluster", F.col("x.entity").alias("a"))
+    return e.join(lead, ["topic_id", "cluster"]).where("a <> entity").select("topic_id", "a", F.col("entity").alias("b"), F.lit(1.0).alias("sim")).distinct()
+
+
+Inputs.x3 = _x3
+query("mtd9_newer_method")(_method(("x0", _D), ("x1", _D), ("x2", _D), ("x3", _D), ("x3l", _D), ("x4", _D)))
+
 # -- phrases of a topic: similarity graph, components, clusterings ----------------------------------------------------------
 
 _PG = E + WV + _LB.replace("{where}", "true") + _PV.replace("{phrases}", "lb") + f", ed AS (SELECT x.topic_id, x.k AS a, y.k AS b, {_COS} AS sim FROM pv x JOIN pv y ON x.topic_id = y.topic_id AND x.k < y.k WHERE {_COS} >= 0.4)"
