@@ -68,13 +68,6 @@ def head_edges(ents: DataFrame) -> DataFrame:
     return _pairs(ents.where("head IS NOT NULL").select("topic_id", "entity", "head"), "head").select("topic_id", "a", "b", F.lit(1.0).alias("sim"))
 
 
-def vector_edges(vectors: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
-    """(group, a, b, sim): pairs of a bounded group whose cosine reaches ``least``."""
-    a = vectors.select(group, F.col(key).alias("a"), F.col(vector).alias("x"))
-    b = vectors.select(group, F.col(key).alias("b"), F.col(vector).alias("y"))
-    return a.join(b, group).where("a < b").withColumn("sim", cosine(F.col("x"), F.col("y"))).where(F.col("sim") >= least).select(group, "a", "b", "sim")
-
-
 #: Fixed value: a word in at least this share of a group's items joins all its sets.
 VERY_FREQUENT = 0.9
 

@@ -80,25 +80,6 @@ def prj9(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).select("doc_id", F.split_part("doc_id", F.lit("_"), F.lit(1)).alias("topic"), F.when(F.col("topic_id").contains("plus"), "plus").otherwise("base").alias("category")).distinct()
 
 
-@query("flt1_keep_filter", M + "SELECT mention_id FROM m WHERE NOT (len(words) = 1 AND length(words[1]) <= 3) AND kind NOT IN ('TIM') AND head NOT IN ('thing', 'way', 'time')")
-def flt1(spark: SparkSession, sf: str) -> DataFrame:
-    """Drops lone short words, times and general heads."""
-    m = mentions(spark, sf)
-    lone = (F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) <= 3)
-    return m.where(~lone & ~F.col("kind").isin("TIM") & ~F.col("head").isin("thing", "way", "time")).select("mention_id")
-
-
-@query("flt2_chain_filters", M + "SELECT chain FROM m GROUP BY 1 HAVING NOT bool_and(len(words) = 1 AND length(text) < 5) AND NOT bool_or(kind = 'TIM')")
-def flt2(spark: SparkSession, sf: str) -> DataFrame:
-    g = mentions(spark, sf).groupBy("chain").agg(F.bool_and((F.size("words") == 1) & (F.length("text") < 5)).alias("short"), F.bool_or(F.col("kind") == "TIM").alias("time"))
-    return g.where("NOT short AND NOT time").select("chain")
-
-
-@query("flt3_phrase_length", M + "SELECT mention_id FROM m WHERE len(tok_ids) < 4 AND NOT len(list_filter(words, lambda x: length(x) > 2)) = 0")
-def flt3(spark: SparkSession, sf: str) -> DataFrame:
-    return mentions(spark, sf).where((F.size("tok_ids") < 4) & ~F.forall("words", lambda w: F.length(w) <= 2)).select("mention_id")
-
-
 @query("flt4_relevant_entities", M + ", s AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, sent_id FROM m)) SELECT chain, count(*) AS members FROM m GROUP BY 1 HAVING count(*) >= 0.02 * (SELECT n FROM s) AND min(kind) = 'HUM'")
 def flt4(spark: SparkSession, sf: str) -> DataFrame:
     m = mentions(spark, sf)
@@ -117,12 +98,6 @@ def flt6(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).where("kind <> 'GRP'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("flt8_entity_tokens", M + ", x AS (SELECT doc_id, mention_id, words, list_filter(words, lambda x: length(x) > 5) AS long FROM m) SELECT mention_id, array_to_string(CASE WHEN len(long) < 1 THEN words ELSE long END, ' ') AS kept FROM x")
-def flt8(spark: SparkSession, sf: str) -> DataFrame:
-    long = F.filter("words", lambda w: F.length(w) > 5)
-    return mentions(spark, sf).select("mention_id", F.array_join(F.when(F.size(long) < 1, F.col("words")).otherwise(long), " ").alias("kept"))
-
-
 @query("flt9_stop_words", M + ", s AS (SELECT unnest(words) AS word FROM m) SELECT word, count(*) AS n FROM s WHERE word IN ('the', 'a', 'of', 'la', 'el', 'de', 'le', 'die', 'der', 'das') GROUP BY 1")
 def flt9(spark: SparkSession, sf: str) -> DataFrame:
     w = mentions(spark, sf).select(F.explode("words").alias("word"))
@@ -168,11 +143,6 @@ def jn4(spark: SparkSession, sf: str) -> DataFrame:
     return ops.first_of(j, ["b_id"], [F.asc("gap"), F.asc("a_id")]).select("b_id", "a_id", "gap")
 
 
-@query("jn10_head_overlap", M + ", e AS (SELECT DISTINCT topic_id, chain, head FROM m) SELECT x.topic_id, x.chain AS a, y.chain AS b, count(*) AS shared FROM e x JOIN e y ON x.topic_id = y.topic_id AND x.head = y.head AND x.chain < y.chain GROUP BY ALL")
-def jn10(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.head_overlap(mentions(spark, sf), ["topic_id"], "chain", "head")
-
-
 _PH = M + ", p AS (SELECT DISTINCT topic_id, chain, array_to_string(list_sort(list_distinct(words)), ' ') AS phrase FROM m WHERE len(words) > 0), w2 AS (SELECT *, unnest(string_split(phrase, ' ')) AS word, len(string_split(phrase, ' ')) AS n FROM p)"
 
 
@@ -181,25 +151,6 @@ def _phrases(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("topic_id", "chain", F.array_join("w", " ").alias("phrase"), F.size("w").alias("n"), F.explode("w").alias("word"))
 
 
-@query("jn11_phrase_subsets", _PH + "SELECT x.topic_id, x.phrase AS inner_phrase, y.phrase AS outer_phrase FROM w2 x JOIN w2 y ON x.topic_id = y.topic_id AND x.word = y.word AND x.chain < y.chain AND x.n <= y.n GROUP BY x.topic_id, x.chain, y.chain, x.phrase, y.phrase HAVING count(*) = min(x.n)".replace("SELECT x.topic_id, x.phrase", "SELECT DISTINCT x.topic_id, x.phrase"))
-def jn11(spark: SparkSession, sf: str) -> DataFrame:
-    """Phrases of one entity contained in phrases of another: words are joined, and shared words counted."""
-    p = _phrases(spark, sf)
-    x = p.select("topic_id", "word", F.col("chain").alias("ca"), F.col("phrase").alias("inner_phrase"), F.col("n").alias("na"))
-    y = p.select("topic_id", "word", F.col("chain").alias("cb"), F.col("phrase").alias("outer_phrase"), F.col("n").alias("nb"))
-    g = x.join(y, ["topic_id", "word"]).where("ca < cb AND na <= nb").groupBy("topic_id", "ca", "cb", "inner_phrase", "outer_phrase").agg(F.count("*").alias("c"), F.min("na").alias("na"))
-    return g.where("c = na").select("topic_id", "inner_phrase", "outer_phrase").distinct()
-
-
-@query("jn12_first_long_phrase", _PH + ", c AS (SELECT x.topic_id, x.phrase AS short, y.phrase AS long, y.n AS n FROM w2 x JOIN w2 y ON x.topic_id = y.topic_id AND x.word = y.word AND x.n < y.n GROUP BY x.topic_id, x.chain, y.chain, x.phrase, y.phrase, y.n HAVING count(*) = min(x.n)) SELECT topic_id, short, long FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, short ORDER BY n DESC, long) AS i FROM c) WHERE i = 1")
-def jn12(spark: SparkSession, sf: str) -> DataFrame:
-    p = _phrases(spark, sf).drop("chain").distinct()
-    x = p.select("topic_id", "word", F.col("phrase").alias("short"), F.col("n").alias("na"))
-    y = p.select("topic_id", "word", F.col("phrase").alias("long"), F.col("n").alias("nb"))
-    g = x.join(y, ["topic_id", "word"]).where("na < nb").groupBy("topic_id", "short", "long").agg(F.count("*").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-    return ops.first_of(g.where("c = na"), ["topic_id", "short"], [F.desc("nb"), F.asc("long")]).select("topic_id", "short", "long")
-
-
 @query("jn13_span_match", _AB + """SELECT DISTINCT a.mention_id AS a_id, b.mention_id AS b_id, CASE WHEN a.text = b.text AND a.first_tok = b.first_tok THEN 'strict' WHEN a.text = b.text THEN 'text' ELSE 'inside' END AS how
 FROM a JOIN b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND (a.text = b.text OR contains(a.text, b.text) OR contains(b.text, a.text))""")
 def jn13(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,24 +263,6 @@ def agg1(spark: SparkSession, sf: str) -> DataFrame:
     return ops.word_type_votes(mentions(spark, sf)).select("word", "kind", "n")
 
 
-@query("agg2_type_conflicts", M + ", v AS (SELECT unnest(words) AS word, kind FROM m), n AS (SELECT word, sum((kind = 'HUM')::INT) AS h, sum((kind = 'GRP')::INT) AS g FROM v GROUP BY 1) SELECT word, CASE WHEN h > g THEN 'HUM' ELSE 'GRP' END AS kept FROM n WHERE h > 0 AND g > 0")
-def agg2(spark: SparkSession, sf: str) -> DataFrame:
-    v = mentions(spark, sf).select(F.explode("words").alias("word"), "kind")
-    n = v.groupBy("word").agg(F.count_if(F.col("kind") == "HUM").alias("h"), F.count_if(F.col("kind") == "GRP").alias("g"))
-    return n.where("h > 0 AND g > 0").select("word", F.when(F.col("h") > F.col("g"), "HUM").otherwise("GRP").alias("kept"))
-
-
-@query("agg3_type_set_algebra", M + ", v AS (SELECT DISTINCT unnest(words) AS word, kind FROM m) SELECT word FROM v WHERE kind IN ('LOC', 'GRP') EXCEPT SELECT word FROM v WHERE kind IN ('HUM', 'TIM')")
-def agg3(spark: SparkSession, sf: str) -> DataFrame:
-    v = mentions(spark, sf).select(F.explode("words").alias("word"), "kind").distinct()
-    return v.where("kind IN ('LOC', 'GRP')").select("word").subtract(v.where("kind IN ('HUM', 'TIM')").select("word"))
-
-
-@query("agg4_headword_tree", M + "SELECT chain, head, count(*) AS n, array_to_string(list_sort(list(mention_id)), ',') AS members FROM m WHERE head IS NOT NULL GROUP BY ALL")
-def agg4(spark: SparkSession, sf: str) -> DataFrame:
-    return mentions(spark, sf).where("head IS NOT NULL").groupBy("chain", "head").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("mention_id")), ",").alias("members"))
-
-
 @query("agg7_entity_type_vote", M + ", v AS (SELECT chain, kind, sum(CASE WHEN is_continuous THEN 1.0 ELSE 0.5 END) AS w FROM m GROUP BY ALL) SELECT chain, kind, w FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY w DESC, kind) AS i FROM v) WHERE i = 1".replace("sum(CASE", "CAST(sum(CASE").replace("END) AS w", "END) AS DOUBLE) AS w"))
 def agg7(spark: SparkSession, sf: str) -> DataFrame:
     v = mentions(spark, sf).groupBy("chain", "kind").agg(F.sum(F.when(F.col("is_continuous"), 1.0).otherwise(0.5)).alias("w"))
@@ -342,12 +275,6 @@ def agg9(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("chain", F.when((F.col("p") > 0) & (F.col("p") >= F.col("s")), "plural").otherwise("singular").alias("number"))
 
 
-@query("agg10_modifiers", M + ", v AS (SELECT chain, unnest(list_filter(words, lambda x: x <> head)) AS word FROM m) SELECT chain, word, count(*) AS n FROM v GROUP BY ALL")
-def agg10(spark: SparkSession, sf: str) -> DataFrame:
-    v = mentions(spark, sf).select("chain", F.explode(F.filter("words", lambda w: w != F.col("head"))).alias("word"))
-    return v.groupBy("chain", "word").agg(F.count("*").alias("n"))
-
-
 @query("agg11_word_counts", M + ", v AS (SELECT chain, unnest(words) AS word FROM m) SELECT chain, word, count(*) AS n FROM v GROUP BY ALL")
 def agg11(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).select("chain", F.explode("words").alias("word")).groupBy("chain", "word").agg(F.count("*").alias("n"))
@@ -461,11 +388,6 @@ def win1(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("win2_first_wins", M + "SELECT mention_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id, head ORDER BY first_tok, mention_id) AS i FROM m) WHERE i = 1")
-def win2(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.first_of(mentions(spark, sf), ["doc_id", "sent_id", "head"], [F.asc("first_tok"), F.asc("mention_id")]).select("mention_id")
-
-
 @query("win3_suffix_heads", M + ", n AS (SELECT head, count(*) AS n FROM m WHERE head IS NOT NULL GROUP BY 1) SELECT head, n FROM (SELECT *, row_number() OVER (PARTITION BY substr(head, 2) ORDER BY n DESC, head) AS i FROM n) WHERE i = 1")
 def win3(spark: SparkSession, sf: str) -> DataFrame:
     n = mentions(spark, sf).where("head IS NOT NULL").groupBy("head").agg(F.count("*").alias("n")).withColumn("suffix", F.expr("substring(head, 2)"))
@@ -490,15 +412,6 @@ def win6(spark: SparkSession, sf: str) -> DataFrame:
     return ops.head_overlap(mentions(spark, sf), ["topic_id"], "chain", "head").orderBy(F.desc("shared"), "a", "b").limit(1).select("a", "b", "shared")
 
 
-@query("win8_preferred_mention", M + ", s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY chain ORDER BY mention_id) = 1 THEN 1 ELSE 0 END + CASE WHEN kind = 'HUM' THEN 2 ELSE 0 END + CASE WHEN len(tok_ids) = 2 THEN 2 ELSE 0 END AS score2 FROM m) SELECT chain, mention_id, score2 AS score FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY score2 DESC, mention_id) AS i FROM s) WHERE i = 1")
-def win8(spark: SparkSession, sf: str) -> DataFrame:
-    m = mentions(spark, sf)
-    first = m.groupBy("chain").agg(F.min("mention_id").alias("first_id"))
-    s = m.join(first, "chain").withColumn("score", F.when(F.col("mention_id") == F.col("first_id"), 1).otherwise(0) + F.when(F.col("kind") == "HUM", 2).otherwise(0) + F.when(F.size("tok_ids") == 2, 2).otherwise(0))
-    best = s.groupBy("chain").agg(F.min(F.struct((-F.col("score")).alias("neg"), "mention_id")).alias("b"))
-    return best.select("chain", F.col("b.mention_id").alias("mention_id"), (-F.col("b.neg")).alias("score"))
-
-
 @query("win9_primary_entity", M + ", z AS (SELECT chain, count(*) AS size FROM m GROUP BY 1), c AS (SELECT DISTINCT doc_id, sent_id, chain, size FROM m JOIN z USING (chain)) SELECT doc_id, sent_id, chain FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY size DESC, chain) AS i FROM c) WHERE i = 1")
 def win9(spark: SparkSession, sf: str) -> DataFrame:
     m = mentions(spark, sf)
