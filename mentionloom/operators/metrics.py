@@ -265,3 +265,20 @@ def evaluation_counts(labels: DataFrame, by: list[str]) -> DataFrame:
     return _scored(t.crossJoin(s), [], ratio(F.col("a"), F.col("mk")), ratio(F.col("b"), F.col("mr")))
 
 
+
+
+def partition_agreement(documents: DataFrame) -> DataFrame:
+    """Homogeneity, completeness, V-measure and adjusted Rand index of (gold, predicted), from their contingency table."""
+    n = documents.groupBy("gold", "predicted").agg(F.count("*").alias("n"))
+    g, p = n.groupBy("gold").agg(F.sum("n").alias("ng")), n.groupBy("predicted").agg(F.sum("n").alias("np"))
+    t = n.agg(F.sum("n").alias("t"), F.sum(pairs_of(F.col("n"))).alias("both"))  # one row
+    rg, rp = (x.agg(F.sum(pairs_of(F.col(c))).alias(f"pairs_{c}")) for x, c in ((g, "ng"), (p, "np")))  # one row each
+    j = n.join(g, "gold").join(p, "predicted").crossJoin(t.select("t"))
+    part = F.col("n") / F.col("t")
+    s = j.agg(F.sum(part * F.log(F.col("n") / F.col("np"))).alias("gp"), F.sum(part * F.log(F.col("n") / F.col("ng"))).alias("pg"),
+              F.sum(part * F.log(F.col("ng") / F.col("t"))).alias("hg"), F.sum(part * F.log(F.col("np") / F.col("t"))).alias("hp"))
+    one = lambda x, y: F.when(F.col(y) < 0, 1 - F.col(x) / F.col(y)).otherwise(F.lit(1.0))
+    v = s.select(one("gp", "hg").alias("h"), one("pg", "hp").alias("c")).crossJoin(t).crossJoin(rg).crossJoin(rp)  # one row
+    by_chance, mean = F.col("pairs_ng") * F.col("pairs_np") / pairs_of(F.col("t")), (F.col("pairs_ng") + F.col("pairs_np")) / 2
+    ari = F.when(mean != by_chance, (F.col("both") - by_chance) / (mean - by_chance)).otherwise(F.lit(1.0))
+    return v.select(F.round("h", 6).alias("homogeneity"), F.round("c", 6).alias("completeness"), F.round(ratio(2 * F.col("h") * F.col("c"), F.col("h") + F.col("c")), 6).alias("v_measure"), F.round(ari, 6).alias("ari"))

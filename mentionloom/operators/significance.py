@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mentionloom.session import cut
+
 
 def _hash_unit(*parts: Column) -> Column:
     """A number in [0, 1) from a hash that SQL can repeat."""
@@ -54,11 +56,37 @@ def bootstrap(pairs: DataFrame, key: str, a: str, b: str, rounds: int = 100) ->
     return m.groupBy("observed").agg(F.avg((F.abs("m") > 2 * F.abs(F.col("observed"))).cast("double")).alias("share")).select(F.round("observed", 6).alias("observed"), F.round("share", 6).alias("share"))
 
 
+def normal(z: Column) -> Column:
+    """The normal distribution function, within 2e-7 (a published rational approximation of the error function)."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-x * x)
+    return F.when(z >= 0, 1 - tail / 2).otherwise(tail / 2)
+
+
+def running(df: DataFrame, value: str, count: str) -> DataFrame:
+    """``df`` (distinct values with counts) with ``upto``, the sum of the counts of all values up to each one. Values are parted
+    by range; a part's own sums are few rows, so nothing is gathered in one task."""
+    parts = cut(df.repartitionByRange(value).withColumn("part", F.spark_partition_id()))
+    sums = parts.groupBy("part").agg(F.sum(count).alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(Window.orderBy("part")) - F.col("s")).select("part", "before")
+    own = F.sum(count).over(Window.partitionBy("part").orderBy(value))
+    return parts.withColumn("own", own).join(F.broadcast(before), "part").withColumn("upto", F.col("own") + F.col("before")).drop("part", "own", "before")
+
+
 def kolmogorov_smirnov(pairs: DataFrame, value: str) -> DataFrame:
-    """Largest distance between a sample's distribution and the normal one of its mean and deviation, by deciles."""
-    g = pairs.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q"))
-    x = g.select("mean", "sd", F.posexplode("q").alias("i", "x"))
-    z = (F.col("x") - F.col("mean")) / F.col("sd")
-    # logistic approximation of the normal distribution, within 0.0001
-    phi = 1 / (1 + F.exp(-(0.07056 * F.pow(z, 3) + 1.5976 * z)))
-    return x.agg(F.round(F.max(F.abs(phi - (F.col("i") + 1) / 10)), 4).alias("distance"))
+    """The largest distance between a sample's distribution and the normal one of its mean and deviation, over all points."""
+    g = pairs.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))  # one row
+    x = running(pairs.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c")), value, "c").crossJoin(g)
+    phi = normal((F.col(value) - F.col("mean")) / F.col("sd"))
+    return x.agg(F.round(F.max(F.greatest(F.abs(F.col("upto") / F.col("n") - phi), F.abs((F.col("upto") - F.col("c")) / F.col("n") - phi))), 5).alias("distance"))
+
+
+def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Number of pairs that differ, the sum of the ranks of positive differences (equal ones share their mean rank), and its
+    standard score."""
+    d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
+    g = d.groupBy(F.abs("d").alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos"))
+    r = running(g, "v", "c").agg(F.sum("c").alias("n"), F.sum(F.col("pos") * (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)).alias("w"))
+    n = F.col("n")
+    return r.select("n", F.round("w", 1).alias("w"), F.round((F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24), 5).alias("z"))

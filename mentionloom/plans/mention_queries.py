@@ -233,14 +233,15 @@ def jn20(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(a, "Document_name").select("Document_name", "Segment", hits.alias("hits"))
 
 
-_CFG = ["candidates_origin_type", "candidates_change_head", "dataset", "entities_method", "entities_word_vectors"]
+#: All columns of a configuration but its number.
+_CFG = ["candidates_origin_type", "candidates_coref_extraction_strategy", "candidates_change_head", "candidates_phrase_extension", "dataset", "candidates_annot_index", "entities_method", "entities_param_source", "entities_custom_file_id", "entities_word_vectors"]
 
 
-@query("jn21_configs_to_run", "WITH f AS (SELECT * FROM experiments WHERE candidates_annot_index = 0) SELECT experiment_num FROM experiments e WHERE NOT EXISTS (SELECT 1 FROM f WHERE " + " AND ".join(f"f.{c} IS NOT DISTINCT FROM e.{c}" for c in _CFG) + ")")
+@query("jn21_configs_to_run", "WITH f AS (SELECT * FROM experiments WHERE experiment_num % 2 = 0) SELECT experiment_num FROM experiments e WHERE NOT EXISTS (SELECT 1 FROM f WHERE " + " AND ".join(f"f.{c} IS NOT DISTINCT FROM e.{c}" for c in _CFG) + ")")
 def jn21(spark: SparkSession, sf: str) -> DataFrame:
     """Configurations without a finished equal one: a null-safe anti join."""
     e = read(spark, sf, "experiments")
-    done = e.where("candidates_annot_index = 0").select(*[F.col(c).alias(f"d_{c}") for c in _CFG])
+    done = e.where("experiment_num % 2 = 0").select(*[F.col(c).alias(f"d_{c}") for c in _CFG])
     cond = None
     for c in _CFG:
         cond = F.col(c).eqNullSafe(F.col(f"d_{c}")) if cond is None else cond & F.col(c).eqNullSafe(F.col(f"d_{c}"))
@@ -402,9 +403,19 @@ def win4(spark: SparkSession, sf: str) -> DataFrame:
     return ops.first_of(ops.head_overlap(mentions(spark, sf), ["topic_id"], "chain", "head"), ["a"], [F.desc("shared"), F.asc("b")]).select("a", "b", "shared")
 
 
-@query("win5_top_neighbours", _PAIRS + " SELECT a, b, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM p) WHERE rank <= 4")
+@query("win5_top_neighbours", _PAIRS + """, o AS (SELECT a, b, shared::DOUBLE AS s FROM (SELECT a, b, shared FROM p UNION ALL SELECT b, a, shared FROM p) UNION ALL SELECT chain, chain, 0.95 * count(*) FROM e GROUP BY 1),
+ k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM o QUALIFY r <= 4), w5 AS (SELECT *, max(CASE WHEN a = b THEN r END) OVER (PARTITION BY a) AS own FROM k)
+SELECT a, CASE WHEN own IS NULL AND r = 4 THEN a ELSE b END AS b, r::INT AS rank FROM w5 WHERE r <= coalesce(own, 4)""")
 def win5(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.top_of(ops.head_overlap(mentions(spark, sf), ["topic_id"], "chain", "head"), ["a"], [F.desc("shared"), F.asc("b")], 4).select("a", "b", "rank")
+    """The four most similar of each entity, itself damped by 0.95 among them, up to and with itself."""
+    m = mentions(spark, sf)
+    p = ops.head_overlap(m, ["topic_id"], "chain", "head")
+    own = m.select("topic_id", "chain", "head").distinct().groupBy("chain").agg((0.95 * F.count("*")).alias("s"))
+    o = p.select("a", "b", F.col("shared").cast("double").alias("s")).union(p.select("b", "a", F.col("shared").cast("double"))).union(own.select("chain", "chain", "s"))
+    k = ops.top_of(o, ["a"], [F.desc("s"), F.asc("b")], 4)
+    place = k.where("a = b").select("a", F.col("rank").alias("own"))
+    j = k.join(place, "a", "left").where(F.col("rank") <= F.coalesce("own", F.lit(4)))
+    return j.select("a", F.when(F.col("own").isNull() & (F.col("rank") == 4), F.col("a")).otherwise(F.col("b")).alias("b"), "rank")
 
 
 @query("win6_global_best_pair", _PAIRS + " SELECT a, b, shared FROM p ORDER BY shared DESC, a, b LIMIT 1")

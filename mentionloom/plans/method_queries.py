@@ -70,26 +70,6 @@ def clu8(spark: SparkSession, sf: str) -> DataFrame:
     return _mention_pairs(spark, sf).groupBy("doc_id", "a", "b").agg(F.round(F.avg("s"), 6).alias("score"))
 
 
-_ROLE = M + ", ev AS (SELECT doc_id, sent_id, chain FROM m WHERE kind = 'ACT'), ar AS (SELECT doc_id, sent_id, kind AS role, min(chain) AS arg FROM m WHERE kind IN ('HUM', 'LOC') GROUP BY ALL), l AS (SELECT DISTINCT ev.chain, ev.doc_id, role, arg FROM ev JOIN ar USING (doc_id, sent_id))"
-
-
-@query("clu9_role_bits", _ROLE + " SELECT x.chain AS a, y.chain AS b, max((x.role = 'HUM')::INT) AS arg0, max((x.role = 'LOC')::INT) AS loc FROM l x JOIN l y ON x.doc_id = y.doc_id AND x.role = y.role AND x.arg = y.arg AND x.chain < y.chain GROUP BY ALL")
-def clu9(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether two event clusters share an argument in a role: joined on the argument."""
-    m = mentions(spark, sf)
-    ev = m.where("kind = 'ACT'").select("doc_id", "sent_id", "chain")
-    ar = m.where("kind IN ('HUM', 'LOC')").groupBy("doc_id", "sent_id", F.col("kind").alias("role")).agg(F.min("chain").alias("arg"))
-    li = ev.join(ar, ["doc_id", "sent_id"]).select("chain", "doc_id", "role", "arg").distinct()
-    j = li.withColumnRenamed("chain", "a").join(li.withColumnRenamed("chain", "b"), ["doc_id", "role", "arg"]).where("a < b")
-    return j.groupBy("a", "b").agg(F.max((F.col("role") == "HUM").cast("int")).alias("arg0"), F.max((F.col("role") == "LOC").cast("int")).alias("loc"))
-
-
-@query("clu10_linked_vectors", "SELECT a.vec_id, round(coalesce(b.embedding[1], 0)::DOUBLE, 6) AS linked FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 250")
-def clu10(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    linked = e.select((F.col("vec_id") - 250).alias("vec_id"), F.col("embedding").alias("v"))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), 64)
-    return e.select("vec_id").join(linked, "vec_id", "left").select("vec_id", F.round(F.coalesce("v", zero)[0].cast("double"), 6).alias("linked"))
 
 
 @query("clu13_clusters_by_subtopic", M + "SELECT chain || '/' || split_part(doc_id, '_', 1) AS cluster, count(*) AS size FROM m GROUP BY 1")
@@ -109,18 +89,28 @@ def clu14(spark: SparkSession, sf: str) -> DataFrame:
  g AS (SELECT gold, sum(n) AS ng FROM n GROUP BY 1), p AS (SELECT predicted, sum(n) AS np FROM n GROUP BY 1),
  h AS (SELECT -(SELECT sum(ng / t * ln(ng / t)) FROM g, t) AS hg, -(SELECT sum(np / t * ln(np / t)) FROM p, t) AS hp, -(SELECT sum(n / t * ln(n / np)) FROM n JOIN p USING (predicted), t) AS hgp, -(SELECT sum(n / t * ln(n / ng)) FROM n JOIN g USING (gold), t) AS hpg),
  v AS (SELECT CASE WHEN hg > 0 THEN 1 - hgp / hg ELSE 1 END AS hom, CASE WHEN hp > 0 THEN 1 - hpg / hp ELSE 1 END AS com FROM h)
-SELECT round(hom, 6) AS homogeneity, round(com, 6) AS completeness, round(2 * hom * com / (hom + com), 6) AS v_measure FROM v""")
+SELECT round(hom, 6) AS homogeneity, round(com, 6) AS completeness, round(2 * hom * com / (hom + com), 6) AS v_measure, (SELECT round((i - e) / (m - e), 6) FROM (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS i, (SELECT sum(ng * (ng - 1) / 2) FROM g) * (SELECT sum(np * (np - 1) / 2) FROM p) / (SELECT t * (t - 1) / 2 FROM t) AS e, ((SELECT sum(ng * (ng - 1) / 2) FROM g) + (SELECT sum(np * (np - 1) / 2) FROM p)) / 2 AS m)) AS ari FROM v""")
 def clu15(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement of a document's topic with the topic that its name begins with."""
     c = mentions(spark, sf).select("doc_id", F.col("topic_id").alias("gold"), F.split_part("doc_id", F.lit("_"), F.lit(1)).alias("predicted")).distinct()
-    n = c.groupBy("gold", "predicted").agg(F.count("*").alias("n"))
-    t = n.agg(F.sum("n").alias("t"))  # one row
-    g, p = n.groupBy("gold").agg(F.sum("n").alias("ng")), n.groupBy("predicted").agg(F.sum("n").alias("np"))
-    j = n.join(g, "gold").join(p, "predicted").crossJoin(t)
-    s = j.agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") / F.col("np"))).alias("gp"), F.sum(F.col("n") / F.col("t") * F.log(F.col("n") / F.col("ng"))).alias("pg"),
-              F.sum(F.col("n") / F.col("t") * F.log(F.col("ng") / F.col("t"))).alias("hg"), F.sum(F.col("n") / F.col("t") * F.log(F.col("np") / F.col("t"))).alias("hp"))
-    one = lambda x, y: F.when(F.col(y) < 0, 1 - F.col(x) / F.col(y)).otherwise(F.lit(1.0))
-    v = s.select(one("gp", "hg").alias("h"), one("pg", "hp").alias("c"))
-    return v.select(F.round("h", 6).alias("homogeneity"), F.round("c", 6).alias("completeness"), F.round(2 * F.col("h") * F.col("c") / (F.col("h") + F.col("c")), 6).alias("v_measure"))
+    return metrics.partition_agreement(c)
+
+
+@query("clu15_predicted_topics")
+def clu15_predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics predicted from the texts: TF-IDF of one to three words (in at least three and at most half of the documents),
+    k-means of 20 clusters with a fixed seed, and how they agree with the given topics."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
+
+    docs = read(spark, sf, "articles").where("text IS NOT NULL").groupBy("article_id").agg(F.max("topic_id").alias("gold"), F.max("text").alias("text"))
+    docs = RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"[^\p{L}\p{N}]+").transform(docs)
+    for n in (2, 3):
+        docs = NGram(n=n, inputCol="w1", outputCol=f"w{n}").transform(docs)
+    docs = docs.select("article_id", "gold", F.concat("w1", "w2", "w3").alias("terms"))
+    model = Pipeline(stages=[CountVectorizer(inputCol="terms", outputCol="tf", minDF=3.0, maxDF=0.5), IDF(inputCol="tf", outputCol="x"), KMeans(featuresCol="x", predictionCol="cluster", k=20, seed=1, maxIter=20)]).fit(docs)
+    return metrics.partition_agreement(model.transform(docs).select(F.col("article_id").alias("doc_id"), "gold", F.col("cluster").cast("string").alias("predicted")))
 
 
 # -- merge steps -----------------------------------------------------------------------------------------------------
@@ -175,7 +165,13 @@ def _two(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select(F.col("event_id").alias("k"), F.col("value").alias("a"), (F.col("value") * (0.9 + F.col("event_id") % 7 / 30.0)).alias("b"))
 
 
-@query("sta1_distribution_distance")
+_KS = _TWO + """, v AS (SELECT a - b AS d FROM p), g AS (SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM v), c AS (SELECT d, count(*) AS c, sum(count(*)) OVER (ORDER BY d) AS upto FROM v GROUP BY d),
+ z AS (SELECT c, upto, n, (d - mean) / sd AS z, 1 / (1 + 0.3275911 * abs((d - mean) / sd) / sqrt(2.0)) AS t FROM c, g),
+ f AS (SELECT c, upto, n, CASE WHEN z >= 0 THEN 1 - e / 2 ELSE e / 2 END AS phi FROM (SELECT *, ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2) AS e FROM z))
+SELECT round(max(greatest(abs(upto / n - phi), abs((upto - c) / n - phi))), 5) AS distance FROM f"""
+
+
+@query("sta1_distribution_distance", _KS)
 def sta1(spark: SparkSession, sf: str) -> DataFrame:
     return significance.kolmogorov_smirnov(_two(spark, sf).select((F.col("a") - F.col("b")).alias("d")), "d")
 
@@ -185,6 +181,11 @@ def sta2(spark: SparkSession, sf: str) -> DataFrame:
     return significance.paired_t(_two(spark, sf), "a", "b")
 
 
+@query("sta2_wilcoxon", _TWO + ", v AS (SELECT a - b AS d FROM p WHERE a <> b), r AS (SELECT d, avg(rn) OVER (PARTITION BY abs(d)) AS r FROM (SELECT d, row_number() OVER (ORDER BY abs(d)) AS rn FROM v)), w AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM r) SELECT n, round(w, 1) AS w, round((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0), 5) AS z FROM w")
+def sta2_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
+    return significance.wilcoxon(_two(spark, sf), "a", "b")
+
+
 @query("sta2_mcnemar", "WITH p AS (SELECT value > 10 AS a, event_id % 3 > 0 AS b FROM events), c AS (SELECT sum((a AND b)::INT) AS rr, sum((a AND NOT b)::INT) AS rw, sum((NOT a AND b)::INT) AS wr, sum((NOT a AND NOT b)::INT) AS ww FROM p) SELECT rr::BIGINT AS rr, rw::BIGINT AS rw, wr::BIGINT AS wr, ww::BIGINT AS ww, round((abs(rw - wr) - 1)::DOUBLE ** 2 / (rw + wr), 6) AS chi2 FROM c")
 def sta2_mcnemar(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events").select((F.col("value") > 10).alias("a"), (F.col("event_id") % 3 > 0).alias("b"))

@@ -380,3 +380,44 @@ SELECT DISTINCT topic_id, chain, array_to_string(list_sort(list_distinct(list_co
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     return annotated(spark, sf).where(~F.col("word").isin(*STOPS)).select("topic_id", "chain", "mention_id", "word")
+
+
+_LINK = A + WV + _means("me", "SELECT topic_id, chain AS k, word FROM t") + """, ev AS (SELECT DISTINCT topic_id, doc_id, sent_id, chain FROM m WHERE kind = 'ACT'), ar AS (SELECT doc_id, sent_id, CASE kind WHEN 'HUM' THEN 'arg0' WHEN 'GRP' THEN 'arg1' WHEN 'LOC' THEN 'loc' ELSE 'time' END AS role, min(chain) AS arg FROM m WHERE kind IN ('HUM', 'GRP', 'LOC', 'TIM') GROUP BY ALL)"""
+
+
+def _links(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Event clusters by sentence, and each sentence's argument of each role: one kind of mention stands for each role."""
+    m = ops.mention_base(read(spark, sf, "mentions"))
+    ev = m.where("kind = 'ACT'").select("topic_id", "doc_id", "sent_id", "chain").distinct()
+    role = F.when(F.col("kind") == "HUM", "arg0").when(F.col("kind") == "GRP", "arg1").when(F.col("kind") == "LOC", "loc").otherwise("time")
+    ar = m.where("kind IN ('HUM', 'GRP', 'LOC', 'TIM')").groupBy("doc_id", "sent_id", role.alias("role")).agg(F.min("chain").alias("arg"))
+    return ev, ar
+
+
+@query("clu10_linked_vectors", _LINK + ", ro AS (SELECT unnest(['arg0', 'arg1', 'loc', 'time']) AS role), x AS (SELECT ev.topic_id, ev.doc_id, ev.sent_id, ev.chain, ro.role, arg FROM ev CROSS JOIN ro LEFT JOIN ar ON ar.doc_id = ev.doc_id AND ar.sent_id = ev.sent_id AND ar.role = ro.role) SELECT doc_id, sent_id, chain, role, round(coalesce(v[1], 0), 5) AS linked FROM x LEFT JOIN me ON me.topic_id = x.topic_id AND me.k = x.arg")
+def clu10(spark: SparkSession, sf: str) -> DataFrame:
+    """For each event cluster in a sentence and each of four roles, the vector of the cluster that fills it (here its first
+    number), zeros where none does."""
+    ev, ar = _links(spark, sf)
+    w = annotated(spark, sf)
+    me = vectors.mean_vector(w.select("topic_id", "chain", "word").join(word_vectors(spark, sf, w), "word"), ["topic_id", "chain"], "v").withColumnRenamed("chain", "arg")
+    x = ev.withColumn("role", F.explode(F.array(*map(F.lit, ("arg0", "arg1", "loc", "time"))))).join(ar, ["doc_id", "sent_id", "role"], "left").join(me, ["topic_id", "arg"], "left")
+    return x.select("doc_id", "sent_id", "chain", "role", F.round(F.coalesce(F.get("v", F.lit(0)), F.lit(0.0)), 5).alias("linked"))
+
+
+_BITS = "max((role = 'arg0')::INT) AS arg0, max((role = 'arg1')::INT) AS arg1, max((role = 'loc')::INT) AS loc, max((role = 'time')::INT) AS time"
+
+
+@query("clu9_role_bits", _LINK + f", l AS (SELECT DISTINCT ev.chain, ev.doc_id, role, arg FROM ev JOIN ar USING (doc_id, sent_id)) SELECT 'event' AS side, x.chain AS a, y.chain AS b, {_BITS.replace('(role', '(x.role')} FROM l x JOIN l y ON x.doc_id = y.doc_id AND x.role = y.role AND x.arg = y.arg AND x.chain < y.chain GROUP BY ALL UNION ALL SELECT 'entity', x.arg, y.arg, {_BITS.replace('(role', '(x.role')} FROM l x JOIN l y ON x.doc_id = y.doc_id AND x.role = y.role AND x.chain = y.chain AND x.arg < y.arg GROUP BY ALL")
+def clu9(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether two event clusters of a document share the filler of a role, and whether two entity clusters fill a role of
+    one event cluster: for each of four roles."""
+    ev, ar = _links(spark, sf)
+    li = ev.join(ar, ["doc_id", "sent_id"]).select("chain", "doc_id", "role", "arg").distinct()
+    bits = [F.max((F.col("role") == r).cast("int")).alias(r) for r in ("arg0", "arg1", "loc", "time")]
+
+    def side(name: str, own: str, other: str) -> DataFrame:
+        j = li.withColumnRenamed(own, "a").join(li.withColumnRenamed(own, "b"), ["doc_id", "role", other]).where("a < b")
+        return j.groupBy("a", "b").agg(*bits).select(F.lit(name).alias("side"), "a", "b", "arg0", "arg1", "loc", "time")
+
+    return side("event", "chain", "arg").unionByName(side("entity", "arg", "chain"))
