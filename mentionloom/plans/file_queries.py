@@ -50,12 +50,12 @@ def src11(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("doc_id", "sent_id", "verb", "role", "text", F.size("tok_ids").alias("size")).agg(F.count("*").alias("n"))
 
 
-@query("src14_text_vectors", "SELECT 'v' || vec_id AS word, round(list_sum(embedding::DOUBLE[]), 3) AS total, len(embedding)::INT AS dims FROM embeddings")
+@query("src14_text_vectors", "SELECT 'v' || vec_id AS word, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last, len(embedding)::INT AS dims FROM embeddings")
 def src14(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark)
     e = read(spark, sf, "embeddings")
     e.select(F.concat_ws(" ", F.concat(F.lit("v"), "vec_id"), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("value")).write.text(path)
-    return readers.word_vectors(spark, path, 64).select("word", F.round(F.aggregate(F.transform("vec", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x), 3).alias("total"), F.size("vec").alias("dims"))
+    return readers.word_vectors(spark, path, 64).select("word", F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.get("vec", F.lit(63)).cast("double"), 6).alias("last"), F.size("vec").alias("dims"))
 
 
 @query("src16_listing")
