@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mentionloom.operators import mention_ops as ops
 from mentionloom.plans.annotations import GENERAL_NOUNS, STOPS, TITLES, A, _in, annotated
-from mentionloom.plans.registry import mentions, query
+from mentionloom.plans.registry import M, mentions, query
 
 _STOPS = _in(STOPS)
 
@@ -188,3 +188,97 @@ def win8(spark: SparkSession, sf: str) -> DataFrame:
     score = (F.col("mention_id") == F.col("first")).cast("int") + 3 * (F.col("text") == F.col("rep")).cast("int") + 2 * F.col("proper").cast("int") + 2 * (F.col("n") == 2).cast("int")
     best = s.groupBy("chain").agg(F.min(F.struct((-score).alias("o"), "mention_id")).alias("b"))
     return best.select("chain", "b.mention_id", (-F.col("b.o")).alias("score"))
+
+
+# -- joins with coreference and gold mentions ------------------------------------------------------------------------------
+
+_COREF = M + ", cf AS (SELECT * FROM m WHERE NOT is_singleton), rn AS (SELECT chain, text AS name FROM (SELECT chain, text, row_number() OVER (PARTITION BY chain ORDER BY c DESC, text) AS r FROM (SELECT chain, text, count(*) AS c FROM cf GROUP BY ALL)) WHERE r = 1)"
+
+
+@query("jn2_with_chain_name", _COREF + " SELECT DISTINCT a.mention_id, name FROM m a JOIN cf c ON c.doc_id = a.doc_id AND c.sent_id = a.sent_id AND c.head = a.head JOIN rn ON rn.chain = c.chain WHERE a.score = -1")
+def jn2(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotated mentions beside the coreference mentions of their sentence with the same head, with the name of the chain: its
+    most frequent phrase. Mentions without such a one drop out."""
+    m = mentions(spark, sf)
+    c = m.where("NOT is_singleton")
+    name = c.groupBy("chain", "text").agg(F.count("*").alias("n")).groupBy("chain").agg(F.min(F.struct((-F.col("n")).alias("o"), "text"))["text"].alias("name"))
+    coref = c.select("doc_id", "sent_id", "head", "chain").distinct().join(name, "chain").drop("chain")
+    return m.where("score = -1").select("mention_id", "doc_id", "sent_id", "head").join(coref, ["doc_id", "sent_id", "head"]).select("mention_id", "name").distinct()
+
+
+_HOW = "CASE WHEN a.text = c.text AND a.first_tok = c.first_tok THEN 0 WHEN a.text = c.text THEN 1 ELSE 2 END"
+
+
+@query("jn18_chain_or_self", _COREF + f", j AS (SELECT a.mention_id, c.chain, {_HOW} AS how FROM m a JOIN cf c ON c.doc_id = a.doc_id AND c.sent_id = a.sent_id AND (a.text = c.text OR contains(a.text, c.text) OR contains(c.text, a.text))), b AS (SELECT mention_id, arg_min(chain, (how, chain)) AS chain FROM j GROUP BY 1) SELECT m.mention_id, coalesce(b.chain, m.mention_id) AS seed FROM m LEFT JOIN b USING (mention_id)")
+def jn18(spark: SparkSession, sf: str) -> DataFrame:
+    """The seed of each mention: the chain of the coreference mention in its sentence that matches best - same text and place,
+    same text, one inside the other -, else the mention itself."""
+    m = mentions(spark, sf)
+    c = m.where("NOT is_singleton").select("doc_id", "sent_id", F.col("text").alias("tc"), F.col("first_tok").alias("fc"), "chain").distinct()
+    j = m.select("mention_id", "doc_id", "sent_id", "text", "first_tok").join(c, ["doc_id", "sent_id"])
+    same = F.col("text") == F.col("tc")
+    j = j.where(same | F.col("text").contains(F.col("tc")) | F.col("tc").contains(F.col("text")))
+    how = F.when(same & (F.col("first_tok") == F.col("fc")), 0).when(same, 1).otherwise(2)
+    b = j.groupBy("mention_id").agg(F.min(F.struct(how.alias("how"), "chain"))["chain"].alias("c"))
+    return m.select("mention_id").join(b, "mention_id", "left").select("mention_id", F.coalesce("c", "mention_id").alias("seed"))
+
+
+@query("flt5_digit_share", M + """, p AS (SELECT mention_id, doc_id, sent_id, text FROM m WHERE kind <> 'HUM'), o AS (SELECT DISTINCT doc_id, sent_id, text FROM m WHERE kind = 'HUM'),
+ f AS (SELECT DISTINCT p.mention_id FROM p JOIN o ON o.doc_id = p.doc_id AND abs(o.sent_id - p.sent_id) <= 2 AND contains(lower(o.text), lower(p.text)))
+SELECT mention_id, length(regexp_replace(text, '[^0-9]', '', 'g')) >= 0.1 * length(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g')) AS tolerated FROM p WHERE mention_id NOT IN (SELECT mention_id FROM f)""".replace("\\\\", "\\"))
+def flt5(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions whose phrase is not found within two sentences, and whether that is passed over because a tenth or more of
+    their letters and figures are figures. Sentences are joined by their numbers, never by a range."""
+    m = mentions(spark, sf)
+    o = m.where("kind = 'HUM'").select("doc_id", F.col("sent_id").alias("s"), F.lower("text").alias("to")).distinct()
+    p = m.where("kind <> 'HUM'").select("mention_id", "doc_id", "text", F.explode(F.sequence(F.col("sent_id") - 2, F.col("sent_id") + 2)).alias("s"))
+    found = p.join(o, ["doc_id", "s"]).where(F.col("to").contains(F.lower("text"))).select("mention_id").distinct()
+    rest = m.where("kind <> 'HUM'").select("mention_id", "text").join(found, "mention_id", "left_anti")
+    return rest.select("mention_id", (F.length(F.regexp_replace("text", "[^0-9]", "")) >= 0.1 * F.length(F.regexp_replace("text", r"[^\p{L}\p{N}_]", ""))).alias("tolerated"))
+
+
+_ROLES = M + """, ar AS (SELECT doc_id, sent_id, CASE kind WHEN 'HUM' THEN 'arg0' WHEN 'GRP' THEN 'arg1' WHEN 'LOC' THEN 'loc' ELSE 'time' END AS role, min(chain) AS arg FROM m WHERE kind IN ('HUM', 'GRP', 'LOC', 'TIM') GROUP BY ALL),
+ ev AS (SELECT mention_id, doc_id, sent_id, chain FROM m WHERE kind = 'ACT'), ea AS (SELECT DISTINCT ev.mention_id, ev.chain, role, arg FROM ev JOIN ar USING (doc_id, sent_id)),
+ lk AS (SELECT DISTINCT x.chain, x.mention_id AS a, y.mention_id AS b FROM ea x JOIN ea y ON x.chain = y.chain AND x.role = y.role AND x.arg = y.arg AND x.mention_id < y.mention_id),
+ sz AS (SELECT chain, count(*) AS events FROM ev GROUP BY 1), ag AS (SELECT chain, count(DISTINCT mention_id) AS with_args FROM ea GROUP BY 1), lc AS (SELECT chain, count(*) AS linked, count(DISTINCT a) AS with_later FROM lk GROUP BY 1)
+SELECT sz.chain, events, coalesce(with_args, 0) AS with_args, coalesce(with_later, 0) AS with_later, round(CASE WHEN events > 1 THEN coalesce(linked, 0) / (events * (events - 1) / 2.0) ELSE 0 END, 6)::DOUBLE AS share FROM sz LEFT JOIN ag USING (chain) LEFT JOIN lc USING (chain)"""
+
+
+@query("agg16_argument_coreference", _ROLES)
+def agg16(spark: SparkSession, sf: str) -> DataFrame:
+    """For each event chain: its events, those with arguments, those with a later event of the chain that shares the filler
+    of some role, and the share of such pairs. An event has one filler of a role, so pairs are counted in closed form,
+    by inclusion and exclusion over sets of roles: no pair is formed."""
+    names = ("arg0", "arg1", "loc", "time")
+    m = mentions(spark, sf)
+    role = F.when(F.col("kind") == "HUM", "arg0").when(F.col("kind") == "GRP", "arg1").when(F.col("kind") == "LOC", "loc").otherwise("time")
+    ar = m.where("kind IN ('HUM', 'GRP', 'LOC', 'TIM')").groupBy("doc_id", "sent_id", role.alias("role")).agg(F.min("chain").alias("arg"))
+    wide = ar.groupBy("doc_id", "sent_id").pivot("role", list(names)).agg(F.first("arg"))
+    ev = m.where("kind = 'ACT'").select("mention_id", "doc_id", "sent_id", "chain").join(wide, ["doc_id", "sent_id"], "left")
+    sets = [[n for i, n in enumerate(names) if k >> i & 1] for k in range(1, 16)]
+    filled = lambda of: F.when(F.greatest(*[F.col(n).isNull().cast("int") for n in of], F.lit(0)) == 0, F.concat_ws("\x01", *[F.concat(F.lit(f"{n}="), n) for n in of]))
+    key = F.explode(F.filter(F.array(*[F.struct(F.lit(1 if len(of) % 2 else -1).alias("sign"), F.lit(len(of)).alias("roles"), filled(of).alias("key")) for of in sets]), lambda x: x["key"].isNotNull()))
+    e = ev.select("mention_id", "chain", key.alias("x")).select("mention_id", "chain", "x.*")
+    g = e.groupBy("chain", "sign", "roles", "key").agg(F.count("*").alias("n"), F.max("mention_id").alias("last"))
+    linked = g.groupBy("chain").agg(F.sum(F.col("sign") * F.col("n") * (F.col("n") - 1) / 2).alias("linked"))
+    later = e.where("roles = 1").join(g.where("roles = 1").select("chain", "key", "last"), ["chain", "key"]).where("mention_id < last").groupBy("chain").agg(F.count_distinct("mention_id").alias("with_later"))
+    some = F.coalesce(*names).isNotNull()
+    sz = ev.groupBy("chain").agg(F.count("*").alias("events"), F.count_if(some).alias("with_args"))
+    j = sz.join(linked, "chain", "left").join(later, "chain", "left").fillna(0)
+    share = F.when(F.col("events") > 1, F.col("linked") / (F.col("events") * (F.col("events") - 1) / 2)).otherwise(0.0)
+    return j.select("chain", "events", "with_args", "with_later", F.round(share, 6).alias("share"))
+
+
+@query("ext9_from_coreference", A + "SELECT mention_id, doc_id, sent_id, chain AS chain_name, CASE WHEN max(CASE WHEN i = n - 1 THEN pos END) = 'PRP' THEN 'PRONOMINAL' WHEN max(CASE WHEN i = n - 1 THEN pos END) IN ('NNP', 'NNPS') THEN 'PROPER' ELSE 'NOMINAL' END AS subtype, max(CASE WHEN i = n - 1 THEN word END) AS head FROM t GROUP BY ALL")
+def ext9(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions made of coreference mentions: chain name, head and kind of reference."""
+    head = lambda c: F.max(F.when(F.col("i") == F.col("n") - 1, F.col(c)))
+    g = annotated(spark, sf).groupBy("mention_id", "doc_id", "sent_id", F.col("chain").alias("chain_name")).agg(head("pos").alias("pos"), head("word").alias("head"))
+    return g.select("mention_id", "doc_id", "sent_id", "chain_name", F.when(F.col("pos") == "PRP", "PRONOMINAL").when(F.col("pos").isin("NNP", "NNPS"), "PROPER").otherwise("NOMINAL").alias("subtype"), "head")
+
+
+@query("ext13_entities_of_groups", A + f", {_KEEP} SELECT topic_id, chain, count(*) AS members, min(m.mention_id) AS first_member FROM m JOIN kept USING (mention_id) GROUP BY ALL")
+def ext13(spark: SparkSession, sf: str) -> DataFrame:
+    """One entity per group of the mentions that the keep-filter leaves."""
+    m = mentions(spark, sf).join(kept_mentions(annotated(spark, sf)), "mention_id", "left_semi")
+    return m.groupBy("topic_id", "chain").agg(F.count("*").alias("members"), F.min("mention_id").alias("first_member"))

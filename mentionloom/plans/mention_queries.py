@@ -88,11 +88,6 @@ def flt4(spark: SparkSession, sf: str) -> DataFrame:
     return g.where((F.col("members") >= 0.02 * F.col("sentences")) & (F.col("kind") == "HUM")).select("chain", "members")
 
 
-@query("flt5_digit_share", M + "SELECT mention_id, length(regexp_replace(text, '[^0-9]', '', 'g')) >= 0.1 * length(text) AS tolerated FROM m")
-def flt5(spark: SparkSession, sf: str) -> DataFrame:
-    return mentions(spark, sf).select("mention_id", (F.length(F.regexp_replace("text", "[^0-9]", "")) >= 0.1 * F.length("text")).alias("tolerated"))
-
-
 @query("flt6_excluded_type", M + "SELECT kind, count(*) AS n FROM m WHERE kind <> 'GRP' GROUP BY 1")
 def flt6(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).where("kind <> 'GRP'").groupBy("kind").agg(F.count("*").alias("n"))
@@ -120,12 +115,6 @@ def jn1(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("doc_id", "sent_id", "head", "chain", (F.col("l").isNotNull() & F.col("chain").isNotNull()).alias("matched"))
 
 
-@query("jn2_with_chain_name", M + ", n AS (SELECT chain, min(text) AS name FROM m GROUP BY 1) SELECT mention_id, name FROM m JOIN n USING (chain) WHERE name IS NOT NULL")
-def jn2(spark: SparkSession, sf: str) -> DataFrame:
-    m = mentions(spark, sf)
-    return m.join(m.groupBy("chain").agg(F.min("text").alias("name")), "chain").select("mention_id", "name")
-
-
 @query("jn3_unknown_heads", _AB + "SELECT DISTINCT doc_id, sent_id, head FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.head = b.head)")
 def jn3(spark: SparkSession, sf: str) -> DataFrame:
     m = mentions(spark, sf)
@@ -206,13 +195,6 @@ def jn17_events(spark: SparkSession, sf: str) -> DataFrame:
     return t.where("event_type = 'error' AND click_id IS NOT NULL").select("event_id", "click_id")
 
 
-@query("jn18_chain_or_self", M + "SELECT mention_id, coalesce(CASE WHEN kind <> 'UNK' THEN chain END, mention_id) AS seed FROM m")
-def jn18(spark: SparkSession, sf: str) -> DataFrame:
-    m = mentions(spark, sf)
-    known = m.where("kind <> 'UNK'").select("mention_id", F.col("chain").alias("c"))
-    return m.select("mention_id").join(known, "mention_id", "left").select("mention_id", F.coalesce("c", "mention_id").alias("seed"))
-
-
 @query("jn19_paragraphs_of_codings", r"""WITH c AS (SELECT DISTINCT Document_name, Code, Segment, Beginning FROM codings), a AS (SELECT DISTINCT doc_key, text FROM articles WHERE text IS NOT NULL),
  l AS (SELECT doc_key, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM a)
 SELECT Document_name, Code, Segment, Beginning, min(line_no)::INT AS line_no FROM c JOIN l ON Document_name = doc_key AND contains(line, Segment) GROUP BY ALL""")
@@ -307,22 +289,6 @@ def agg15(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.coalesce("kind", F.lit("Total")).alias("kind"), "chains", "singletons")
 
 
-_ARGS = M + """, g AS (SELECT doc_id, sent_id, min(chain) FILTER (kind = 'HUM') AS arg FROM m GROUP BY ALL), e AS (SELECT m.mention_id, m.chain, arg FROM m LEFT JOIN g USING (doc_id, sent_id) WHERE kind = 'ACT'),
- n AS (SELECT chain, arg, count(*) AS n FROM e GROUP BY ALL), c AS (SELECT chain, sum(n) AS size, sum(CASE WHEN arg IS NOT NULL THEN n * (n - 1) / 2 ELSE 0 END) AS same FROM n GROUP BY 1)
-SELECT chain, size::BIGINT AS events, round(CASE WHEN size > 1 THEN same / (size * (size - 1) / 2) ELSE 0 END, 6) AS share FROM c"""
-
-
-@query("agg16_argument_coreference", _ARGS)
-def agg16(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of same-chain event pairs whose argument corefers: pair counts in closed form, no pairs formed."""
-    m = mentions(spark, sf)
-    args = m.where("kind = 'HUM'").groupBy("doc_id", "sent_id").agg(F.min("chain").alias("arg"))
-    n = m.where("kind = 'ACT'").join(args, ["doc_id", "sent_id"], "left").groupBy("chain", "arg").agg(F.count("*").alias("n"))
-    pairs = lambda c: c * (c - 1) / 2
-    c = n.groupBy("chain").agg(F.sum("n").alias("size"), F.sum(F.when(F.col("arg").isNotNull(), pairs(F.col("n"))).otherwise(0)).alias("same"))
-    return c.select("chain", F.col("size").alias("events"), F.round(F.when(F.col("size") > 1, F.col("same") / pairs(F.col("size"))).otherwise(0.0), 6).alias("share"))
-
-
 @query("agg17_mean_by_setup", "SELECT dataset, entities_method, round(avg(candidates_annot_index), 6) AS mean_index, count(*) AS runs FROM experiments GROUP BY ALL")
 def agg17(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "experiments").groupBy("dataset", "entities_method").agg(F.round(F.avg("candidates_annot_index"), 6).alias("mean_index"), F.count("*").alias("runs"))

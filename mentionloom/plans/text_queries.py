@@ -352,12 +352,6 @@ def ext11(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", F.floor((rn - 1) / 10).cast("string")).alias("batch"))
 
 
-@query("ext13_entities_of_groups", M + "SELECT topic_id, chain, count(*) AS members, min(head) AS first_head FROM m WHERE NOT (len(words) = 1 AND length(words[1]) <= 3) GROUP BY ALL")
-def ext13(spark: SparkSession, sf: str) -> DataFrame:
-    lone = (F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) <= 3)
-    return mentions(spark, sf).where(~lone).groupBy("topic_id", "chain").agg(F.count("*").alias("members"), F.min("head").alias("first_head"))
-
-
 @query("ext14_back_off_titles", M + """, n AS (SELECT lower(text) AS phrase, min(chain) AS title FROM m WHERE kind = 'HUM' GROUP BY 1)
 SELECT mention_id, coalesce(a.title, b.title, c.title) AS title FROM m LEFT JOIN n a ON a.phrase = lower(m.text) LEFT JOIN n b ON b.phrase = array_to_string(words[-3:], ' ') LEFT JOIN n c ON c.phrase = array_to_string(words[-2:], ' ')""")
 def ext14(spark: SparkSession, sf: str) -> DataFrame:
