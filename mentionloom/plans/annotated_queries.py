@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mentionloom.operators import mention_ops as ops
 from mentionloom.plans.annotations import GENERAL_NOUNS, STOPS, TITLES, A, _in, annotated
 from mentionloom.plans.registry import M, mentions, query
+from mentionloom.sources.tables import read
 
 _STOPS = _in(STOPS)
 
@@ -282,3 +283,17 @@ def ext13(spark: SparkSession, sf: str) -> DataFrame:
     """One entity per group of the mentions that the keep-filter leaves."""
     m = mentions(spark, sf).join(kept_mentions(annotated(spark, sf)), "mention_id", "left_semi")
     return m.groupBy("topic_id", "chain").agg(F.count("*").alias("members"), F.min("mention_id").alias("first_member"))
+
+
+@query("jn20_occurrences", r"""WITH c AS (SELECT DISTINCT Document_name, Segment FROM codings WHERE length(Segment) > 0), a AS (SELECT DISTINCT doc_key, text FROM articles WHERE text IS NOT NULL),
+ p AS (SELECT Document_name, Segment, text, string_split(text, Segment) AS parts FROM c JOIN a ON Document_name = doc_key), o AS (SELECT *, unnest(range(1, len(parts))) AS k FROM p)
+SELECT Document_name, Segment, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(Segment))::INT AS begin_char, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + k * length(Segment))::INT AS end_char, len(regexp_extract_all(Segment, '[\p{L}\p{N}]+'))::INT AS tokens FROM o""")
+def jn20(spark: SparkSession, sf: str) -> DataFrame:
+    """Every occurrence of a coded segment in its article: begin and end, and the number of words inside."""
+    c = read(spark, sf, "codings").where(F.length("Segment") > 0).select("Document_name", "Segment").distinct()
+    a = read(spark, sf, "articles").where("text IS NOT NULL").select(F.col("doc_key").alias("Document_name"), "text").distinct()
+    p = c.join(a, "Document_name").withColumn("parts", F.expr(r"split(text, concat('\\Q', Segment, '\\E'), -1)")).where(F.size("parts") > 1)
+    # the running length of what stands before each occurrence
+    before = F.aggregate(F.slice("parts", 1, F.size("parts") - 1), F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0)) + F.length(x) + F.when(F.size(s) > 0, F.length("Segment")).otherwise(0))))
+    o = p.select("Document_name", "Segment", F.explode(before).alias("begin_char"))
+    return o.select("Document_name", "Segment", "begin_char", (F.col("begin_char") + F.length("Segment")).alias("end_char"), F.size(F.regexp_extract_all("Segment", F.lit(r"[\p{L}\p{N}]+"), 0)).alias("tokens"))

@@ -206,16 +206,6 @@ def jn19(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(line, "Document_name").where(F.col("line").contains(F.col("Segment"))).groupBy("Document_name", "Code", "Segment", "Beginning").agg(F.min("line_no").cast("int").alias("line_no"))
 
 
-@query("jn20_occurrences", r"""WITH c AS (SELECT DISTINCT Document_name, Segment FROM codings WHERE length(Segment) > 0), a AS (SELECT DISTINCT doc_key, text FROM articles WHERE text IS NOT NULL)
-SELECT Document_name, Segment, (length(text) - length(replace(text, Segment, ''))) // length(Segment) AS hits FROM c JOIN a ON Document_name = doc_key""")
-def jn20(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "codings").where(F.length("Segment") > 0).select("Document_name", "Segment").distinct()
-    a = read(spark, sf, "articles").where("text IS NOT NULL").select(F.col("doc_key").alias("Document_name"), "text").distinct()
-    hits = F.expr("CAST((length(text) - length(replace(text, Segment, ''))) DIV length(Segment) AS BIGINT)")
-    return c.join(a, "Document_name").select("Document_name", "Segment", hits.alias("hits"))
-
-
-#: All columns of a configuration but its number.
 _CFG = ["candidates_origin_type", "candidates_coref_extraction_strategy", "candidates_change_head", "candidates_phrase_extension", "dataset", "candidates_annot_index", "entities_method", "entities_param_source", "entities_custom_file_id", "entities_word_vectors"]
 
 
