@@ -297,3 +297,24 @@ def jn20(spark: SparkSession, sf: str) -> DataFrame:
     before = F.aggregate(F.slice("parts", 1, F.size("parts") - 1), F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0)) + F.length(x) + F.when(F.size(s) > 0, F.length("Segment")).otherwise(0))))
     o = p.select("Document_name", "Segment", F.explode(before).alias("begin_char"))
     return o.select("Document_name", "Segment", "begin_char", (F.col("begin_char") + F.length("Segment")).alias("end_char"), F.size(F.regexp_extract_all("Segment", F.lit(r"[\p{L}\p{N}]+"), 0)).alias("tokens"))
+
+
+@query("jn4_text_search_nearby", M + """, tk AS (SELECT doc_id, sent_id, tok, min(word) AS word FROM (SELECT doc_id, sent_id, unnest(tok_ids) AS tok, unnest(words) AS word FROM m WHERE len(tok_ids) = len(words)) GROUP BY ALL),
+ se AS (SELECT doc_id, sent_id, string_agg(' ' || word || ' ', '' ORDER BY tok) AS st FROM tk GROUP BY ALL),
+ ph AS (SELECT mention_id, doc_id, sent_id, array_to_string(list_transform(words, lambda x: ' ' || x || ' '), '') AS whole, '% ' || array_to_string(words[1:greatest(len(words) - 1, 1)], ' % ') || ' %' AS loose FROM m WHERE len(words) > 0),
+ c AS (SELECT mention_id, se.sent_id AS found, abs(se.sent_id - ph.sent_id) AS gap, CASE WHEN contains(st, whole) THEN CASE WHEN se.sent_id = ph.sent_id THEN 0 ELSE 1 END WHEN st LIKE loose THEN 2 END AS how FROM ph JOIN se ON se.doc_id = ph.doc_id AND abs(se.sent_id - ph.sent_id) <= 2)
+SELECT mention_id, found, how FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY how, gap, found) AS r FROM c WHERE how IS NOT NULL) WHERE r = 1""")
+def jn4(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a phrase is found: in its own sentence (0), else within two sentences (1), else as words in their order, all but
+    the last (2). A sentence's text is its words by place; windows of sentences are exploded for an equi-join."""
+    m = mentions(spark, sf)
+    tk = m.where(F.size("tok_ids") == F.size("words")).select("doc_id", "sent_id", F.explode(F.arrays_zip("tok_ids", "words")).alias("x")).groupBy("doc_id", "sent_id", F.col("x.tok_ids").alias("tok")).agg(F.min("x.words").alias("word"))
+    st = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok", "word"))), lambda x: F.concat(F.lit(" "), x["word"], F.lit(" "))), "").alias("st")
+    se = tk.groupBy("doc_id", F.col("sent_id").alias("found")).agg(st)
+    first = F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(1)))
+    ph = m.where(F.size("words") > 0).select("mention_id", "doc_id", "sent_id", F.array_join(F.transform("words", lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "").alias("whole"),
+                                             F.concat(F.lit("% "), F.array_join(first, " % "), F.lit(" %")).alias("loose"), F.explode(F.sequence(F.col("sent_id") - 2, F.col("sent_id") + 2)).alias("found"))
+    c = ph.join(se, ["doc_id", "found"])
+    how = F.when(F.col("st").contains(F.col("whole")), F.when(F.col("found") == F.col("sent_id"), 0).otherwise(1)).when(F.expr("st LIKE loose"), 2)
+    best = c.withColumn("how", how).where("how IS NOT NULL").groupBy("mention_id").agg(F.min(F.struct("how", F.abs(F.col("found") - F.col("sent_id")).alias("gap"), "found")).alias("x"))
+    return best.select("mention_id", "x.found", "x.how")

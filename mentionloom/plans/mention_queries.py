@@ -121,17 +121,6 @@ def jn3(spark: SparkSession, sf: str) -> DataFrame:
     return m.where("kind <> 'HUM'").join(m.where("kind = 'HUM'"), ["doc_id", "sent_id", "head"], "left_anti").select("doc_id", "sent_id", "head").distinct()
 
 
-@query("jn4_text_search_nearby", _AB + """, c AS (SELECT b.mention_id AS b_id, a.mention_id AS a_id, abs(a.sent_id - b.sent_id) AS gap FROM b JOIN a ON a.doc_id = b.doc_id AND abs(a.sent_id - b.sent_id) <= 2 AND contains(lower(a.text), lower(b.text)))
-SELECT b_id, a_id, gap FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY gap, a_id) AS i FROM c) WHERE i = 1""")
-def jn4(spark: SparkSession, sf: str) -> DataFrame:
-    """A phrase found in its own sentence, else within two sentences: sentence windows are exploded for an equi-join."""
-    m = mentions(spark, sf)
-    a = m.where("kind = 'HUM'").select("doc_id", F.col("sent_id").alias("s"), F.col("mention_id").alias("a_id"), F.col("text").alias("ta"))
-    b = m.where("kind <> 'HUM'").select("doc_id", "sent_id", F.col("mention_id").alias("b_id"), F.col("text").alias("tb"), F.explode(F.sequence(F.col("sent_id") - 2, F.col("sent_id") + 2)).alias("s"))
-    j = b.join(a, ["doc_id", "s"]).where(F.lower("ta").contains(F.lower("tb"))).withColumn("gap", F.abs(F.col("s") - F.col("sent_id")))
-    return ops.first_of(j, ["b_id"], [F.asc("gap"), F.asc("a_id")]).select("b_id", "a_id", "gap")
-
-
 _PH = M + ", p AS (SELECT DISTINCT topic_id, chain, array_to_string(list_sort(list_distinct(words)), ' ') AS phrase FROM m WHERE len(words) > 0), w2 AS (SELECT *, unnest(string_split(phrase, ' ')) AS word, len(string_split(phrase, ' ')) AS n FROM p)"
 
 
