@@ -88,5 +88,5 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
     g = d.groupBy(F.abs("d").alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos"))
     r = running(g, "v", "c").agg(F.sum("c").alias("n"), F.sum(F.col("pos") * (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)).alias("w"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its third power leaves the whole numbers beyond 1.66 million pairs
     return r.select("n", F.round("w", 1).alias("w"), F.round((F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24), 5).alias("z"))

@@ -85,6 +85,13 @@ def test_significance(spark):
     assert significance.bootstrap(up, "k", "a", "b", 20).first().share == 0.0
 
 
+def test_signed_ranks_of_many_pairs(spark):
+    # n (n + 1) (2 n + 1) is beyond the whole numbers of 64 bits
+    n = 1_700_000
+    r = significance.wilcoxon(spark.range(n).selectExpr("CAST(IF(id % 2 = 0, 2, 1) AS DOUBLE) AS a", "CAST(IF(id % 2 = 0, 1, 2) AS DOUBLE) AS b"), "a", "b").first()
+    assert tuple(r) == (n, n * (n + 1) / 4, 0.0)
+
+
 def test_edit_distance(spark):
     rng = random.Random(8)
     pairs = [("".join(rng.choices("abcé.Ж", k=rng.randrange(8))), "".join(rng.choices("abcé.Ж", k=rng.randrange(8)))) for _ in range(60)] + [("U.S.", "US"), ("", "")]
