@@ -6,7 +6,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,15 +93,21 @@ def modifier_expansion(deps: DataFrame, heads: DataFrame, key: str) -> DataFrame
     return own.unionByName(via.join(d, [*SENT, "head"]).select(own.columns)).select(key, F.col("dep").alias("relation"), "tok").distinct()
 
 
-def _matched(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["rank", "gap", "p_id", "g_id"])
-    used_p, used_g, out = set(), set(), []
-    for p, g, r in zip(pdf["p_id"], pdf["g_id"], pdf["rank"]):
-        if p not in used_p and g not in used_g:
-            used_p.add(p)
-            used_g.add(g)
-            out.append((p, g, int(r)))
-    return pd.DataFrame(out, columns=["p_id", "g_id", "rank"])
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs used of each sentence's ordered ones; a batch holds many sentences."""
+    for batch in batches:
+        pairs = batch.column(0)
+        at, (ranks, _, ps, gs) = pairs.offsets.to_pylist(), (x.to_pylist() for x in pairs.values.flatten())
+        out: tuple[list, list, list] = ([], [], [])
+        for begin, end in zip(at, at[1:]):
+            used_p, used_g = set(), set()
+            for n in range(begin, end):
+                if (p := ps[n]) not in used_p and (g := gs[n]) not in used_g:
+                    used_p.add(p)
+                    used_g.add(g)
+                    for x, v in zip(out, (p, g, ranks[n])):
+                        x.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.int32()))], ["p_id", "g_id", "rank"])
 
 
 def match_to_gold(predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -110,7 +118,8 @@ def match_to_gold(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     j = p.join(g, SENT).where("pf <= gl AND gf <= pl")
     rank = F.when(F.expr("pf = gf AND pl = gl"), 0).when(F.expr("ph = gh"), 1).when(F.expr("(pf >= gf AND pl <= gl) OR (gf >= pf AND gl <= pl)"), 2)
     j = j.withColumn("rank", rank).where("rank IS NOT NULL").withColumn("gap", F.abs(F.col("pf") - F.col("gf")) + F.abs(F.col("pl") - F.col("gl")))
-    return j.groupBy(*SENT).applyInPandas(lambda pdf: _matched(pdf), "p_id string, g_id string, rank int")
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "gap", "p_id", "g_id"))).alias("pairs")
+    return j.groupBy(*SENT).agg(ordered).select("pairs").mapInArrow(_matched, "p_id string, g_id string, rank int")
 
 
 def sense_weights(senses: DataFrame) -> DataFrame:

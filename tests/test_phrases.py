@@ -1,3 +1,5 @@
+import random
+
 from mentionloom.operators import phrases
 
 
@@ -31,3 +33,27 @@ def test_match_to_gold_uses_each_once(spark):
 def test_sense_weights(spark):
     df = spark.createDataFrame([("w", 0, "act"), ("w", 1, "act"), ("w", 2, "person"), ("w", 3, "place")], "word string, rank int, lexname string")
     assert {r.lexname: r.weight for r in phrases.sense_weights(df).collect()} == {"act": 1.75, "person": 0.25}
+
+
+def test_match_to_gold_of_many_sentences(spark):
+    # sentences are matched by batches: a call of Python for each one takes longer than the limit allows on large tables
+    rng = random.Random(4)
+    own = lambda x, most: [(f"d{s % 2}", s, f"{x}{s}.{n}", (at := rng.randrange(6)), at + rng.randrange(3), rng.choice("hk")) for s in range(40) for n in range(rng.randrange(most))]
+    p, g = own("p", 5), own("g", 4)
+    want = set()
+    for s in range(40):
+        pairs = []
+        for _, _, pi, pf, pl, ph in (x for x in p if x[1] == s):
+            for _, _, gi, gf, gl, gh in (x for x in g if x[1] == s):
+                rank = 0 if (pf, pl) == (gf, gl) else 1 if ph == gh else 2 if (pf >= gf and pl <= gl) or (gf >= pf and gl <= pl) else None
+                if pf <= gl and gf <= pl and rank is not None:
+                    pairs.append((rank, abs(pf - gf) + abs(pl - gl), pi, gi))
+        used = set()
+        for rank, _, pi, gi in sorted(pairs):
+            if not used & {pi, gi}:
+                used |= {pi, gi}
+                want.add((pi, gi, rank))
+    kind = "doc_id string, sent_id int, mention_id string, first_tok int, last_tok int, head string"
+    out = phrases.match_to_gold(spark.createDataFrame(p, kind), spark.createDataFrame(g, kind))
+    assert {tuple(r) for r in out.collect()} == want
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
