@@ -106,3 +106,17 @@ def test_names_that_differ_in_the_first_letter_are_near(spark):
     p = resolution.phrases_of(w, ())
     assert [(r.a, r.b, r.sim) for r in resolution.string_edges(p, ents, rules(0.9), "m", "s").collect()] == [("x", "y", 1.0)]
     assert resolution.string_edges(p, ents, rules(0.5), "m", "s").count() == 0  # one of two cells: below the share
+
+
+def test_equal_vectors_are_one_point_of_average_linkage(spark, monkeypatch):
+    # pairs of equal entities are as many as the square of their number, on disk, and say nothing
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 4))[rng.integers(0, 12, 90)]
+    x[::30] = 0.0
+    rows = [("t", f"e{i:02}", v.tolist()) for i, v in enumerate(x)]
+    compared, edges = [], resolution.vector_edges
+    monkeypatch.setattr(resolution, "vector_edges", lambda v, least: compared.append(v.count()) or edges(v, least))
+    got = {r.b: r.a for r in resolution.clusters_of(spark.createDataFrame(rows, "topic_id string, entity string, v array<double>"), 0.4).collect()}
+    label = vectors.average_linkage(x, 0.4)
+    assert got == {f"e{i:02}": f"e{np.flatnonzero(label == label[i])[0]:02}" for i in range(len(x))}
+    assert compared[0] <= 12 + 3
